@@ -22,41 +22,41 @@ from .common import table
 SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 8, 2, 2
 SLOT_BUCKETS = 512
 
-Tree = dict[int, dict[int, dict[int, float]]]
 
+def levels(shards: int, weights: dict[int, float] | None = None) -> list[list[float]]:
+    """Weights of regions, racks and shards; a node's children are the next ones in the list below it."""
+    of = [float((weights or {}).get(s, 1.0)) for s in range(shards)]
+    sums = lambda x, n: [sum(x[k : k + n]) for k in range(0, len(x), n)]
+    racks = sums(of, SHARDS_PER_RACK)
+    return [sums(racks, RACKS_PER_REGION), racks, of]
 
-def tree(shards: int, weights: dict[int, float] | None = None) -> Tree:
-    """region -> rack -> shard -> weight."""
-    out: Tree = {}
-    for s in range(shards):
-        rack = s // SHARDS_PER_RACK
-        out.setdefault(rack // RACKS_PER_REGION, {}).setdefault(rack, {})[s] = (weights or {}).get(s, 1.0)
-    return out
 
-
-def _unit(key: Column, node: str) -> Column:
+def _unit(key: Column, node: Column) -> Column:
     """A number in (0, 1) from the key and the node's name."""
-    digits = F.substring(F.md5(F.concat(key, F.lit(f"/{node}"))), 1, 12)
+    digits = F.substring(F.md5(F.concat(key, node)), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def _draw(key: Column, level: str, weights: dict[int, float]) -> Column:
-    if len(weights) == 1:
-        return F.lit(next(iter(weights)))
-    draws = [F.struct((-F.log(_unit(key, f"{level}{n}")) / F.lit(float(w))).alias("draw"), F.lit(n).alias("node")) for n, w in weights.items()]
+def _draw(key: Column, level: str, weights: list[float], first: Column, children: int) -> Column:
+    """Of the nodes ``first``, ``first + 1``, ... the one with the least draw; nodes of no weight never win."""
+    table_, draws = F.array(*[F.lit(w) for w in weights]), []
+    for k in range(children):
+        node = first + k
+        weight = F.coalesce(F.get(table_, node), F.lit(0.0))
+        draw = F.when(weight > 0, -F.log(_unit(key, F.concat(F.lit(f"/{level}"), node.cast("string")))) / weight).otherwise(float("inf"))
+        draws.append(F.struct(draw.alias("draw"), node.alias("node")))
     return F.array_min(F.array(*draws))["node"]
 
 
-def assign(df: DataFrame, key: Column, shards: Tree, name: str) -> DataFrame:
+def assign(df: DataFrame, key: Column, shards: list[list[float]], name: str) -> DataFrame:
     """Adds the shard of every row as ``name``, level by level."""
-    total = lambda x: sum(total(y) if isinstance(y, dict) else y for y in x.values())
+    regions, racks, of = shards
     text = F.coalesce(key.cast("string"), F.lit("null"))
     region, rack = f"_{name}_region", f"_{name}_rack"
-    df = df.withColumn(region, _draw(text, "region", {r: total(x) for r, x in shards.items()}))
-    by_region = F.coalesce(*[F.when(F.col(region) == r, _draw(text, "rack", {k: total(y) for k, y in x.items()})) for r, x in shards.items()])
-    df = df.withColumn(rack, by_region)
-    by_rack = F.coalesce(*[F.when(F.col(rack) == k, _draw(text, "shard", y)) for x in shards.values() for k, y in x.items()])
-    return df.withColumn(name, by_rack.cast("int")).drop(region, rack)
+    df = df.withColumn(region, _draw(text, "region", regions, F.lit(0), len(regions)))
+    df = df.withColumn(rack, _draw(text, "rack", racks, F.col(region) * RACKS_PER_REGION, RACKS_PER_REGION))
+    df = df.withColumn(name, _draw(text, "shard", of, F.col(rack) * SHARDS_PER_RACK, SHARDS_PER_RACK).cast("int"))
+    return df.drop(region, rack)
 
 
 def slots(df: DataFrame, shard: str, order: list[str]) -> DataFrame:
@@ -75,8 +75,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = assign(rows, F.col("doc_id"), tree(shards), "shard")
-    rows = assign(rows, F.col("doc_id"), tree(shards + 1), "grown_shard")
+    rows = assign(rows, F.col("doc_id"), levels(shards), "shard")
+    rows = assign(rows, F.col("doc_id"), levels(shards + 1), "grown_shard")
     rows = slots(rows, "shard", ["doc_id", "text_crc32", "size"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
