@@ -20,6 +20,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from .common import table, tune
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 200_000, 48, 2_000_000
+MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 500_000, 48, 1_000_000
 
 
 class TrieEncoder:
@@ -47,11 +48,13 @@ class TrieEncoder:
         self.longest = max(map(len, self.ids))
         self.bytes = {int(m.id_to_piece(k)[3:5], 16): k for k in ids if m.is_byte(k)}
         self.unknown = m.unk_id()
-        self.pieces = {v: k for k, v in self.ids.items()}
-        self.byte_of = {v: k for k, v in self.bytes.items()}
+        self.bytes_of = {k: b"" for k in ids} | {v: k.encode() for k, v in self.ids.items()} | {v: bytes([k]) for k, v in self.bytes.items()}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces reach across words")
-        self.halves: dict[str, tuple[str, str] | None] = {}
+        merges = {p: self.merged(p) for p in by_score}
+        #: The last merge of every piece that merges make.
+        self.halves = {p: last for p, (parts, last) in merges.items() if len(parts) == 1}
+        self.reached = self.halves.keys()
         self.fits: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
 
@@ -66,13 +69,6 @@ class TrieEncoder:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts, last
 
-    def _halves(self, piece: str) -> tuple[str, str] | None:
-        """The pair whose merge made a piece; nothing for a character or a piece that merges never reach."""
-        if piece not in self.halves:
-            parts, last = self.merged(piece)
-            self.halves[piece] = last if len(parts) == 1 else None
-        return self.halves[piece]
-
     def _together(self, a: str, b: str) -> bool:
         """Whether merging the characters of both leaves just a and b: no merge across them comes first."""
         key = (a, b)
@@ -86,9 +82,9 @@ class TrieEncoder:
                     break
                 ra, rb = (rank[x] if len(x) > 1 else -1 for x in (a, b))
                 if ra > rb:
-                    limit, a = ra, self._halves(a)[1]
+                    limit, a = ra, self.halves[a][1]
                 elif rb >= 0:
-                    limit, b = rb + 1, self._halves(b)[0]
+                    limit, b = rb + 1, self.halves[b][0]
                 else:
                     self.fits[key] = True
                     break
@@ -101,12 +97,13 @@ class TrieEncoder:
                 out.append(self.ids[p])
             else:
                 out += [self.bytes.get(b, self.unknown) for b in p.encode()]
-        return np.asarray(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def walk(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct words, by one walk over their trie."""
         out, before = {}, ""
         last: list[str] = []  # the last piece of every prefix of the word before
+        fits, reached, longest, together = self.fits, self.reached, self.longest, self._together
         for word in sorted(words):
             if MARK * 2 in word:
                 out[word] = self._ids(self.merged(word)[0])
@@ -116,13 +113,13 @@ class TrieEncoder:
                 shared += 1
             del last[shared:]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
-                    piece = word[start:end]
-                    if start < end - 1 and (piece not in self.rank or self._halves(piece) is None):
-                        continue
-                    if not start or self._together(last[start - 1], piece):
-                        last.append(piece)
-                        break
+                piece = word[end - 1]
+                if end > 1 and not (fits[pair] if (pair := (last[end - 2], piece)) in fits else together(*pair)):
+                    for start in range(max(0, end - longest), end - 1):
+                        piece = word[start:end]
+                        if piece in reached and (not start or (fits[pair] if (pair := (last[start - 1], piece)) in fits else together(*pair))):
+                            break
+                last.append(piece)
             parts, end = [], len(word)
             while end:
                 parts.append(last[end - 1])
@@ -142,7 +139,7 @@ class TrieEncoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces in a row, marks as spaces, without the one that encoding puts first."""
-        raw = b"".join(self.pieces[k].encode() if k in self.pieces else bytes([self.byte_of[k]]) if k in self.byte_of else b"" for k in np.frombuffer(ids, "<u4").tolist())
+        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         text = raw.decode("utf-8", errors="replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
