@@ -23,7 +23,6 @@ dataset; extra columns are ignored.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark import TaskContext
 
 from .common import fresh_path, table, tune
-from .tokens import encoder
+from .tokens import chunks, encoder
 
 MAGIC, BLOCK_IDS, END_ID = b"BPL1", 16_384, 1
 CHUNKS = "file int, chunk int, n_ids int, blob binary, doc_ids array<bigint>, doc_lens array<int>"
@@ -85,32 +84,34 @@ def unpack_block(blob: bytes) -> np.ndarray:
 
 def _chunk_writer(path: str, end_id: int, block: int, mode: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
-        enc, end = encoder(path, "word"), np.array([end_id], "<u4").tobytes()
-        starts: list[tuple[int, int, int]] = []  # document, ids, place in the ids held
+        file, chunk, held, size, taken, total = TaskContext.get().partitionId(), 0, [], 0, 0, 0
+        enc, end = encoder(path, "word"), np.array([end_id], "<u4")
+        starts: list[tuple[int, int, int]] = []  # document, ids, place in the stream of the file
 
         def row(ids: np.ndarray) -> pa.RecordBatch:
-            nonlocal starts
-            here = [x for x in starts if x[2] < len(ids)]
-            starts = [(d, n, at - len(ids)) for d, n, at in starts[len(here) :]]
+            nonlocal starts, taken
+            k = 0
+            while k < len(starts) and starts[k][2] < taken + len(ids):
+                k += 1
+            here, starts, taken = starts[:k], starts[k:], taken + len(ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([file], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([pack_block(ids, mode)], pa.binary()), pa.array([[x[0] for x in here]], pa.list_(pa.int64())), pa.array([[x[1] for x in here]], pa.list_(pa.int32()))],
                 names=["file", "chunk", "n_ids", "blob", "doc_ids", "doc_lens"],
             )
 
-        for batch in batches:
+        for batch in chunks(batches):
             docs = batch.column("doc_id").to_pylist()
-            for doc, ids in zip(docs, enc.encode(batch.column("text").to_pylist())):
-                starts.append((doc, len(ids) // 4 + 1, size))
+            for doc, ids in zip(docs, enc.encode(batch.column("text"))):
+                starts.append((doc, len(ids) + 1, total))
                 held += [ids, end]
-                size += len(ids) // 4 + 1
-            whole = np.frombuffer(b"".join(held), "<u4")
+                size, total = size + len(ids) + 1, total + len(ids) + 1
+            whole = np.concatenate(held)
             while len(whole) >= block:
                 yield row(whole[:block])
                 chunk, whole = chunk + 1, whole[block:]
-            held, size = [whole.tobytes()], len(whole)
+            held, size = [whole.copy()], len(whole)
         if size:
-            yield row(np.frombuffer(b"".join(held), "<u4"))
+            yield row(np.concatenate(held))
 
     return write
 

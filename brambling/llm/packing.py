@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, tune, written
-from .tokens import encoder
+from .tokens import chunks, encoder
 
 CAPACITY, END_ID = 1024, 2
 ROUNDS, RATE = 60, 0.5
@@ -35,10 +35,10 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 def _cutter(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path, "byte"), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in chunks(batches):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
-                ids, at = ids + end, 0
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"))):
+                ids, at = ids.tobytes() + end, 0
                 n = len(ids) // 4
                 size = n % capacity or capacity
                 for piece in range(-(-n // capacity)):

@@ -1,67 +1,119 @@
 """Exact token ids from the tokenizers library, with whole texts cut at places where no token can cross.
 
-Byte-level BPE never lets a pre-token hold a space after a non-space, and the word-level
-vocabulary drops white space altogether. So the ids of a text are the ids of its space-separated
-units in a row, and a bounded memo of units replaces most of the encoding. Texts in which white
-space is arranged so that this does not hold are encoded whole.
+In byte-level BPE a pre-token holds a space at its start only, and in the word-level vocabulary white
+space is dropped, so the ids of a text are the ids of its space-separated units in a row. Letters and
+what follows them are different pre-tokens in both, so a unit's ids are those of its letters and of
+its tail. The units of many texts are made distinct by Arrow, each distinct run of letters is encoded
+once and kept in a bounded memo, and the ids are gathered by numpy. Texts in which white space is
+arranged so that a cut could matter are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_SPACE_RUN = re.compile(r"\s (?:\s|\Z)")
-_ODD_SPACE = re.compile(r"[^\S \n\t\r]")
-_PLAIN_SPACE = re.compile(r"[ \n\t\r]+")
-_CONTROL = re.compile(r"[\x1c-\x1f]")
-MEMO_UNITS, MEMO_CHARS = 300_000, 64
+_RARE = r"\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WHOLE = {"byte": rf"  |\n |[\t\r{_RARE}] |\x00", "word": f"[{_RARE}]"}
+_TAIL = ".,;:!?*$#%&@|'\")(-"
+_FIRST = "\0"
+MEMO_UNITS, MEMO_CHARS, CHUNK_BYTES = 700_000, 64, 24 << 20
 
 
-def byte_units(text: str) -> list[str] | None:
-    """Units of a byte-level vocabulary: a space goes with what follows it. None: encode whole."""
-    if _SPACE_RUN.search(text):
-        return None
-    head, *rest = text.split(" ")
-    return [head, *(" " + x for x in rest)] if head else [" " + x for x in rest]
-
-
-def word_units(text: str) -> list[str] | None:
-    """Units of a vocabulary that drops white space. None: encode whole."""
-    if _ODD_SPACE.search(text) or _CONTROL.search(text):
-        return None
-    return [x for x in _PLAIN_SPACE.split(text) if x]
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``limit`` bytes of text: the more texts, the fewer distinct units each."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+    yield from rows[:1]
 
 
 class UnitEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit numbers.
+
+    kind ``byte``: units are what stands between single spaces, each with the space before it, but for
+    the first. kind ``word``: units are what stands between white space, and case doesn't matter.
+    """
 
-    def __init__(self, path: str, units) -> None:
+    def __init__(self, path: str, kind: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units, self.memo = units, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in run(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.units(x) for x in texts]
-        if len(self.memo) > MEMO_UNITS:
-            self.memo = {}
+        self.kind, self.space = kind, " " * (kind == "byte")
+        self.memo: dict[str, bytes] = {"": b""}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _halves(self, unit: str) -> tuple[str, str]:
+        """The letters at the start of a unit, with the space before them, and the rest."""
+        head, space = unit, self.space
+        if head[:1] == _FIRST:
+            head = unit = unit[1:]
+            space = ""
+        elif self.kind == "byte" and not unit:
+            return space, ""
+        cut = head.rstrip(_TAIL)
+        if self.kind == "word":
+            if max(head, default="") >= "Ā":
+                return head, ""
+            head = head.lower()
+        if cut and cut != unit and cut[-1].isalpha() and cut[-1] < "԰":
+            return space + head[: len(cut)], unit[len(cut) :]
+        return space + head, ""
+
+    def _unit_ids(self, units: list[str]) -> list[bytes]:
+        halves = [self._halves(u) for u in units]
         memo = self.memo
-        missing = list({u for units in cut if units is not None for u in units if u not in memo})
-        found = dict(zip(missing, self._ids(missing))) if missing else {}
-        memo.update((u, b) for u, b in found.items() if len(u) <= MEMO_CHARS)
-        whole = [x for x, units in zip(texts, cut) if units is None]
-        rest = iter(self._ids(whole) if whole else ())
-        get = lambda u: memo[u] if u in memo else found[u]
-        return [next(rest) if units is None else b"".join(map(get, units)) for units in cut]
+        new = list({h for pair in halves for h in pair if h not in memo})
+        got = dict(zip(new, self._library(new)))
+        if len(memo) + len(got) > MEMO_UNITS:
+            self.memo = {k: memo[k] for pair in halves for k in pair if k in memo} | {"": b""}
+            memo = self.memo
+        kept = {h: x for h, x in got.items() if len(h) <= MEMO_CHARS}
+        memo.update(kept)
+        if len(kept) < len(got):
+            return [(got[a] if a in got else memo[a]) + (got[b] if b in got else memo[b]) for a, b in halves]
+        return [memo[a] + memo[b] for a, b in halves]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of an array without nulls."""
+        if not len(texts):
+            return []
+        texts = texts.cast(pa.large_string())
+        whole = pc.match_substring_regex(texts, _WHOLE[self.kind])
+        plain = pc.if_else(whole, pa.scalar("", pa.large_string()), texts)
+        if self.kind == "byte":
+            first, nothing = (pa.scalar(x, pa.large_string()) for x in (_FIRST, ""))
+            cut = pc.split_pattern(pc.binary_join_element_wise(first, plain, nothing), " ")
+        else:
+            cut = pc.utf8_split_whitespace(plain)
+        units = cut.flatten().dictionary_encode()
+        ids = self._unit_ids(units.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        where = units.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[where]
+        ends = np.cumsum(lengths)
+        starts = (np.cumsum(sizes) - sizes)[where] - (ends - lengths)
+        gathered = pool[np.repeat(starts, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        out = [gathered[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for k, b in zip(at, self._library(texts.take(pa.array(at)).to_pylist()) if len(at) else ()):
+            out[k] = np.frombuffer(b, "<u4")
+        return out
 
 
 _encoders: dict[tuple[str, str], UnitEncoder] = {}
@@ -70,5 +122,5 @@ _encoders: dict[tuple[str, str], UnitEncoder] = {}
 def encoder(path: str, kind: str) -> UnitEncoder:
     """One encoder for each worker process, vocabulary and kind of unit (``byte`` or ``word``)."""
     if (path, kind) not in _encoders:
-        _encoders[path, kind] = UnitEncoder(path, {"byte": byte_units, "word": word_units}[kind])
+        _encoders[path, kind] = UnitEncoder(path, kind)
     return _encoders[path, kind]
