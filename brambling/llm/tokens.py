@@ -21,7 +21,7 @@ _RARE = r"\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _WHOLE = {"byte": rf"  |\n |[\t\r{_RARE}] |\x00", "word": f"[{_RARE}]"}
 _TAIL = ".,;:!?*$#%&@|'\")(-"
 _FIRST = "\0"
-MEMO_UNITS, MEMO_CHARS, CHUNK_BYTES = 700_000, 64, 24 << 20
+MEMO_UNITS, MEMO_CHARS, CHUNK_BYTES, CALL = 350_000, 64, 10 << 20, 20_000
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,8 @@ class UnitEncoder:
         self.memo: dict[str, bytes] = {"": b""}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        run = self.tokenizer.encode_batch_fast
+        return [np.asarray(x.ids, "<u4").tobytes() for k in range(0, len(texts), CALL) for x in run(texts[k : k + CALL], add_special_tokens=False)]
 
     def _halves(self, unit: str) -> tuple[str, str]:
         """The letters at the start of a unit, with the space before them, and the rest."""
