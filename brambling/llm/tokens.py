@@ -21,7 +21,8 @@ _RARE = r"\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _WHOLE = {"byte": rf"  |\n |[\t\r{_RARE}] |\x00", "word": f"[{_RARE}]"}
 _TAIL = ".,;:!?*$#%&@|'\")(-"
 _FIRST = "\0"
-MEMO_UNITS, MEMO_CHARS, CHUNK_BYTES, CALL = 350_000, 64, 10 << 20, 20_000
+_LETTER_LAST = {"byte": "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$", "word": "^[\\x00-\u00ff]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"}
+MEMO_UNITS, MEMO_CHARS, CHUNK_BYTES, CALL = 550_000, 64, 12 << 20, 5_000
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -57,36 +58,35 @@ class UnitEncoder:
         run = self.tokenizer.encode_batch_fast
         return [np.asarray(x.ids, "<u4").tobytes() for k in range(0, len(texts), CALL) for x in run(texts[k : k + CALL], add_special_tokens=False)]
 
-    def _halves(self, unit: str) -> tuple[str, str]:
-        """The letters at the start of a unit, with the space before them, and the rest."""
-        head, space = unit, self.space
-        if head[:1] == _FIRST:
-            head = unit = unit[1:]
-            space = ""
-        elif self.kind == "byte" and not unit:
-            return space, ""
-        cut = head.rstrip(_TAIL)
-        if self.kind == "word":
-            if max(head, default="") >= "Ā":
-                return head, ""
-            head = head.lower()
-        if cut and cut != unit and cut[-1].isalpha() and cut[-1] < "԰":
-            return space + head[: len(cut)], unit[len(cut) :]
-        return space + head, ""
-
-    def _unit_ids(self, units: list[str]) -> list[bytes]:
-        halves = [self._halves(u) for u in units]
-        memo = self.memo
-        new = list({h for pair in halves for h in pair if h not in memo})
+    def _ids(self, strings: list[str]) -> list[bytes]:
+        """Ids of distinct strings, most of them from the memo."""
+        new = [x for x in strings if x not in self.memo]
         got = dict(zip(new, self._library(new)))
-        if len(memo) + len(got) > MEMO_UNITS:
-            self.memo = {k: memo[k] for pair in halves for k in pair if k in memo} | {"": b""}
-            memo = self.memo
-        kept = {h: x for h, x in got.items() if len(h) <= MEMO_CHARS}
-        memo.update(kept)
-        if len(kept) < len(got):
-            return [(got[a] if a in got else memo[a]) + (got[b] if b in got else memo[b]) for a, b in halves]
-        return [memo[a] + memo[b] for a, b in halves]
+        if len(self.memo) + len(got) > MEMO_UNITS:
+            self.memo = {x: self.memo[x] for x in strings if x in self.memo} | {"": b""}
+        memo = self.memo
+        memo.update((x, b) for x, b in got.items() if len(x) <= MEMO_CHARS)
+        return [memo[x] if x in memo else got[x] for x in strings]
+
+    def _halves(self, units: pa.Array) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """Of every unit the letters at its start with the space before them, and which of some tails follows."""
+        first = pc.starts_with(units, _FIRST) if self.space else pa.array(np.zeros(len(units), bool))
+        body = pc.if_else(first, pc.utf8_slice_codeunits(units, 1), units) if self.space else units
+        head = pc.utf8_rtrim(body, characters=_TAIL)
+        cut = pc.and_(pc.match_substring_regex(head, _LETTER_LAST[self.kind]), pc.not_equal(head, body))
+        head, tails, which = pc.if_else(cut, head, body), [""], np.zeros(len(units), np.int64)
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        if len(at):
+            rows = pa.array(at)
+            rest = pa.array([b[len(h) :] for b, h in zip(body.take(rows).to_pylist(), head.take(rows).to_pylist())]).dictionary_encode()
+            tails += rest.dictionary.to_pylist()
+            which[at] = rest.indices.to_numpy() + 1
+        if self.space:
+            space, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+            head = pc.binary_join_element_wise(pc.if_else(first, nothing, space), head, nothing)
+        else:
+            head = pc.if_else(pc.match_substring_regex(head, "^[\\x00-\u00ff]*$"), pc.utf8_lower(head), head)
+        return head, which, tails
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text of an array without nulls."""
@@ -94,29 +94,33 @@ class UnitEncoder:
             return []
         texts = texts.cast(pa.large_string())
         whole = pc.match_substring_regex(texts, _WHOLE[self.kind])
-        plain = pc.if_else(whole, pa.scalar("", pa.large_string()), texts)
-        if self.kind == "byte":
-            first, nothing = (pa.scalar(x, pa.large_string()) for x in (_FIRST, ""))
-            cut = pc.split_pattern(pc.binary_join_element_wise(first, plain, nothing), " ")
-        else:
-            cut = pc.utf8_split_whitespace(plain)
+        first, nothing = (pa.scalar(x, pa.large_string()) for x in (_FIRST, ""))
+        plain = pc.if_else(whole, nothing, texts)
+        cut = pc.split_pattern(pc.binary_join_element_wise(first, plain, nothing), " ") if self.space else pc.utf8_split_whitespace(plain)
         units = cut.flatten().dictionary_encode()
-        ids = self._unit_ids(units.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(ids), "<u4")
+        head, which, tails = self._halves(units.dictionary)
+        heads = head.dictionary_encode()
+        ids = self._ids(heads.dictionary.to_pylist() + tails)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        where = units.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[where]
-        ends = np.cumsum(lengths)
-        starts = (np.cumsum(sizes) - sizes)[where] - (ends - lengths)
-        gathered = pool[np.repeat(starts, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        parts = np.stack([heads.indices.to_numpy(), which + len(heads.dictionary)], 1)
+        pool, _ = _gather(np.frombuffer(b"".join(ids), "<u4"), sizes, parts.ravel())
+        pool, ends = _gather(pool, sizes[parts].sum(1), units.indices.to_numpy())
         bounds = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
-        out = [gathered[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        out = [pool[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         for k, b in zip(at, self._library(texts.take(pa.array(at)).to_pylist()) if len(at) else ()):
             out[k] = np.frombuffer(b, "<u4")
         return out
 
 
+def _gather(pool: np.ndarray, sizes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of a pool, of the given sizes in a row there, put together in the order of ``where``; where each ends."""
+    lengths = sizes[where]
+    ends = np.cumsum(lengths)
+    starts = (np.cumsum(sizes) - sizes)[where] - (ends - lengths)
+    return pool[np.repeat(starts, lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 _encoders: dict[tuple[str, str], UnitEncoder] = {}
 
 
