@@ -7,8 +7,8 @@ coordinates, and the dart of least rank on a coordinate is the sketch there; set
 the probability of their weighted Jaccard similarity. A set that leaves a coordinate empty doubles its
 rank limit, which changes no coordinate that is filled.
 
-Candidates share a band of sketch coordinates. Equal sets are one node from the start. In every
-bucket the nodes are first held against the least node, which joins large groups of near copies with
+Candidates share a band of sketch coordinates. Equal sets are one node from the start. Every
+node is first held against least nodes of its buckets, which joins large groups of near copies with
 work in proportion to their rows. Buckets that then still hold several groups get their remaining
 pairs compared by sketch, in blocks that emit only likely links. Every link is confirmed by the exact
 Jaccard similarity of five-word shingles; groups are the connected components.
@@ -254,9 +254,17 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").drop("most")
     buckets = written(rows.join(shared, "band").select("band", "id", "least"), "buckets")
 
-    stars = buckets.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    # First each node against the least node it shares a bucket with, then, where that left a bucket
+    # with the least node in another group, against the least nodes of those buckets.
+    stars = buckets.filter("id <> least").groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
     first = _confirmed(_with_signatures(stars, nodes), docs)
     group = components(first)
+    label = lambda c: group.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    apart = buckets.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    apart = apart.join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(a_label, a) <> coalesce(b_label, b)").select("a", "b")
+    more = _confirmed(_with_signatures(apart.join(stars, ["a", "b"], "left_anti"), nodes), docs)
+    first, stars = first.union(more), stars.union(apart)
+    group = components(first)
 
     # Buckets that still hold several groups: the rest against all others, in blocks.
     named = buckets.select("band", "id").join(group, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
