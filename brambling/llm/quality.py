@@ -21,28 +21,28 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 FIT_ROWS, THRESHOLD, RIDGE = 20_000, 0.5, 1.0
-FEATURES = ("symbols", "upper", "shout", "bars", "variety", "word_length", "words", "marks")
+FEATURES = ("symbols", "upper", "shout", "bars", "variety", "word_length", "words")
 
 
 def features(text: Column) -> list[Column]:
     """Numbers about the whole text, from built-in functions."""
     t = F.coalesce(text, F.lit(""))
-    words = F.split(t, "\\s+")
+    words = F.split(t, "[ \n]")
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
+    without = lambda part: (F.length(t) - F.length(F.replace(t, F.lit(part), F.lit("")))).cast("double")
     return [
         F.least(count("[#$%&*@~^]") / n, F.lit(3.0)),
         count("[\\p{Lu}]") / chars,
-        count("!!") / n,
-        F.least(count("[|]") / n, F.lit(1.0)),
+        without("!!") / n,
+        F.least(without("|") / n, F.lit(1.0)),
         F.log1p(F.size(F.array_distinct(words)).cast("double")) / F.log1p(n),
         F.least(chars / n, F.lit(30.0)) / 10.0,
         F.log1p(n) / 10.0,
-        F.least(count("[.,;:?]") / n, F.lit(1.0)),
     ]
 
 
@@ -84,17 +84,23 @@ def _strength(groups: DataFrame, prior: Column, mean: Column, n: Column) -> floa
     return float(min(max(r["pq"] / max(r["v"] - r["e"], 1e-4) - 1, 1.0), 1000.0))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with evidence, host_posterior, path_posterior, score and keep added."""
+def with_evidence(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` with the classifier's probability (the base rate where there is no text) and its evidence added."""
     weights, base = _fit_on(docs, labels, id_col, text_col, fit_rows)
     line = sum((F.lit(float(w)) * x for w, x in zip(weights, features(F.col(text_col)))), F.lit(float(weights[-1])))
     blank = F.coalesce(F.length(F.trim(text_col)) == 0, F.lit(True))
-    p = F.when(blank, F.lit(base)).otherwise(1 / (1 + F.exp(-F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0)))))
-    keys = [host.cast("string").alias("_qc_host"), path.cast("string").alias("_qc_path")]
+    rows = docs.withColumn("_qc_p", F.when(blank, F.lit(base)).otherwise(1 / (1 + F.exp(-F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))))))
+    return rows.withColumn("evidence", _logit(F.col("_qc_p")) - _logit(F.lit(base)))
+
 
-    paths = docs.select(*keys, p.alias("_qc_p")).groupBy("_qc_host", "_qc_path").agg(F.count("*").alias("_qc_n"), F.sum("_qc_p").alias("_qc_s")).persist()
+def with_sites(rows: DataFrame, *, host: Column, path: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``with_evidence`` with host_posterior, path_posterior, score and keep added."""
+    columns = [F.col(f"`{c}`") for c in rows.columns if c != "_qc_p"]
+    rows = rows.withColumns({"_qc_host": host.cast("string"), "_qc_path": path.cast("string")})
+    paths = rows.groupBy("_qc_host", "_qc_path").agg(F.count("*").alias("_qc_n"), F.sum("_qc_p").alias("_qc_s"))
+    paths = written(paths, "paths")
     total = paths.agg(F.sum("_qc_n").alias("n"), F.sum("_qc_s").alias("s")).first()
-    prior = (total["s"] + base) / (total["n"] + 1) if total["n"] else base
+    prior = (total["s"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
     hosts = paths.groupBy("_qc_host").agg(F.sum("_qc_n").alias("_qc_hn"), F.sum("_qc_s").alias("_qc_hs"))
     host_strength = _strength(hosts, F.lit(prior), F.col("_qc_hs") / F.col("_qc_hn"), F.col("_qc_hn"))
     hosts = hosts.withColumn("host_posterior", (F.col("_qc_hs") + host_strength * prior) / (F.col("_qc_hn") + host_strength))
@@ -102,20 +108,28 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, host: Column, path: C
     path_strength = _strength(sites, F.col("host_posterior"), F.col("_qc_s") / F.col("_qc_n"), F.col("_qc_n"))
     sites = sites.select(F.col("_qc_host").alias("_qc_h"), F.col("_qc_path").alias("_qc_q"), "_qc_n", "_qc_s", "host_posterior")
 
-    rows = docs.select("*", *keys, p.alias("_qc_p"))
     rows = rows.join(sites, F.col("_qc_host").eqNullSafe(F.col("_qc_h")) & F.col("_qc_path").eqNullSafe(F.col("_qc_q")), "left")
     others = (F.col("_qc_s") - F.col("_qc_p") + path_strength * F.col("host_posterior")) / (F.col("_qc_n") - 1 + path_strength)
-    evidence = _logit(F.col("_qc_p")) - _logit(F.lit(base))
-    rows = rows.withColumn("path_posterior", others).withColumn("evidence", F.when(blank, F.lit(0.0)).otherwise(evidence))
+    rows = rows.withColumn("path_posterior", others)
     rows = rows.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior"))))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("keep"))
+    return rows.select(*columns, "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("keep"))
 
 
-def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, **options) -> DataFrame:
+    """``docs`` with evidence, host_posterior, path_posterior, score and keep added."""
+    return with_sites(with_evidence(docs, labels, **options), host=host, path=path)
+
+
+def _site() -> dict[str, Column]:
     """The documents table: a source stands for a host, a language of a source for a path."""
-    return score_documents(docs, labels, host=F.col("source"), path=F.concat_ws("/", F.col("source"), F.col("lang")))
+    return {"host": F.col("source"), "path": F.concat_ws("/", F.col("source"), F.col("lang"))}
+
+
+def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return score_documents(docs, labels, **_site())
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "source", "lang", "evidence", "host_posterior", "path_posterior", "score", "keep")
+    rows = with_evidence(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = written(rows.select("doc_id", "source", "lang", "_qc_p", "evidence"), "evidence")
+    return with_sites(rows, **_site())
