@@ -1 +1,59 @@
-"""TODO."""
+"""Table and file sources, and the normalisers that bring harvested records to one shape."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brambling.functions import clean_doi, last_segment
+
+RECORD = ["source_id", "doi", "arxiv_id", "title", "abstract", "authors", "published", "landing_url", "oa_status", "oa_url", "work_type", "updated", "citation_count"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def text_files(spark: SparkSession, folder: str, pattern: str = "*.{txt,md}") -> DataFrame:
+    """path and content of every text file under a folder; unreadable ones are skipped."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("ignoreCorruptFiles", "true").option("wholetext", "true")
+    return read.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the files of one folder, sorted; contents are not read."""
+    return spark.read.format("binaryFile").load(folder).select(last_segment(F.col("path")).alias("name"), "length").orderBy("name")
+
+
+def abstract_from_index(index: Column) -> Column:
+    """The text of a map from token to positions."""
+    places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("place"), e["key"].alias("token")))))
+    return F.array_join(F.transform(F.array_sort(places), lambda x: x["token"]), " ")
+
+
+def dashed_date(parts: Column) -> Column:
+    """Year, month and day as they come, not zero-padded: don't compare such dates as text."""
+    return F.array_join(F.transform(parts, lambda x: x.cast("string")), "-")
+
+
+def normalise_crossref(items: DataFrame) -> DataFrame:
+    """Items of a Crossref response (DOI, title array, author structs, issued parts, ...) as records."""
+    author = lambda a: F.concat_ws(" ", F.nullif(a["given"], F.lit("")), F.nullif(a["family"], F.lit("")))
+    return items.select(
+        F.col("DOI").alias("source_id"), clean_doi(F.col("DOI")).alias("doi"), F.lit("").alias("arxiv_id"),
+        F.coalesce(F.get("title", F.lit(0)), F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"),
+        F.filter(F.transform("author", author), lambda a: a != "").alias("authors"), dashed_date(F.col("issued")).alias("published"),
+        F.coalesce("URL", F.lit("")).alias("landing_url"), F.lit("unknown").alias("oa_status"), F.lit("").alias("oa_url"),
+        F.coalesce("type", F.lit("")).alias("work_type"), F.coalesce("updated", F.lit("")).alias("updated"), F.col("citations").cast("long").alias("citation_count"),
+    )
+
+
+def normalise_openalex(works: DataFrame) -> DataFrame:
+    """Works of an OpenAlex response (id, doi, inverted index, author names, ...) as records."""
+    return works.select(
+        last_segment(F.col("id")).alias("source_id"), clean_doi(F.col("doi")).alias("doi"), F.lit("").alias("arxiv_id"),
+        F.coalesce("title", F.lit("")).alias("title"), abstract_from_index(F.col("abstract_inverted_index")).alias("abstract"),
+        F.filter("authors", lambda a: F.coalesce(a, F.lit("")) != "").alias("authors"), F.coalesce("publication_date", F.lit("")).alias("published"),
+        F.coalesce("landing_url", F.lit("")).alias("landing_url"), F.coalesce("oa_status", F.lit("unknown")).alias("oa_status"), F.coalesce("oa_url", F.lit("")).alias("oa_url"),
+        F.coalesce("type", F.lit("")).alias("work_type"), F.coalesce("updated_date", F.lit("")).alias("updated"), F.col("cited_by_count").cast("long").alias("citation_count"),
+    )
