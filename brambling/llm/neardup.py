@@ -259,9 +259,10 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     stars = buckets.filter("id <> least").groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
     first = _confirmed(_with_signatures(stars, nodes), docs)
     group = components(first)
-    label = lambda c: group.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-    apart = buckets.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    apart = apart.join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(a_label, a) <> coalesce(b_label, b)").select("a", "b")
+    named = written(buckets.join(group, "id", "left").select("band", "id", "least", F.coalesce("label", "id").alias("label")), "named")
+    mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+    apart = named.join(mixed, "band", "left_semi").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"), F.col("label").alias("b_label")).distinct()
+    apart = apart.join(group.select(F.col("id").alias("a"), F.col("label").alias("a_label")), "a", "left").filter("coalesce(a_label, a) <> b_label").select("a", "b")
     more = _confirmed(_with_signatures(apart.join(stars, ["a", "b"], "left_anti"), nodes), docs)
     first, stars = first.union(more), stars.union(apart)
     group = components(first)
