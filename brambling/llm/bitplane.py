@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from .common import fresh_path, table, tune
 from .tokens import chunks, encoder
 
-MAGIC, BLOCK_IDS, END_ID = b"BPL1", 16_384, 1
+MAGIC, BLOCK_IDS, END_ID = b"BPL1", 32_768, 1
 CHUNKS = "file int, chunk int, n_ids int, blob binary, doc_ids array<bigint>, doc_lens array<int>"
 
 
-def pack_block(ids: np.ndarray, mode: str = "bit", level: int = 3) -> bytes:
+def pack_block(ids: np.ndarray, mode: str = "bit", level: int = 1) -> bytes:
     """One block of ids as a blob."""
     import zstandard
 

@@ -29,6 +29,8 @@ from .tokens import chunks, encoder
 CAPACITY, END_ID = 1024, 2
 ROUNDS, RATE = 60, 0.5
 RANK_BUCKETS = 128
+#: Rounding loses where few pieces share a length; of these shares of the solution the one that needs fewest sequences is used.
+ROUNDINGS = (1.0, 0.75, 0.5, 0.25, 0.0)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -162,18 +164,24 @@ def _fill(open_by_room: dict[int, Counter], room: int, items: tuple, length: int
 
 def plan(need: dict[int, int], capacity: int = CAPACITY) -> Counter:
     """Configurations and how many sequences use each; together they hold every piece exactly once."""
-    left = Counter({k: v for k, v in need.items() if 0 < k < capacity and v > 0})
+    short = Counter({k: v for k, v in need.items() if 0 < k < capacity and v > 0})
     fixed = Counter({(capacity,): need[capacity]}) if need.get(capacity) else Counter()
-    rounded: Counter = Counter()
-    for items, amount in sorted(fractional_configurations(left, capacity).items(), key=lambda x: (-sum(x[0]), x[0])):
+    amounts = sorted(fractional_configurations(short, capacity).items(), key=lambda x: (-sum(x[0]), x[0]))
+    plans = [_rounded(short, amounts, share, capacity) for share in ROUNDINGS]
+    return min(plans, key=lambda p: sum(p.values())) + fixed
+
+
+def _rounded(need: Counter, amounts: list[tuple[tuple[int, ...], float]], share: float, capacity: int) -> Counter:
+    """A share of every amount rounded down, as far as pieces are left, and best fit for the rest."""
+    left, out = Counter(need), Counter()
+    for items, amount in amounts:
         counts = Counter(items)
-        k = min(int(amount), min(left[x] // c for x, c in counts.items()))
+        k = min(int(amount * share), min(left[x] // c for x, c in counts.items()))
         if k > 0:
-            rounded[items] += k
+            out[items] += k
             for x, c in counts.items():
                 left[x] -= c * k
-    rest = _best_fit(+left, capacity)
-    return rounded + rest + fixed
+    return out + _best_fit(+left, capacity)
 
 
 def plan_rows(configurations: Counter) -> list[tuple[int, int, int, int, int, list[int]]]:
