@@ -8,7 +8,7 @@ the probability of their weighted Jaccard similarity. A set that leaves a coordi
 rank limit, which changes no coordinate that is filled.
 
 Candidates share a band of sketch coordinates. Equal sets are one node from the start. Every
-node is first held against least nodes of its buckets, which joins large groups of near copies with
+node is first held against hubs of its buckets, which joins large groups of near copies with
 work in proportion to their rows. Buckets that then still hold several groups get their remaining
 pairs compared by sketch, in blocks that emit only likely links. Every link is confirmed by the exact
 Jaccard similarity of five-word shingles; groups are the connected components.
@@ -251,18 +251,28 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     nodes = written(nodes.select("k1", "k2", "id", "s.bands", "s.sig"), "nodes")
 
     rows = nodes.select("id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").drop("most")
-    buckets = written(rows.join(shared, "band").select("band", "id", "least"), "buckets")
-
-    # First each node against the least node it shares a bucket with, then, where that left a bucket
-    # with the least node in another group, against the least nodes of those buckets.
-    stars = buckets.filter("id <> least").groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = written(rows.join(sizes, "band"), "sized")
+    # The hub of a bucket is the node with most neighbours in all its buckets: of texts that were edited
+    # from one, that one or the least edited.
+    degrees = buckets.groupBy("id").agg(F.sum("n").alias("degree"))
+    buckets = written(buckets.join(degrees, "id").select("band", "id", F.struct(-F.col("degree"), "id").alias("place")), "placed")
+    hubs = buckets.groupBy("band").agg(F.min("place").alias("hub"))
+    buckets = written(buckets.join(hubs, "band").select("band", "id", "hub"), "buckets")
+
+    # First each node against the best hub it shares a bucket with, then, where that left a bucket
+    # with its hub in another group, against the hubs of those buckets.
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    best = buckets.groupBy("id").agg(F.min("hub").alias("hub")).select("id", F.col("hub.id").alias("hub")).filter("id <> hub")
+    stars = best.select(*pair(F.col("id"), F.col("hub"))).distinct()
+    buckets = buckets.select("band", "id", F.col("hub.id").alias("hub"))
     first = _confirmed(_with_signatures(stars, nodes), docs)
     group = components(first)
-    named = written(buckets.join(group, "id", "left").select("band", "id", "least", F.coalesce("label", "id").alias("label")), "named")
+    named = written(buckets.join(group, "id", "left").select("band", "id", "hub", F.coalesce("label", "id").alias("label")), "named")
     mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    apart = named.join(mixed, "band", "left_semi").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"), F.col("label").alias("b_label")).distinct()
-    apart = apart.join(group.select(F.col("id").alias("a"), F.col("label").alias("a_label")), "a", "left").filter("coalesce(a_label, a) <> b_label").select("a", "b")
+    apart = named.join(mixed, "band", "left_semi").filter("id <> hub").select("hub", "id", "label").distinct()
+    apart = apart.join(group.select(F.col("id").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").filter("coalesce(hub_label, hub) <> label")
+    apart = apart.select(*pair(F.col("id"), F.col("hub"))).distinct()
     more = _confirmed(_with_signatures(apart.join(stars, ["a", "b"], "left_anti"), nodes), docs)
     first, stars = first.union(more), stars.union(apart)
     group = components(first)
