@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,12 @@ def latest_per_key(rows: DataFrame, keys: list[str], seq: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def newest_n(rows: DataFrame, keys: list[str], seq: str, n: int) -> DataFrame:
+    """The n rows of greatest sequence for every key."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq)))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
 def merge_filled(rows: DataFrame, key: str, seq: Column, filled: list[str], newest: list[str] = (), seen: str | None = None) -> DataFrame:
     """Upsert that keeps what it has: of every ``filled`` column the newest value that isn't null or empty,
     of ``newest`` columns the newest of all, and the first and last of ``seen``."""

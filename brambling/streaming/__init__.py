@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +35,24 @@ def merge_stream(stream: DataFrame, target: str, checkpoint: str, merge: Callabl
 
 def newest_version(spark: SparkSession, target: str, number: int) -> DataFrame:
     return spark.read.parquet(f"{target}/v{number}")
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream, one file a micro-batch."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parque"
+    return spark.readStream.schema(spark.read.parquet(path + "t").schema).option("maxFilesPerTrigger", 1).parquet(path + "[t]")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder the cluster names; a local one only where none is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "brambling-scratch")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def merged(stream: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the merged table holds after all that the stream has now; no rows where it has none."""
+    spark, home = stream.sparkSession, scratch(stream.sparkSession, "merged")
+    query = merge_stream(stream, f"{home}/table", f"{home}/checkpoint", merge)
+    query.awaitTermination()
+    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=None)
+    return spark.createDataFrame([], stream.schema) if last is None else newest_version(spark, f"{home}/table", last)
