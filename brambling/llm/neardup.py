@@ -9,9 +9,10 @@ rank limit, which changes no coordinate that is filled.
 
 Candidates share a band of sketch coordinates. Equal sets are one node from the start. Every
 node is first held against hubs of its buckets, which joins large groups of near copies with
-work in proportion to their rows. Buckets that then still hold several groups get their remaining
-pairs compared by sketch, in blocks that emit only likely links. Every link is confirmed by the exact
-Jaccard similarity of five-word shingles; groups are the connected components.
+work in proportion to their rows. Buckets that then still hold several groups are compared in blocks:
+likely pairs of different groups by their sets, each pair in the first bucket it shares, and only links
+that join two groups of the block leave it. Every link is confirmed by the exact Jaccard similarity of
+five-word shingles; groups are the connected components.
 
 With 32 bands of 4, two texts of similarity 0.8 share no band with probability 5e-8.
 
@@ -39,7 +40,8 @@ BANDS, ROWS = 32, 4
 T = BANDS * ROWS
 #: A pair of similarity 0.8 agrees on fewer of the 128 coordinates with a probability of 2e-5.
 LIKELY = 0.65
-BLOCK = 1000
+#: A block has about so many rows and shingles on each of its sides.
+BLOCK, BLOCK_SHINGLES = 1000, 4_000_000
 _EDGES = np.array([0, 1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0])
 _U64 = np.uint64
 
@@ -151,7 +153,7 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return keys.view(np.int64)
 
 
-SKETCHES = "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sig binary"
+SKETCHES = "doc_id bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>, sig binary"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +168,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, s in enumerate(sums):
                 np.add.at(s, owner, _mix(h + _U64(k + 11)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(s.view(np.int64), mask=~has) for s in sums), pa.array([k if ok else [] for k, ok in zip(keys, has)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())],
-            names=["doc_id", "k1", "k2", "bands", "sig"],
+            [batch.column("doc_id"), *(pa.array(s.view(np.int64), mask=~has) for s in sums), pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()), pa.array([k if ok else [] for k, ok in zip(keys, has)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())],
+            names=["doc_id", "k1", "k2", "size", "bands", "sig"],
         )
 
 
@@ -181,11 +183,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, _U64), np.frombuffer(y, _U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both >= SIMILARITY * (len(x) + len(y) - both))
+        ok = [_similar(np.frombuffer(x, _U64), np.frombuffer(y, _U64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -195,20 +193,35 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).mean(1) >= LIKELY))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; likely links between different labels, the pairs of a block never leaving it otherwise."""
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block; the exact links that join groups of a block, fewer than it has rows."""
     held: list[dict] = []
 
-    def pairs(rows: list[dict]) -> list[tuple[int, int]]:
+    def links(rows: list[dict]) -> list[tuple[int, int]]:
         sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(-1, T)
-        ids, labels, side = (np.array([r[c] for r in rows]) for c in ("id", "label", "side"))
+        bands = np.array([r["bands"] for r in rows], np.int64)
+        sets = [np.frombuffer(r["set"], _U64) for r in rows]
+        ids, side = (np.array([r[c] for r in rows]) for c in ("id", "side"))
+        group = np.unique([r["label"] for r in rows], return_inverse=True)[1]
+        sizes, band = np.array([len(s) for s in sets]), rows[0]["band"]
         out = []
         # Side 2: a block of its own, every pair once; side 0: held against the rows of side 1.
         for k in np.flatnonzero(side != 1):
-            other = np.flatnonzero((labels != labels[k]) & (ids > ids[k] if side[k] == 2 else side == 1))
-            if len(other):
-                hit = other[(sig[other] == sig[k]).mean(1) >= LIKELY]
-                out += [(int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))) for j in hit]
+            other = np.flatnonzero((group != group[k]) & (ids > ids[k] if side[k] == 2 else side == 1))
+            other = other[np.minimum(sizes[other], sizes[k]) >= SIMILARITY * np.maximum(sizes[other], sizes[k])]
+            agree = (sig[other] == sig[k]).mean(1)
+            other = other[agree >= LIKELY][np.argsort(-agree[agree >= LIKELY], kind="stable")]
+            shared = bands[other] == bands[k]
+            # Of the buckets that two rows share, the first one compares them.
+            for j in other[bands[other, shared.argmax(1)] == band]:
+                if group[j] != group[k] and _similar(sets[j], sets[k]):
+                    out.append((int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))))
+                    group[group == group[j]] = group[k]
         return out
 
     def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -218,20 +231,24 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for r in batch.to_pylist():
             if held and held[0]["block"] != r["block"]:
-                found += pairs(held)
+                found += links(held)
                 held = []
             held.append(r)
         yield out(found)
     if held:
-        yield out(pairs(held))
+        yield out(links(held))
+
+
+def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set: the sorted shingle hashes of the documents with these ids."""
+    texts = docs.join(ids.distinct(), docs["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
+    return written(texts.mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs a, b whose shingle sets are similar enough."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = written(texts.mapInArrow(_sets, "id bigint, set binary"), "sets")
+    sets = _set_table(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(_exact, "a bigint, b bigint"), "links")
 
@@ -247,8 +264,8 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(docs.mapInArrow(_sketches, SKETCHES), "sketches")
-    nodes = sketches.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min_by(F.struct("bands", "sig"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
-    nodes = written(nodes.select("k1", "k2", "id", "s.bands", "s.sig"), "nodes")
+    nodes = sketches.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min_by(F.struct("size", "bands", "sig"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
+    nodes = written(nodes.select("k1", "k2", "id", "s.size", "s.bands", "s.sig"), "nodes")
 
     rows = nodes.select("id", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
@@ -279,13 +296,15 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     # Buckets that still hold several groups: the rest against all others, in blocks.
     named = buckets.select("band", "id").join(group, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    counts = named.groupBy("band", "label").agg(F.count("*").alias("n"))
-    open_ = counts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1")
-    open_ = open_.select("band", "n", F.col("major.n").alias("n_major"), F.col("major.label").alias("major"))
+    named = named.join(nodes.select("id", "size"), "id")
+    counts = named.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    open_ = counts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("major"), F.count("*").alias("labels")).filter("labels > 1")
+    open_ = open_.select("band", "n", F.col("size").alias("size_all"), "major")
     dealt = named.join(open_, "band")
-    small = F.col("n") <= BLOCK
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    minor_blocks, major_blocks = blocks(F.col("n") - F.col("n_major")), blocks(F.col("n_major"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    small = (F.col("n") <= BLOCK) & (F.col("size_all") <= BLOCK_SHINGLES)
+    minor_blocks = blocks(F.col("n") - F.col("major.n"), F.col("size_all") - F.col("major.size"))
+    major_blocks = blocks(F.col("major.n"), F.col("major.size"))
     mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     name = lambda i, j: F.struct(F.col("band").alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     entry = lambda block, side: F.struct(block.alias("block"), F.lit(side).alias("side"))
@@ -295,11 +314,11 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         F.transform(F.sequence(F.lit(0), major_blocks - 1), lambda k: entry(name(m, -1 - k), 0)),
     )
     as_major = F.transform(F.sequence(F.lit(0), minor_blocks - 1), lambda k: entry(name(k, -1 - mj), 1))
-    where = F.when(small, F.array(entry(name(F.lit(0), F.lit(0)), 2))).when(F.col("label") == F.col("major"), as_major).otherwise(as_minor)
-    dealt = dealt.select("id", "label", F.explode(where).alias("w")).select("id", "label", "w.block", "w.side")
-    dealt = dealt.join(nodes.select("id", "sig"), "id").select(F.xxhash64("block").alias("block"), "side", "id", "label", "sig")
-    pairs = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
-    second = _confirmed(pairs.join(stars, ["a", "b"], "left_anti"), docs)
+    where = F.when(small, F.array(entry(name(F.lit(0), F.lit(0)), 2))).when(F.col("label") == F.col("major.label"), as_major).otherwise(as_minor)
+    dealt = written(dealt.select("id", "label", "band", F.explode(where).alias("w")).select("id", "label", "band", "w.side", F.xxhash64("w.block").alias("block")), "dealt")
+    sets = _set_table(docs, dealt.select("id")).join(nodes.select("id", "bands", "sig"), "id")
+    blocked = dealt.join(sets, "id").select("block", "side", "band", "id", "label", "bands", "sig", "set")
+    second = written(blocked.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links, "a bigint, b bigint"), "links")
     group = components(first.union(second))
 
     named = nodes.join(group, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("class_id"))
