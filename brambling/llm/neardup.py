@@ -110,18 +110,19 @@ def dart_sketch(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_
             rows, layer = np.repeat(rows, layers), np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
             base = _mix(elements[rows] + _U64(0xD1B54A32D192ED03) * (layer.astype(_U64) + _U64(1)))
             found = []
-            top, cell = limit[owner[rows]], 0
+            top, cell, below = limit[owner[rows]], 0, np.arange(len(rows))
             while True:
                 low = _EDGES[cell] if cell < 5 else float(cell - 4)
                 high = _EDGES[cell + 1] if cell < 5 else low + 1
-                live = np.flatnonzero(top > low)
+                below = live = below[top[below] > low]
                 if not len(live):
                     break
                 seed = _mix(base[live] + _U64(0x8CB92BA72F3D8DD7) * _U64(cell + 1))
                 u, area, k, chance = _unit(seed), high - low, 0, math.exp(-(high - low))
                 cdf = chance
                 while True:  # the number of darts in the cell has Poisson's law
-                    live, seed, u = live[u >= cdf], seed[u >= cdf], u[u >= cdf]
+                    on = np.flatnonzero(u >= cdf)
+                    live, seed, u = live[on], seed[on], u[on]
                     if not len(live):
                         break
                     k += 1
