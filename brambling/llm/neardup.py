@@ -199,51 +199,80 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(x) + len(y) - both)
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; the exact links that join groups of a block, fewer than it has rows."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows come sorted by block."""
     held: list[dict] = []
-
-    def links(rows: list[dict]) -> list[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(-1, T)
-        bands = np.array([r["bands"] for r in rows], np.int64)
-        sets = [np.frombuffer(r["set"], _U64) for r in rows]
-        ids, side = (np.array([r[c] for r in rows]) for c in ("id", "side"))
-        group = np.unique([r["label"] for r in rows], return_inverse=True)[1]
-        sizes, band = np.array([len(s) for s in sets]), rows[0]["band"]
-        out = []
-        # Side 2: a block of its own, every pair once; side 0: held against the rows of side 1.
-        for k in np.flatnonzero(side != 1):
-            other = np.flatnonzero((group != group[k]) & (ids > ids[k] if side[k] == 2 else side == 1))
-            other = other[np.minimum(sizes[other], sizes[k]) >= SIMILARITY * np.maximum(sizes[other], sizes[k])]
-            agree = (sig[other] == sig[k]).mean(1)
-            other = other[agree >= LIKELY][np.argsort(-agree[agree >= LIKELY], kind="stable")]
-            shared = bands[other] == bands[k]
-            # Of the buckets that two rows share, the first one compares them.
-            for j in other[bands[other, shared.argmax(1)] == band]:
-                if group[j] != group[k] and _similar(sets[j], sets[k]):
-                    out.append((int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))))
-                    group[group == group[j]] = group[k]
-        return out
-
-    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
     for batch in batches:
-        found = []
         for r in batch.to_pylist():
             if held and held[0]["block"] != r["block"]:
-                found += links(held)
+                yield held
                 held = []
             held.append(r)
-        yield out(found)
     if held:
-        yield out(links(held))
+        yield held
+
+
+def _likely_partners(rows: list[dict], group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of a row and of those of other groups that are likely links of it, the likeliest first."""
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(-1, T)
+    bands = np.array([r["bands"] for r in rows], np.int64)
+    ids, side, sizes = (np.array([r[c] for r in rows]) for c in ("id", "side", "size"))
+    # Side 2: a block of its own, every pair once; side 0: held against the rows of side 1.
+    for k in np.flatnonzero(side != 1):
+        other = np.flatnonzero((group != group[k]) & (ids > ids[k] if side[k] == 2 else side == 1))
+        other = other[np.minimum(sizes[other], sizes[k]) >= SIMILARITY * np.maximum(sizes[other], sizes[k])]
+        agree = (sig[other] == sig[k]).mean(1)
+        other = other[agree >= LIKELY][np.argsort(-agree[agree >= LIKELY], kind="stable")]
+        # Of the buckets that two rows share, the first one compares them.
+        first = (bands[other] == bands[k]).argmax(1)
+        other = other[bands[other, first] == rows[0]["band"]]
+        if len(other):
+            yield int(k), other
+
+
+def _groups(rows: list[dict]) -> np.ndarray:
+    return np.unique([r["label"] for r in rows], return_inverse=True)[1]
+
+
+PLACES = "block bigint, side int, band bigint, id bigint, label bigint"
+
+
+def _block_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block that have a likely partner in it."""
+    for rows in _blocks(batches):
+        hit = np.zeros(len(rows), bool)
+        for k, other in _likely_partners(rows, _groups(rows)):
+            hit[k] = hit[other] = True
+        found = [rows[k] for k in np.flatnonzero(hit)]
+        if found:
+            kinds = [("block", pa.int64()), ("side", pa.int32()), ("band", pa.int64()), ("id", pa.int64()), ("label", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], kind) for c, kind in kinds], names=[c for c, _ in kinds])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact links that join groups of a block, fewer than it has rows."""
+    for rows in _blocks(batches):
+        sets, group, out = [np.frombuffer(r["set"], _U64) for r in rows], _groups(rows), []
+        for k, other in _likely_partners(rows, group):
+            for j in other:
+                if group[j] != group[k] and _similar(sets[j], sets[k]):
+                    out.append(sorted((rows[k]["id"], rows[j]["id"])))
+                    group[group == group[j]] = group[k]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set: the sorted shingle hashes of the documents with these ids."""
-    texts = docs.join(ids.distinct(), docs["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
-    return written(texts.mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+    """id, set: the sorted shingle hashes of the documents with these ids, and of few others.
+
+    Other texts are left out before any shuffle by a bitmap of hashed ids: 2^24 bits in at most 2^18
+    broadcast rows, whatever the number of ids. Joins on id drop what passes it by chance.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 24)).cast("long")
+    word, bit = (lambda c: F.shiftright(place(c), 6)), (lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64L) AS INT))"))
+    bitmap = ids.groupBy(word("id").alias("_word")).agg(F.bit_or(bit("id")).alias("_mask"))
+    texts = docs.withColumn("_word", word("doc_id")).join(F.broadcast(bitmap), "_word").filter(F.col("_mask").bitwiseAND(bit("doc_id")) != 0)
+    return written(texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -317,9 +346,11 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     as_major = F.transform(F.sequence(F.lit(0), minor_blocks - 1), lambda k: entry(name(k, -1 - mj), 1))
     where = F.when(small, F.array(entry(name(F.lit(0), F.lit(0)), 2))).when(F.col("label") == F.col("major.label"), as_major).otherwise(as_minor)
     dealt = written(dealt.select("id", "label", "band", F.explode(where).alias("w")).select("id", "label", "band", "w.side", F.xxhash64("w.block").alias("block")), "dealt")
-    sets = _set_table(docs, dealt.select("id")).join(nodes.select("id", "bands", "sig"), "id")
-    blocked = dealt.join(sets, "id").select("block", "side", "band", "id", "label", "bands", "sig", "set")
-    second = written(blocked.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links, "a bigint, b bigint"), "links")
+    traits = nodes.select("id", "size", "bands", "sig")
+    in_blocks = lambda rows: rows.repartition("block").sortWithinPartitions("block")
+    likely = written(in_blocks(dealt.join(traits, "id")).mapInArrow(_block_candidates, PLACES), "likely")
+    sets = _set_table(docs, likely.select("id")).join(traits, "id")
+    second = written(in_blocks(likely.join(sets, "id")).mapInArrow(_block_links, "a bigint, b bigint"), "links")
     group = components(first.union(second))
 
     named = nodes.join(group, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("class_id"))

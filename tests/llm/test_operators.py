@@ -191,3 +191,28 @@ def test_pipeline_stages_keep_columns(spark):
             docs = spark.createDataFrame(docs.toPandas(), docs.schema)
             assert docs.columns == columns
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0 and docs.count() > 0
+
+
+def test_near_duplicates_without_a_centre(spark, monkeypatch):
+    """Copies of texts that aren't in the table link among themselves only, whatever the size of a block."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(4):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        for _ in range(25):
+            t = list(base)
+            for x in rng.integers(0, 120, rng.integers(1, 4)):
+                t[x] = f"v{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    for block in (1000, 12):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert dict(got) == dict(enumerate(label))
