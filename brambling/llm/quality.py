@@ -65,8 +65,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_rows: int) -> tuple[np.ndarray, float]:
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_qc_y"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array(*features(F.col(text_col))).alias("_qc_x")).join(known, "doc_id")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("_qc_x", "_qc_y").collect()
+    # The sample is taken before the join: at most fit_rows broadcast rows, and features of their texts only.
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_qc_t")).join(F.broadcast(known), "doc_id")
+    got = rows.select("doc_id", F.array(*features(F.col("_qc_t"))).alias("_qc_x"), "_qc_y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("_qc_x", "_qc_y").collect()
     x = np.array([r[0] for r in got], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in got], float))
 
@@ -126,7 +128,8 @@ def _site() -> dict[str, Column]:
 
 
 def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score_documents(docs, labels, **_site())
+    """``docs`` with their scores; evidence is written beside them, as both the sites and the scores read it."""
+    return with_sites(written(with_evidence(docs, labels), "evidence"), **_site())
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
