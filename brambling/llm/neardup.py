@@ -64,7 +64,7 @@ def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, n
     """Text number, shingle hash and count of the distinct shingles of every text, sorted by both."""
     import xxhash
 
-    if len(_word_hashes) > 500_000:
+    if len(_word_hashes) > 100_000:
         _word_hashes.clear()
     flat: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
