@@ -225,6 +225,16 @@ def merge_nonempty_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_filled(rows, "key", F.col("page_id"), ["url", "title"], seen="page_id")
 
 
+@plan(f"""
+SELECT key, arg_max(url, page_id) FILTER (WHERE url <> '') AS url, arg_max(title, page_id) FILTER (WHERE title <> '') AS title, min(page_id) AS first_seen, max(page_id) AS last_seen
+FROM (SELECT page_id, url, {URL_KEY} AS key, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS title FROM pages) GROUP BY key""")
+def merge_nonempty_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``merge_nonempty_upsert`` with the whole page as the value that is carried."""
+    key = F.regexp_replace(F.regexp_replace(F.lower("url"), "^https?://(www\\.|m\\.)?", ""), "[?#].*$", "")
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", key.alias("key"), F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("html")).alias("title"))
+    return merge.merge_filled(rows, "key", F.col("page_id"), ["url", "title"], seen="page_id")
+
+
 @plan(f"SELECT page_id, {URL_KEY} AS key, regexp_extract({URL_KEY}, '([^/]*)$', 1) AS last FROM pages")
 def clean_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.regexp_replace(F.regexp_replace(F.lower("url"), "^https?://(www\\.|m\\.)?", ""), "[?#].*$", "")
@@ -319,7 +329,17 @@ def vector_merge_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("SELECT doc_id, array_to_string(list_transform(string_split(left(text, 400), ' '), lambda x: x), ' ') AS text FROM documents")
 def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token positions, and the text from them again."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.left("text", F.lit(400)), " ")).alias("place", "token"))
+    return _index_roundtrip(table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(400)).alias("text")))
+
+
+@plan("SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda x: x), ' ') AS text FROM documents")
+def inverted_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``inverted_index_roundtrip`` over every word of every text."""
+    return _index_roundtrip(table(spark, sf_dir, "documents"))
+
+
+def _index_roundtrip(docs: DataFrame) -> DataFrame:
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "token"))
     index = words.groupBy("doc_id", "token").agg(F.collect_list("place").alias("places"))
     back = index.select("doc_id", F.explode("places").alias("place"), "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("w"))
     return back.select("doc_id", F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("text"))

@@ -26,6 +26,16 @@ def test_query_equals_oracle(spark, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(catalog.ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["inverted_index_whole", "merge_nonempty_whole"])
+def test_whole_values_equal_oracle(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, column = catalog.QUERIES[name](spark, SF).toPandas(), {"inverted_index_whole": "text", "merge_nonempty_whole": "title"}[name]
+    assert rows(got) == rows(con.sql(catalog.ORACLE_SQL[name]).df())
+    assert got[column].str.len().max() > 10_000
+
+
 def test_revision_guard(spark):
     base = spark.createDataFrame([("m", 1, "old")], "k string, revision long, text string")
     deltas = spark.createDataFrame([("m", 1, 2, False, "no"), ("m", 2, 1, False, "yes"), ("m", 3, 2, True, None), ("m", 4, 3, False, "late")], "k string, seq int, expected long, deleted boolean, text string")
