@@ -5,12 +5,14 @@ space is dropped, so the ids of a text are the ids of its space-separated units
 what follows them are different pre-tokens in both, so a unit's ids are those of its letters and of
 its tail. The units of many texts are made distinct by Arrow, each distinct run of letters is encoded
 once and kept in a bounded memo, and the ids are gathered by numpy. Texts in which white space is
-arranged so that a cut could matter are encoded whole.
+arranged so that a cut could matter are encoded whole, and so are those that hold the literal of an
+added token ('<|endoftext|>'), which the library's encode turns into that token's one id.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +52,10 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind, self.space = kind, " " * (kind == "byte")
+        # Units of kind ``word`` are put in lower case, which must not make an added token of one that isn't.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([_WHOLE[kind], *(f"(?i:{x})" if kind == "word" else x for x in added)])
         self.memo: dict[str, bytes] = {"": b""}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -93,7 +97,7 @@ class UnitEncoder:
         if not len(texts):
             return []
         texts = texts.cast(pa.large_string())
-        whole = pc.match_substring_regex(texts, _WHOLE[self.kind])
+        whole = pc.match_substring_regex(texts, self.whole)
         first, nothing = (pa.scalar(x, pa.large_string()) for x in (_FIRST, ""))
         plain = pc.if_else(whole, nothing, texts)
         cut = pc.split_pattern(pc.binary_join_element_wise(first, plain, nothing), " ") if self.space else pc.utf8_split_whitespace(plain)

@@ -40,6 +40,19 @@ def test_units_equal_the_library(kind, file):
     assert [x.tolist() for x in enc.encode(pa.array(texts))] == want
 
 
+@pytest.mark.parametrize("kind,file", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
+def test_added_tokens_equal_a_fresh_library(kind, file):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh, rng = Tokenizer.from_file(public_tokenizers.path(file)), random.Random(4)
+    alpha = list("ab A .,!|<>é漢\n") + ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|endoftext", "|>", "don't "]
+    texts = ["".join(rng.choice(alpha) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["a <|endoftext|> b", "<|ENDOFTEXT|>"]
+    want = [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert fresh.token_to_id("<|endoftext|>") in want[-2] and fresh.token_to_id("<|endoftext|>") not in want[-1]
+    assert [x.tolist() for x in tokens.UnitEncoder(public_tokenizers.path(file), kind).encode(pa.array(texts))] == want
+
+
 def test_blocks_round_trip():
     for mode in ("bit", "byte"):
         for ids in (np.zeros(0, "<u4"), np.zeros(5, "<u4"), np.arange(70_001, dtype="<u4") * 61):
