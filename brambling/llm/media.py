@@ -13,9 +13,11 @@ text as empty, keeps repeated rows and null ids, and gives no rows for an empty
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,7 @@ SIGNATURES = [
 ]
 UNKNOWN = "application/octet-stream"
 SAMPLE_RATE, UNIT, PAD = 16_000, 192, b" "
+_XREF = re.compile(rb"\s{0,4}(?:xref|[0-9]+\s+[0-9]+\s+obj)")
 
 
 def _png(b: bytes, at: int) -> int | None:
@@ -129,19 +132,46 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if ok else None
 
 
+@lru_cache(maxsize=1)
+def _pdf_ends(b: bytes) -> dict[int, int]:
+    """Of every PDF header with an end: where its last update ends.
+
+    An end belongs to the latest header from which its startxref leads to a table or an object. Where
+    none is led right, it closes the innermost header that has no end yet, or else the latest.
+    """
+    ends, headers, unclosed = {}, [], []
+    for m in re.finditer(rb"%PDF-[0-9]|startxref\s*([0-9]*)(?:(?!startxref|%PDF-[0-9]).)*?%%EOF", b, re.DOTALL):
+        if m[1] is None:
+            headers.append(m.start())
+            unclosed.append(m.start())
+        elif headers:
+            to = int(m[1]) if 0 < len(m[1]) < 16 else 0
+            led = next((h for h in reversed(headers) if to and h + to < m.start() and _XREF.match(b, h + to)), None)
+            owner = led if led is not None else unclosed[-1] if unclosed else headers[-1]
+            while unclosed and unclosed[-1] >= owner:
+                unclosed.pop()
+            ends[owner] = m.end()
+    return ends
+
+
 def _pdf(b: bytes, at: int) -> int | None:
-    if not b[at + 5 : at + 6].isdigit():
-        return None
-    end, start = b.rfind(b"%%EOF"), b.rfind(b"startxref")
-    return end + 5 if at < start < end else None
+    return _pdf_ends(b).get(at)
+
+
+@lru_cache(maxsize=1)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Of every place to which the directory of an end record leads back: where the first such record ends."""
+    ends, p = {}, b.find(b"PK\x05\x06")
+    while 0 <= p <= len(b) - 22:
+        size, start, note = struct.unpack_from("<IIH", b, p + 12)
+        if p >= start + size and b.startswith(b"PK\x01\x02", p - size):
+            ends.setdefault(p - size - start, p + 22 + note)
+        p = b.find(b"PK\x05\x06", p + 4)
+    return ends
 
 
 def _zip(b: bytes, at: int) -> int | None:
-    p = b.rfind(b"PK\x05\x06")
-    if p < at or p + 22 > len(b):
-        return None
-    size, start, note = struct.unpack_from("<IIH", b, p + 12)
-    return p + 22 + note if at + start + size == p and b.startswith(b"PK\x01\x02", at + start) else None
+    return _zip_ends(b).get(at)
 
 
 def _gzip(b: bytes, at: int) -> int | None:

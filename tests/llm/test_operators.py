@@ -103,6 +103,44 @@ def test_media(edge, empty):
     assert media.sniff(outer) == ("audio/wav", [("audio/wav", 46, len(wav))]) and media.sniff(None) == (None, []) and media.sniff(outer[:-1])[0] != "audio/wav"
 
 
+def _pdf_file(note: bytes, updates: int = 0) -> bytes:
+    b = b"%PDF-1.4\n1 0 obj\n" + note + b"\nendobj\n"
+    for _ in range(updates + 1):
+        b += b"xref\n0 1\ntrailer\n<<>>\nstartxref\n" + str(len(b)).encode() + b"\n%%EOF"
+    return b
+
+
+def test_media_carves_neighbours():
+    import io
+    import struct
+    import zipfile
+
+    def archive(text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("a.bin", text)
+            z.writestr("b.txt", "more")
+        return out.getvalue()
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    inner = _pdf_file(b"in")
+    cases = {
+        "application/zip": [archive("one"), archive("two"), archive(archive("nested")), archive("two")],
+        "application/pdf": [_pdf_file(b"one"), _pdf_file(b"one"), _pdf_file(b"two", 2), _pdf_file(b"x" + inner + b"y", 1), b"%PDF-1.4\nstartxref\n0\n%%EOF", _pdf_file(b"one")],
+    }
+    for kind, objects in cases.items():
+        payload, want = b"head", []
+        for x in objects:
+            for found, part in ((kind, x), ("image/png", png)):
+                want.append((found, len(payload), len(part)))
+                payload += part + b"--"
+        assert media.sniff(payload) == (media.UNKNOWN, want)
+        assert all(media.sniff(x)[0] == kind for x in objects) and media.sniff(objects[0] + png + objects[1])[0] == kind
+    lost = b"%PDF-1.4\nno end " + _pdf_file(b"two", 1)
+    assert media.sniff(b"head" + lost)[1] == [("application/pdf", 20, len(lost) - 16)]
+
+
 def test_near_duplicates(spark, edge, empty):
     rng = random.Random(5)
     base = [[f"t{rng.randrange(4000)}" for _ in range(300)] for _ in range(6)]
