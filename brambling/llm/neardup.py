@@ -16,9 +16,11 @@ five-word shingles; groups are the connected components.
 
 With 32 bands of 4, two texts of similarity 0.8 share no band with probability 5e-8.
 
-Nulls and edges: null or blank text has no shingles and is its own group; a text of fewer than five
-words is one shingle; equal sets are a group whatever their number; a document without doc_id joins
-groups of equal sets only and is kept; rows of one doc_id are one document; an empty table gives no
+Nulls and edges: null or blank text has no shingles and is its own group, as in the query's SQL, but
+``drop_near_duplicates`` keeps one of equal blank texts; null texts are not equal and all stay. A text
+of fewer than five words is one shingle; equal sets are a group whatever their number; a document
+without doc_id joins groups of equal sets only, and is dropped where one with doc_id or another without
+has an equal set or the same blank text; rows of one doc_id are one document; an empty table gives no
 rows; other columns are kept.
 """
 
@@ -157,6 +159,31 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 SKETCHES = "doc_id bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>, sig binary"
 
 
+def _set_sums(texts: list[str | None], owner: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Two sums that name a set of shingles, and a blank text by its own hash."""
+    import xxhash
+
+    with np.errstate(over="ignore"):
+        sums = [np.zeros(len(texts), _U64) for _ in range(2)]
+        for k, s in enumerate(sums):
+            np.add.at(s, owner, _mix(h + _U64(k + 11)))
+    for k in np.flatnonzero(np.bincount(owner, minlength=len(texts)) == 0):
+        if texts[k] is not None:
+            for j, s in enumerate(sums):
+                s[k] = xxhash.xxh3_64_intdigest(texts[k], seed=j + 11)
+    return sums
+
+
+def _set_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds k1 and k2 to rows with the column _nd_text; null where the text is."""
+    for batch in batches:
+        texts = batch.column("_nd_text").to_pylist()
+        owner, h, _ = shingles(texts)
+        null = np.array([x is None for x in texts], bool)
+        sums = [pa.array(s.view(np.int64), mask=null) for s in _set_sums(texts, owner, h)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *sums], names=[*batch.schema.names, "_nd_k1", "_nd_k2"])
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -164,12 +191,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, has = dart_sketch(owner, h, np.ones(len(counts)), len(texts))
         keys = band_keys(sketch)
         sig = sketch.view(np.uint8).reshape(len(texts), T, 8)[:, :, 3]
-        with np.errstate(over="ignore"):
-            sums = [np.zeros(len(texts), _U64) for _ in range(2)]
-            for k, s in enumerate(sums):
-                np.add.at(s, owner, _mix(h + _U64(k + 11)))
+        null = np.array([x is None for x in texts], bool)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(s.view(np.int64), mask=~has) for s in sums), pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()), pa.array([k if ok else [] for k, ok in zip(keys, has)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())],
+            [batch.column("doc_id"), *(pa.array(s.view(np.int64), mask=null) for s in _set_sums(texts, owner, h)), pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()), pa.array([k if ok else [] for k, ok in zip(keys, has)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())],
             names=["doc_id", "k1", "k2", "size", "bands", "sig"],
         )
 
@@ -291,6 +315,12 @@ def _with_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id of the group) of every row."""
+    rows = _grouped(docs, id_col, text_col)
+    return rows.select("doc_id", F.when(F.col("size") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, k1, k2, size, class_id of every row; equal blank texts are a group here, and class_id is null where no row with doc_id has the key."""
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(docs.mapInArrow(_sketches, SKETCHES), "sketches")
@@ -354,16 +384,21 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     group = components(first.union(second))
 
     named = nodes.join(group, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("class_id"))
-    out = sketches.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return sketches.select("doc_id", "k1", "k2", "size").join(named, ["k1", "k2"], "left")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of least id of every group, once; those without id stay."""
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col)
-    keep = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_nd_id")).distinct()
+    """``docs`` with the document of least id of every group, once; of those without id one of each key that none with id has."""
+    groups = _grouped(docs, id_col, text_col)
+    keep = groups.filter("doc_id = coalesce(class_id, doc_id)").select(F.col("doc_id").alias("_nd_id")).distinct()
     kept = docs.join(keep, docs[id_col].cast("long") == keep["_nd_id"], "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.filter(F.col(id_col).isNull()))
+    loose = docs.filter(F.col(id_col).isNull())
+    keyed = loose.withColumn("_nd_text", F.col(text_col)).filter("_nd_text is not null")
+    keyed = keyed.mapInArrow(_set_keys, keyed.withColumns({"_nd_k1": F.lit(0).cast("long"), "_nd_k2": F.lit(0).cast("long")}).schema)
+    firsts = keyed.dropDuplicates(["_nd_k1", "_nd_k2"])
+    taken = groups.filter("doc_id is null and class_id is not null").select(F.col("k1").alias("_nd_k1"), F.col("k2").alias("_nd_k2")).distinct()
+    alone = firsts.join(taken, ["_nd_k1", "_nd_k2"], "left_anti").select(*docs.columns)
+    return kept.union(alone).union(loose.filter(F.col(text_col).isNull()))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,17 @@ def test_near_duplicates(spark, edge, empty):
     assert neardup.near_duplicate_classes(empty).count() == 0
 
 
+def test_equal_texts_leave_one(spark):
+    few = "same words here"
+    rows = [(1, ""), (2, ""), (3, " "), (4, None), (5, None), (6, few), (None, few), (None, ""), (None, "\t"), (None, "\t"), (None, "only  here"), (None, "only here"), (None, None), (7, "\n"), (8, "\n"), (9, "")]
+    docs = spark.createDataFrame([(*r, {"a": "b"}) for r in rows], "doc_id long, text string, more map<string,string>").repartition(3)
+    kept = [(r.doc_id, " ".join(r.text.split()) if r.text and r.text.strip() else r.text) for r in neardup.drop_near_duplicates(docs).collect()]
+    want = [(1, ""), (3, " "), (4, None), (5, None), (6, few), (7, "\n"), (None, "\t"), (None, "only here"), (None, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    classes = neardup.near_duplicate_classes(docs.filter("doc_id is not null")).collect()
+    assert all(r.doc_id == r.class_id for r in classes) and len(classes) == 9
+
+
 def test_dart_sketch_estimates_weighted_similarity():
     w1, w2 = np.r_[np.ones(300), np.full(50, 3.0)], np.r_[np.ones(300), np.full(50, 1.0)]
     e = np.arange(350, dtype=np.uint64) * np.uint64(7919)
