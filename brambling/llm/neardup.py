@@ -14,7 +14,8 @@ likely pairs of different groups by their sets, each pair in the first bucket it
 that join two groups of the block leave it. Every link is confirmed by the exact Jaccard similarity of
 five-word shingles; groups are the connected components.
 
-With 32 bands of 4, two texts of similarity 0.8 share no band with probability 5e-8.
+With 32 bands of 4, two texts of similarity 0.8 share no band with probability 5e-8. Candidates must
+also agree on 55 % of their one-byte signatures, which such texts fail with probability 8e-11.
 
 Nulls and edges: null or blank text has no shingles and is its own group, as in the query's SQL, but
 ``drop_near_duplicates`` keeps one of equal blank texts; null texts are not equal and all stay. A text
@@ -40,8 +41,8 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 T = BANDS * ROWS
-#: A pair of similarity 0.8 agrees on fewer of the 128 coordinates with a probability of 2e-5.
-LIKELY = 0.65
+#: A pair of similarity 0.8 agrees on fewer of the 128 one-byte signatures with a probability of 8e-11.
+LIKELY = 0.55
 #: A block has about so many rows and shingles on each of its sides.
 BLOCK, BLOCK_SHINGLES = 1000, 4_000_000
 _EDGES = np.array([0, 1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0])

@@ -178,6 +178,14 @@ def test_equal_texts_leave_one(spark):
     assert all(r.doc_id == r.class_id for r in classes) and len(classes) == 9
 
 
+def test_likely_misses_less_than_the_bands():
+    from math import ceil, comb
+
+    p, t = neardup.SIMILARITY + (1 - neardup.SIMILARITY) / 256, neardup.T
+    missed = sum(comb(t, k) * p**k * (1 - p) ** (t - k) for k in range(ceil(neardup.LIKELY * t)))
+    assert missed < (1 - neardup.SIMILARITY**neardup.ROWS) ** neardup.BANDS
+
+
 def test_dart_sketch_estimates_weighted_similarity():
     w1, w2 = np.r_[np.ones(300), np.full(50, 3.0)], np.r_[np.ones(300), np.full(50, 1.0)]
     e = np.arange(350, dtype=np.uint64) * np.uint64(7919)
