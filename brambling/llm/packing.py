@@ -2,14 +2,17 @@
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. Its
 covering program - use as few configurations (multisets of lengths that fit) as possible so that
-every piece is covered - is solved by multiplicative weights: lengths that are covered already get
-cheaper, and a knapsack dynamic program finds the configurations of largest price. The solution is
-rounded down; best fit places what is left. The plan, a bounded number of rows, then goes back to
-the pieces: each gets its rank among the pieces of its length, and the plan says which ranks lie in
-which sequence.
+every piece is covered - is solved by multiplicative weights: a length gets cheaper by what a round
+covers of it, and a knapsack dynamic program prices the configurations. Any prices give a lower bound
+of the program, and the rounds end when the solution is within ``GAP`` of the best one. Its amounts
+are rounded down, what they lack is carried on to the next configuration, and best fit places the
+pieces that are left. The plan, whose size depends on the lengths, goes back to the pieces: each
+gets its rank among the pieces of its length, and the plan says which ranks lie in which sequence.
 
 Nulls and edges: null and empty texts are documents of one id, the end id; a null doc_id is kept;
-repeated rows are packed each for itself; an empty table gives no rows; extra columns are ignored.
+very long texts give any number of full pieces, each a sequence of its own; pieces of equal length
+are interchangeable, and their order in the written table breaks the tie; repeated rows are packed
+each for itself; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ from .common import table, tune, written
 from .tokens import chunks, encoder
 
 CAPACITY, END_ID = 1024, 2
-ROUNDS, RATE = 60, 0.5
-RANK_BUCKETS = 128
-#: Rounding loses where few pieces share a length; of these shares of the solution the one that needs fewest sequences is used.
-ROUNDINGS = (1.0, 0.75, 0.5, 0.25, 0.0)
+#: The solution's distance from its lower bound, how much a round may cover of a length, how fast prices fall, how far from the
+#: dearest a configuration may be at first (it then halves after 40 rounds, and so on).
+GAP, STEP, RATE, SLACK, ROUNDS = 0.02, 0.1, 0.4, 0.05, 400
+#: Room that configurations of a rounding may leave: of these the one that needs fewest sequences is used.
+WASTES = (0, 8, CAPACITY)
+#: Ranks of a length are counted in buckets of about so many pieces.
+RANK_ROWS = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -59,62 +65,75 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
     return rows.mapInArrow(_cutter(vocabulary, end_id, capacity), PIECES)
 
 
-def _knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each room: the largest total value of lengths that fit, and the length to take first (0: leave one free)."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
+def _knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room the largest price of a multiset of lengths (ascending) that fits."""
+    best, of, fitting = np.zeros(capacity + 1), price[lengths], np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        gain = best[room - 1 :: -1][:room] + value[1 : room + 1]  # of taking length 1..room
-        k = int(gain.argmax())
-        best[room], take[room] = best[room - 1], 0
-        if gain[k] > best[room]:
-            best[room], take[room] = gain[k], k + 1
-    return best, take
+        m = fitting[room]
+        best[room] = max(best[room - 1], (of[:m] + best[room - lengths[:m]]).max()) if m else best[room - 1]
+    return best
 
 
-def _configuration(first: int, take: np.ndarray, capacity: int) -> tuple[int, ...]:
-    items, room = [first], capacity - first
+def _configuration(first: int, price: np.ndarray, best: np.ndarray, live: np.ndarray, lengths: np.ndarray, least: float) -> list[int] | None:
+    """A configuration that holds ``first`` and costs ``least`` or more, of live lengths; the dearest choice that is left at each room."""
+    items, worth, room = [first], price[first], len(best) - 1 - first
     while room > 0:
-        if take[room]:
-            items.append(int(take[room]))
-            room -= int(take[room])
-        else:
-            room -= 1
-    return tuple(sorted(items, reverse=True))
-
-
-def fractional_configurations(need: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights for the covering program: configurations and how often to use each.
-
-    A round prices lengths, runs one knapsack program and reads from its table, for every length
-    that still is dear, the best configuration that holds it. Each is used for a share of what its
-    scarcest length needs; lengths then get cheaper by how far the round covered them.
+        fit = lengths[: np.searchsorted(lengths, room, side="right")]
+        fit = fit[live[fit]]
+        if not len(fit):
+            break
+        dear = price[fit] + best[room - fit]
+        k = int(dear.argmax())
+        if worth + dear[k] < least:
+            return None
+        items.append(int(fit[k]))
+        worth, room = worth + price[fit[k]], room - int(fit[k])
+    return items if worth >= least else None
+
+
+def fractional_configurations(need: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
+    """Multiplicative weights for the covering program: how often to use each configuration, and a lower bound.
+
+    Prices start at the share of a sequence that a length takes. A round runs the knapsack program
+    once; every configuration close to the dearest may then be used until one of its lengths has been
+    covered by ``STEP`` in this round, as prices can't have fallen far. The amounts cover every
+    length; their sum is at most (1 + GAP) times the bound unless the rounds run out.
     """
     n = np.zeros(capacity + 1)
     for length, count in need.items():
         n[length] = count
-    there = n > 0
-    price = np.where(there, np.arange(capacity + 1) / capacity, 0.0)
-    covered, used = np.zeros(capacity + 1), Counter()
-    for _ in range(rounds):
-        best, take = _knapsack(np.where(there, price, 0.0), capacity)
-        lengths = np.flatnonzero(there & (covered < 1))
-        if not len(lengths):
+    lengths = np.flatnonzero(n)
+    if not len(lengths):
+        return {}, 0.0
+    price, covered, used, lower = np.arange(capacity + 1) / capacity, np.zeros(capacity + 1), Counter(), 0.0
+    price[n == 0] = 0
+    for t in range(rounds):
+        best = _knapsack(price, lengths, capacity)
+        lower = max(lower, float(n @ price) / best[capacity])  # prices over the dearest configuration are a dual solution
+        left, live, least = n * STEP, n > 0, (1 - SLACK * 40 / (40 + t)) * best[capacity]
+        for first in lengths[np.argsort(-price[lengths] / lengths, kind="stable")]:
+            while live[first] and price[first] + best[capacity - first] >= least:
+                items = _configuration(int(first), price, best, live, lengths, least)
+                if items is None:
+                    break
+                counts = Counter(items)
+                step = min(left[k] / c for k, c in counts.items())
+                used[tuple(sorted(items, reverse=True))] += step
+                for k, c in counts.items():
+                    left[k] -= c * step
+                    live[k] = left[k] > 1e-9 * n[k]
+        share = (n[lengths] * STEP - left[lengths]) / n[lengths]
+        covered[lengths] += share
+        price[lengths] *= np.exp(-RATE * share)
+        scale = covered[lengths].min()
+        if scale > 0 and sum(used.values()) <= (1 + GAP) * lower * scale:
             break
-        worth = price[lengths] + best[capacity - lengths]
-        for length in lengths[worth >= (1 - rate) * worth.max()]:
-            if covered[length] >= 1:
-                continue
-            counts = Counter(_configuration(int(length), take, capacity))
-            if any(covered[k] >= 1 for k in counts):
-                step = min(n[k] / c for k, c in counts.items()) * rate / 4
-            else:
-                step = min((1 - covered[k]) * n[k] / c for k, c in counts.items()) * rate
-            used[tuple(sorted(counts.elements(), reverse=True))] += step
-            for k, c in counts.items():
-                share = c * step / n[k]
-                covered[k] += share
-                price[k] *= np.exp(-share)
-    return dict(used)
+    scale = covered[lengths].min()
+    if scale <= 0:  # the rounds ended before every length was covered: those get sequences of their own
+        for k in lengths[covered[lengths] <= 0]:
+            used[int(k),] += n[k]
+        scale = min(1.0, covered[lengths][covered[lengths] > 0].min(initial=1.0))
+    return {items: amount / scale for items, amount in used.items()}, lower
 
 
 def _best_fit(need: Counter, capacity: int) -> Counter:
@@ -163,25 +182,29 @@ def _fill(open_by_room: dict[int, Counter], room: int, items: tuple, length: int
 
 
 def plan(need: dict[int, int], capacity: int = CAPACITY) -> Counter:
-    """Configurations and how many sequences use each; together they hold every piece exactly once."""
+    """Configurations and how many sequences use each; together they hold every piece shorter than ``capacity`` exactly once."""
     short = Counter({k: v for k, v in need.items() if 0 < k < capacity and v > 0})
-    fixed = Counter({(capacity,): need[capacity]}) if need.get(capacity) else Counter()
-    amounts = sorted(fractional_configurations(short, capacity).items(), key=lambda x: (-sum(x[0]), x[0]))
-    plans = [_rounded(short, amounts, share, capacity) for share in ROUNDINGS]
-    return min(plans, key=lambda p: sum(p.values())) + fixed
+    amounts = sorted(fractional_configurations(short, capacity)[0].items(), key=lambda x: (-sum(x[0]), x[0]))
+    return min((_rounded(short, amounts, waste, capacity)[0] for waste in WASTES), key=lambda p: sum(p.values()))
+
 
+def _rounded(need: Counter, amounts: list[tuple[tuple[int, ...], float]], waste: int, capacity: int) -> tuple[Counter, int]:
+    """The plan, and how many of its sequences the program gives.
 
-def _rounded(need: Counter, amounts: list[tuple[tuple[int, ...], float]], share: float, capacity: int) -> Counter:
-    """A share of every amount rounded down, as far as pieces are left, and best fit for the rest."""
-    left, out = Counter(need), Counter()
+    Amounts of the configurations that leave ``waste`` or less are rounded down as far as pieces are
+    left; the fraction (and what pieces lacked, two at most) goes on to the next. Best fit places the rest.
+    """
+    left, out, carried = Counter(need), Counter(), 0.0
     for items, amount in amounts:
-        counts = Counter(items)
-        k = min(int(amount * share), min(left[x] // c for x, c in counts.items()))
+        if capacity - sum(items) > waste:
+            continue
+        counts, carried = Counter(items), carried + amount
+        k = min(int(carried), *(left[x] // c for x, c in counts.items()))
         if k > 0:
             out[items] += k
-            for x, c in counts.items():
-                left[x] -= c * k
-    return out + _best_fit(+left, capacity)
+            left.subtract({x: c * k for x, c in counts.items()})
+        carried = min(carried - k, 2.0)
+    return out + _best_fit(+left, capacity), sum(out.values())
 
 
 def plan_rows(configurations: Counter) -> list[tuple[int, int, int, int, int, list[int]]]:
@@ -200,30 +223,45 @@ def plan_rows(configurations: Counter) -> list[tuple[int, int, int, int, int, li
     return rows
 
 
+def _ranked(pieces: DataFrame, need: dict[int, int], capacity: int) -> DataFrame:
+    """Adds _pk_rank, the number of a piece among those of its length, counted in buckets of the written rows."""
+    buckets = F.array(*[F.lit(1 + need.get(k, 0) // RANK_ROWS) for k in range(capacity)])  # a constant of ``capacity`` numbers
+    dealt = pieces.withColumn("_pk_bucket", F.pmod("_pk_row", F.get(buckets, F.col("length").cast("int")).cast("long")))
+    sizes = dealt.groupBy("length", "_pk_bucket").agg(F.count("*").alias("_pk_n"))
+    sizes = sizes.select("length", "_pk_bucket", (F.sum("_pk_n").over(Window.partitionBy("length").orderBy("_pk_bucket")) - F.col("_pk_n")).alias("_pk_before"))
+    within = Window.partitionBy("length", "_pk_bucket").orderBy("_pk_row")
+    ranked = dealt.withColumn("_pk_in", F.row_number().over(within)).join(sizes, ["length", "_pk_bucket"])
+    return ranked.withColumn("_pk_rank", F.col("_pk_before") + F.col("_pk_in") - 1).drop("_pk_bucket", "_pk_in", "_pk_before")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to the pieces (a table that is read more than once: have it written)."""
-    spark = pieces.sparkSession
+    """Adds sequence_id and offset to the pieces.
+
+    A full piece is a sequence by itself and needs no rank. A shorter one finds the latest row of the
+    plan at or before its rank, among plan rows and pieces of one stretch of ranks: no stretch is
+    longer than ``RANK_ROWS``, however often a length occurs.
+    """
+    spark, names = pieces.sparkSession, pieces.columns
+    pieces = written(pieces.withColumn("_pk_row", F.monotonically_increasing_id()), "pieces")
     need = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    rows = plan_rows(plan(need, capacity))
-    plans = spark.createDataFrame(rows, "length bigint, low bigint, high bigint, per int, first bigint, places array<int>")
-
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int")
-    dealt = pieces.withColumn("_bucket", bucket)
-    # At most capacity x RANK_BUCKETS rows, whatever the input.
-    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    sizes = sizes.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
-    ranked = dealt.withColumn("_in", F.row_number().over(order)).join(F.broadcast(sizes), ["length", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in") - 1)
-    a, b = ranked.alias("a"), F.broadcast(plans).alias("b")
-    placed = a.join(b, (F.col("a.length") == F.col("b.length")) & F.col("a._rank").between(F.col("b.low"), F.col("b.high")))
-    nth = F.col("a._rank") - F.col("b.low")
-    slot = F.pmod(nth, F.col("b.per")).cast("int")
-    return placed.select(*[F.col(f"a.{c}") for c in pieces.columns], (F.col("b.first") + F.floor(nth / F.col("b.per"))).cast("long").alias("sequence_id"), F.element_at("b.places", slot + 1).cast("long").alias("offset"))
+    plans = spark.createDataFrame(plan_rows(plan(need, capacity)), "length bigint, low bigint, high bigint, per int, first bigint, places array<int>")
+
+    stretch = lambda rank: F.floor(rank / RANK_ROWS).cast("long")
+    marks = plans.withColumn("_pk_stretch", F.explode(F.sequence(stretch(F.col("low")), stretch(F.col("high")))))
+    marks = marks.select("length", "_pk_stretch", F.greatest(F.col("low"), F.col("_pk_stretch") * RANK_ROWS).alias("_pk_rank"), F.struct("low", "per", "first", "places").alias("_pk_plan"))
+    ranked = _ranked(pieces.filter(F.col("length") < capacity), need, capacity).withColumn("_pk_stretch", stretch(F.col("_pk_rank"))).withColumn("_pk_piece", F.lit(1))
+    upto = Window.partitionBy("length", "_pk_stretch").orderBy("_pk_rank", F.col("_pk_piece").asc_nulls_first())
+    placed = ranked.unionByName(marks, allowMissingColumns=True).withColumn("_pk_plan", F.last("_pk_plan", ignorenulls=True).over(upto)).filter("_pk_piece = 1")
+    nth = F.col("_pk_rank") - F.col("_pk_plan.low")
+    sequence = F.col("_pk_plan.first") + F.floor(nth / F.col("_pk_plan.per"))
+    offset = F.element_at("_pk_plan.places", F.pmod(nth, F.col("_pk_plan.per")).cast("int") + 1)
+    short = placed.select(*names, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    full = pieces.filter(F.col("length") >= capacity).select(*names, (-1 - F.col("_pk_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return short.union(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(written(cut_pieces(docs, vocabulary, capacity=capacity), "pieces"), capacity)
+    return pack(cut_pieces(docs, vocabulary, capacity=capacity), capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
