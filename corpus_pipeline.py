@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brambling.llm.common import table, written
-from brambling.llm.linededup import dedup_lines
+from brambling.llm.linededup import cut_lines
 from brambling.llm.neardup import drop_near_duplicates
 from brambling.llm.packing import pack_documents
 from brambling.llm.quality import score_table
@@ -22,8 +22,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the later copies of repeated runs of lines."""
-    cut = dedup_lines(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = cut_lines(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("_ld_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
