@@ -6,8 +6,11 @@ validator for the format walks its headers and returns where the object ends, or
 at 0 decides the type; others inside it are carved, the outermost first.
 
 Nulls and edges: a null payload has type null and carves nothing; an empty one is
-``application/octet-stream``; ties at a place go to the format listed first; the query takes null
-text as empty, keeps repeated rows and null ids, and gives no rows for an empty table.
+``application/octet-stream``; a header that the payload's end cuts off confirms nothing; ties at a
+place go to the format listed first; very long payloads are looked at whole, their chains of boxes and
+pages walked once; the query takes null text as empty, keeps repeated rows and null ids, ignores other
+columns, and gives no rows for an empty table. ``sniff_columns`` keeps other columns, but replaces any
+that are named ``media_type``, ``corrected`` or ``carved``, after it has read the declared type.
 """
 
 from __future__ import annotations
@@ -118,7 +121,7 @@ def _riff(b: bytes, at: int, form: bytes, needed: bytes) -> int | None:
 
 def _wav(b: bytes, at: int) -> int | None:
     end = _riff(b, at, b"WAVE", b"data")
-    if end is None or b[at + 12 : at + 16] != b"fmt ":
+    if end is None or b[at + 12 : at + 16] != b"fmt " or struct.unpack_from("<I", b, at + 16)[0] < 16:
         return None
     channels, rate, per_second, align = struct.unpack_from("<HIIH", b, at + 22)
     return end if channels and rate and per_second == rate * align else None
@@ -188,26 +191,43 @@ def _gzip(b: bytes, at: int) -> int | None:
     return min(p, len(b)) - len(d.unused_data) if d.eof else None
 
 
+@lru_cache(maxsize=1)
+def _ogg_ends(b: bytes) -> dict[int, int]:
+    """Of every page: where the whole pages that follow each other from it end. Each page is walked once."""
+    ends: dict[int, int] = {}
+    p = b.rfind(b"OggS\x00")
+    while p >= 0:
+        if p + 27 <= len(b) and p + 27 + b[p + 26] <= len(b):
+            end = p + 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
+            if end <= len(b):
+                ends[p] = ends.get(end, end)
+        p = b.rfind(b"OggS\x00", 0, p)
+    return ends
+
+
 def _ogg(b: bytes, at: int) -> int | None:
-    p = at
-    while b.startswith(b"OggS\x00", p) and p + 27 <= len(b):
-        table_end = p + 27 + b[p + 26]
-        end = table_end + sum(b[p + 27 : table_end])
-        if end > len(b):
-            return None
-        p = end
-    return p if p > at else None
+    return _ogg_ends(b).get(at)
+
+
+@lru_cache(maxsize=1)
+def _mp4_boxes(b: bytes) -> dict[int, tuple[int, bool]]:
+    """Filled by ``_mp4``: of every box that was walked, where the boxes from it on end and whether one is moov."""
+    return {}
 
 
 def _mp4(b: bytes, at: int) -> int | None:
-    p, kinds = at, set()
-    while p + 8 <= len(b):
+    seen, p, walked = _mp4_boxes(b), at, []
+    while p not in seen and p + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
         if n < 8 or p + n > len(b) or not kind.isalnum():
             break
-        kinds.add(kind)
+        walked.append((p, kind))
         p += n
-    return p if {b"ftyp", b"moov"} <= kinds else None
+    end, moov = seen.get(p, (p, False))
+    for start, kind in reversed(walked):
+        moov = moov or kind == b"moov"
+        seen[start] = end, moov
+    return end if b.startswith(b"ftyp", at + 4) and seen.get(at, (0, False))[1] else None
 
 
 VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {
@@ -309,9 +329,9 @@ def sniff_columns(df: DataFrame, payload: str, declared: str) -> DataFrame:
         seen = [sniff(None if b is None else bytes(b)) for b in x]
         return pd.DataFrame({"kind": [k for k, _ in seen], "carved": [[{"type": t, "start": at, "bytes": bytes(b)[at : at + n]} for t, at, n in c] for (_, c), b in zip(seen, x)]})
 
-    out = df.withColumn("_seen", look(F.col(payload)))
-    known = F.when(F.col("_seen.kind") != UNKNOWN, F.col("_seen.kind"))
-    return out.withColumns({"media_type": F.coalesce(known, F.col(declared)), "corrected": F.coalesce(known != F.col(declared), F.lit(False)), "carved": F.col("_seen.carved")}).drop("_seen")
+    out = df.withColumn("_ms_seen", look(F.col(payload)))
+    known = F.when(F.col("_ms_seen.kind") != UNKNOWN, F.col("_ms_seen.kind"))
+    return out.withColumns({"media_type": F.coalesce(known, F.col(declared)), "corrected": F.coalesce(known != F.col(declared), F.lit(False)), "carved": F.col("_ms_seen.carved")}).drop("_ms_seen")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
