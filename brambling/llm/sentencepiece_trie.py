@@ -10,7 +10,8 @@ one whose neighbouring pieces all are what the merges would leave: a transition
 the two pieces' characters gives just these pieces, and minus infinity otherwise. Exactly one path has
 a score of 0, for every prefix, so the forward state is one piece and the results equal the library's.
 Whether a pair may stand together is read from the merges that made it, and kept. Words with runs of
-marks, whose pieces tie in score, are merged directly.
+marks, whose pieces tie in score, are merged directly, from a heap of pairs. A model whose scores are no
+order of merges (a unigram one) is refused.
 
 Nulls and edges: null and empty texts have no ids; characters outside the vocabulary become their UTF-8
 bytes; very long words are walked like others but not kept; repeated rows and null ids stay; an empty
@@ -19,6 +20,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -51,6 +53,9 @@ class TrieEncoder:
         self.bytes_of = {k: b"" for k in ids} | {v: k.encode() for k, v in self.ids.items()} | {v: bytes([k]) for k, v in self.bytes.items()}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces reach across words")
+        scores = [m.get_score(self.ids[p]) for p in by_score if MARK * 2 not in p]
+        if len(set(scores)) < len(scores) or any(x != int(x) for x in scores):
+            raise ValueError("not a BPE model: scores are not the order of merges, and summed scores are not computed here")
         merges = {p: self.merged(p) for p in by_score}
         #: The last merge of every piece that merges make.
         self.halves = {p: last for p, (parts, last) in merges.items() if len(parts) == 1}
@@ -59,15 +64,30 @@ class TrieEncoder:
         self.memo: dict[str, bytes] = {}
 
     def merged(self, word: str) -> tuple[list[str], tuple[str, str] | None]:
-        """What the merges leave of a word, best first and leftmost of equals, and the last pair merged."""
-        parts, last = list(word), None
-        while len(parts) > 1:
-            r, k = min((self.rank.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if r == 1 << 60:
-                break
-            last = (parts[k], parts[k + 1])
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts, last
+        """What the merges leave of a word, best first and leftmost of equals, and the last pair merged.
+
+        Parts are known by where they start; a pair waits in a heap and is stale once a part of it has grown.
+        """
+        parts, after, before, last = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), None
+        rank = self.rank
+        waiting = [(rank[a + b], k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]
+        heapq.heapify(waiting)
+        while waiting:
+            _, k, a, b = heapq.heappop(waiting)
+            right = after[k]
+            if parts[k] != a or right >= len(parts) or parts[right] != b:
+                continue
+            last = (a, b)
+            parts[k], parts[right] = a + b, ""
+            after[k] = end = after[right]
+            if end < len(parts):
+                before[end] = k
+                if parts[k] + parts[end] in rank:
+                    heapq.heappush(waiting, (rank[parts[k] + parts[end]], k, parts[k], parts[end]))
+            left = before[k]
+            if left >= 0 and parts[left] + parts[k] in rank:
+                heapq.heappush(waiting, (rank[parts[left] + parts[k]], left, parts[left], parts[k]))
+        return [x for x in parts if x], last
 
     def _together(self, a: str, b: str) -> bool:
         """Whether merging the characters of both leaves just a and b: no merge across them comes first."""
