@@ -3,7 +3,7 @@
 A page is parsed into block elements (inline markup belongs to the block around it). Each block gets
 features: its tag and attribute tokens, depth, text, links and tags of its subtree, density, and how
 it stands among its siblings. Boosted trees, fitted here on a bounded sample of pages
-(``FIT_PAGES`` of least hash), give the probability that it is part of the article. The labels of the
+(``FIT_PAGES`` of least hash, equal pages once), give the probability that it is part of the article. The labels of the
 fit come from pages that say themselves where their article is. Decoding is hierarchical: the most
 likely choice in which whatever is kept has kept ancestors, found bottom-up for whole subtrees, so a
 kept paragraph in a dropped menu, or the reverse, can't come out.
@@ -11,7 +11,9 @@ kept paragraph in a dropped menu, or the reverse, can't come out.
 Text is every kept block's own text in page order, character references decoded, white space turned
 into single spaces. Scripts, styles, comments and the head never count.
 
-Nulls and edges: null or empty html gives empty text; unclosed and stray tags are repaired as browsers
+Nulls and edges: null or empty html gives empty text; a null url or id stays null; very long pages are
+read whole, in time that grows with their length, and from the first tag on whose quotes never end, tags
+end at the next '>'; unclosed and stray tags are repaired as browsers
 do for paragraphs, list items and cells; a page without any recognised block gives all its text; ties
 in a score keep the block; repeated rows stay; with no page to learn from, all visible text is kept;
 an empty table gives no rows; extra columns are ignored.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import sample_by_hash, table, tune
 
 FIT_PAGES = 300
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
@@ -46,7 +49,9 @@ GROUP_OF = {t: k for k, g in enumerate(GROUPS) for t in g.split()}
 NOT_ARTICLE = set("nav header footer aside form".split())
 NOT_ARTICLE_TOKENS = set("ad ads advert advertisement banner sponsor promo sidebar menu navbar breadcrumb cookie consent notice comment comments share social related newsletter subscribe".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_CLOSE = {name: re.compile(f"</{name}\\s*>", re.I) for name in RAW} | {"head": re.compile(r"</head\s*>|(?=<body)", re.I)}
 _ATTR = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -58,29 +63,54 @@ class Page:
         self.tags, self.parents, self.depths, self.tokens = ["#page"], [-1], [0], [frozenset()]
         self.inner = [0]  # inline tags and line breaks in the block itself
         self.pieces: list[tuple[int, str, bool]] = []  # block, text, in a link
-        stack, links, at = [0], 0, 0
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
+        stack, links, at, quotes, last = [0], 0, 0, True, source.rfind(">")
+        opened: Counter[str] = Counter()
+        unclosed: set[str] = set()
+
+        def close(k: int) -> None:
+            opened.subtract(self.tags[x] for x in stack[k:])
+            del stack[k:]
+
+        while at < len(source):
+            if source[at] != "<":
+                end = source.find("<", at)
+                end = len(source) if end < 0 else end
+                self.pieces.append((stack[-1], html_lib.unescape(source[at:end]), links > 0))
+                at = end
                 continue
-            name = (m[2] or "").lower()
-            if not name:
-                if m[0][0] != "<" or m[0] == "<":
-                    self.pieces.append((stack[-1], html_lib.unescape(m[0]), links > 0))
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                at = len(source) if end < 0 else end + 3
                 continue
+            m = _NAME.match(source, at) if at < last else None
+            if m is None:
+                if at < last and source[at + 1] in "!?":
+                    at = source.find(">", at) + 1
+                else:
+                    self.pieces.append((stack[-1], "<", links > 0))
+                    at += 1
+                continue
+            name, tail = m[2].lower(), _QUOTED.match(source, m.end()) if quotes else None
+            quotes = tail is not None  # a page whose quotes don't end is read without them from there on
+            at = tail.end() if tail else source.find(">", m.end()) + 1
+            attributes = source[m.end() : at - 1]
             if m[1]:
                 if name == "a":
                     links = max(0, links - 1)
-                if name not in INLINE and name not in VOID:
+                if name not in INLINE and name not in VOID and opened[name]:
                     for k in range(len(stack) - 1, 0, -1):
                         if self.tags[stack[k]] == name:
-                            del stack[k:]
+                            close(k)
                             links = 0
                             break
                 continue
             if name in RAW or name == "head":
-                close = re.compile(f"</{name}\\s*>", re.I) if name != "head" else re.compile(r"</head\s*>|(?=<body)", re.I)
-                end = close.search(source, m.end())
-                at = end.end() if end else len(source) if name != "head" else m.end()
+                end = None if name in unclosed else _CLOSE[name].search(source, at)
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+                    at = at if name == "head" else len(source)
                 continue
             if name in VOID:
                 self.inner[stack[-1]] += 1
@@ -89,25 +119,28 @@ class Page:
                 continue
             if name in INLINE:
                 self.inner[stack[-1]] += 1
-                links += name == "a" and not m[3].rstrip().endswith("/")
+                links += name == "a" and not attributes.rstrip().endswith("/")
                 continue
             if self.tags[stack[-1]] == "p":
-                stack.pop()
+                close(len(stack) - 1)
                 links = 0
             if name in SAME_CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tags[stack[k]]
-                    if t == name or {t, name} in ({"td", "th"}, {"dt", "dd"}):
-                        del stack[k:]
-                        break
-                    if t in SAME_CLOSES[name]:
-                        break
-            words = frozenset(w.lower() for a in _ATTR.findall(m[3]) for w in _WORD.findall("".join(a))) if m[3] else frozenset()
+                like = next((x for x in ({"td", "th"}, {"dt", "dd"}) if name in x), {name})
+                if any(opened[x] for x in like):
+                    for k in range(len(stack) - 1, 0, -1):
+                        t = self.tags[stack[k]]
+                        if t in like:
+                            close(k)
+                            break
+                        if t in SAME_CLOSES[name]:
+                            break
+            words = frozenset(w.lower() for a in _ATTR.findall(attributes) for w in _WORD.findall("".join(a))) if attributes else frozenset()
             self.parents.append(stack[-1])
             self.depths.append(len(stack))
             self.tags.append(name)
             self.tokens.append(words)
             self.inner.append(0)
+            opened[name] += 1
             stack.append(len(self.tags) - 1)
 
     def text(self, keep: np.ndarray) -> str:
@@ -240,7 +273,10 @@ def decode(parents: list[int], score: np.ndarray) -> np.ndarray:
 
 
 def fit_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = FIT_PAGES) -> BoostedTrees:
-    rows = pages.filter(F.length(html_col) > 0).select(F.xxhash64(id_col, html_col).alias("h"), F.col(html_col).alias("html")).orderBy("h").limit(sample).collect()
+    # The hashes are chosen first, from narrow rows; then only pages that have one of them are read for the fit.
+    hashed = pages.filter(F.length(html_col) > 0).withColumn("_hm_h", F.xxhash64(id_col, html_col))
+    chosen = sample_by_hash(hashed.select("_hm_h").distinct(), ["_hm_h"], sample)
+    rows = hashed.join(F.broadcast(chosen), "_hm_h").groupBy("_hm_h").agg(F.first(html_col).alias("html")).orderBy("_hm_h").collect()
     x, y = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0)]
     for r in rows:
         page = Page(r["html"])
