@@ -8,21 +8,25 @@ each plane is, and where the block starts in the whole stream.
 Layout of a stored dataset (Spark writes it, so a retried task leaves no half file):
 
 ``chunks/``  file int, chunk int, n_ids int, blob binary, doc_ids array<long>, doc_lens array<int>
-             (documents that start in this block)
+             (documents that start in this block), plane_bytes array<int>
 ``index/``   file int, chunk int, start long (ids before the block), n_ids int, blob_bytes int,
              plane_bytes array<int>, crc32 long (of the blob)
 
 A blob: ``BPL1``, mode (0 bit planes, 1 byte planes), number of planes, two zero bytes, then as
 little-endian u32 the number of ids and the length of every plane, then the zstandard frames.
 
+The reader holds every block against its line of the index (place, number of ids, plane lengths, checksum)
+and every document against its length; a missing or damaged block is an error, never a shorter result.
+
 Nulls and edges: null text counts as empty (it still gets the end id); a null doc_id sorts first and
-stays null; documents of equal doc_id follow each other in any order; an empty table gives an empty
-dataset; extra columns are ignored.
+stays null; a very long text spans any number of blocks; documents of equal doc_id follow each other in any order; an empty table gives an empty
+dataset; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,7 @@ from .common import fresh_path, table, tune
 from .tokens import chunks, encoder
 
 MAGIC, BLOCK_IDS, END_ID = b"BPL1", 32_768, 1
-CHUNKS = "file int, chunk int, n_ids int, blob binary, doc_ids array<bigint>, doc_lens array<int>"
+CHUNKS = "file int, chunk int, n_ids int, blob binary, doc_ids array<bigint>, doc_lens array<int>, plane_bytes array<int>"
 
 
 def pack_block(ids: np.ndarray, mode: str = "bit", level: int = 1) -> bytes:
@@ -94,9 +98,10 @@ def _chunk_writer(path: str, end_id: int, block: int, mode: str):
             while k < len(starts) and starts[k][2] < taken + len(ids):
                 k += 1
             here, starts, taken = starts[:k], starts[k:], taken + len(ids)
+            blob = pack_block(ids, mode)
             return pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([pack_block(ids, mode)], pa.binary()), pa.array([[x[0] for x in here]], pa.list_(pa.int64())), pa.array([[x[1] for x in here]], pa.list_(pa.int32()))],
-                names=["file", "chunk", "n_ids", "blob", "doc_ids", "doc_lens"],
+                [pa.array([file], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([blob], pa.binary()), pa.array([[x[0] for x in here]], pa.list_(pa.int64())), pa.array([[x[1] for x in here]], pa.list_(pa.int32())), pa.array([plane_lengths(blob)], pa.list_(pa.int32()))],
+                names=["file", "chunk", "n_ids", "blob", "doc_ids", "doc_lens", "plane_bytes"],
             )
 
         for batch in chunks(batches):
@@ -128,19 +133,33 @@ def write_token_planes(docs: DataFrame, path: str, vocabulary: str, *, id_col: s
     # A row for each file: as many as the write had tasks.
     files_before = chunks.groupBy("file").agg(F.sum("n_ids").alias("n")).select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     within = Window.partitionBy("file").orderBy("chunk")
-    lengths = F.udf(lambda blob: plane_lengths(bytes(blob)), "array<int>")
-    index = chunks.select("file", "chunk", "n_ids", F.length("blob").alias("blob_bytes"), lengths(F.substring("blob", 1, 12 + 4 * 32)).alias("plane_bytes"), F.crc32("blob").alias("crc32"))
+    index = chunks.select("file", "chunk", "n_ids", F.length("blob").alias("blob_bytes"), "plane_bytes", F.crc32("blob").alias("crc32"))
     index = index.withColumn("inside", F.sum("n_ids").over(within) - F.col("n_ids"))
     index = index.join(F.broadcast(files_before), "file").select("file", "chunk", (F.col("before") + F.col("inside")).alias("start"), "n_ids", "blob_bytes", "plane_bytes", "crc32")
     index.write.parquet(f"{path}/index")
 
 
+def _checked(line: dict | None, r: dict) -> np.ndarray:
+    """The ids of a block, if all that the index says of it holds."""
+    blob = r["blob"]
+    if line is None or (line["file"], line["chunk"]) != (r["file"], r["chunk"]) or zlib.crc32(blob) != line["crc32"] or plane_lengths(blob) != line["plane_bytes"]:
+        raise ValueError(f"token planes: block {r['chunk']} of file {r['file']} is not what the index says")
+    ids = unpack_block(blob)
+    if len(ids) != line["n_ids"]:
+        raise ValueError(f"token planes: block {r['chunk']} of file {r['file']} holds {len(ids)} ids of {line['n_ids']}")
+    return ids
+
+
 def _chunk_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a file follow each other; a document may span any number of them."""
-    left, want, doc, start, file = b"", None, None, 0, None
+    """Blocks of a file follow each other, each after its line of the index; a document may span any number of them."""
+    left, start, ended, file, line = b"", 0, 0, None, None
     waiting: list[tuple[int, int]] = []
     out: list[tuple] = []
 
+    def whole() -> None:
+        if line is not None or waiting or left:
+            raise ValueError(f"token planes: file {file} ends before its last document")
+
     def flush() -> pa.RecordBatch:
         nonlocal out
         got, out = list(zip(*out)), []
@@ -149,9 +168,17 @@ def _chunk_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for r in batch.to_pylist():
             if r["file"] != file:
-                file, left, waiting, start = r["file"], b"", [], r["before"]
+                whole()
+                file, start, ended = r["file"], r["start"], r["start"]
+            if r["blob"] is None:
+                if line is not None or r["start"] != ended:
+                    raise ValueError(f"token planes: file {file} lacks the block before {r['chunk']}")
+                line = r
+                continue
+            ids = _checked(line, r)
+            line, ended = None, ended + len(ids)
             waiting += zip(r["doc_ids"], r["doc_lens"])
-            left, at, k = left + unpack_block(r["blob"]).tobytes(), 0, 0
+            left, at, k = left + ids.tobytes(), 0, 0
             while k < len(waiting) and at + 4 * waiting[k][1] <= len(left):
                 doc, want = waiting[k]
                 out.append((doc, start, want, left[at : at + 4 * want]))
@@ -159,6 +186,7 @@ def _chunk_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             left, waiting = left[at:], waiting[k:]
             if len(out) >= 500:
                 yield flush()
+    whole()
     if out:
         yield flush()
 
@@ -166,10 +194,9 @@ def _chunk_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_token_planes(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every stored document."""
     tune(spark)
-    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    index = spark.read.parquet(f"{path}/index")
-    before = index.filter("chunk = 0").select("file", F.col("start").alias("before"))
-    rows = chunks.join(F.broadcast(before), "file").repartition("file").sortWithinPartitions("file", "chunk")
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").drop("n_ids", "plane_bytes")
+    index = spark.read.parquet(f"{path}/index").drop("blob_bytes")
+    rows = index.unionByName(chunks, allowMissingColumns=True).repartition("file").sortWithinPartitions("file", "chunk", F.col("start").asc_nulls_last())
     return rows.mapInArrow(_chunk_reader, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
