@@ -42,6 +42,31 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs) WHERE rank <= 10
 """
 
+#: The checksum's table by its rule; a draw from 48 bits of md5; regions of four shards, racks of two.
+OP4 = """
+WITH crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(b))),
+bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+sums AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32 FROM bytes, crc),
+leaves AS (
+  SELECT *, list_transform(range(9), lambda s: -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || s), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)) AS d FROM sums),
+regions AS (
+  SELECT *, list_position(list_transform(range(2), lambda r: list_min(d[4 * r + 1:4 * r + 4])), list_min(d[1:8])) - 1 AS r8,
+    list_position(list_transform(range(3), lambda r: list_min(d[4 * r + 1:least(4 * r + 4, 9)])), list_min(d)) - 1 AS r9 FROM leaves),
+racks AS (
+  SELECT *, 2 * r8 + CASE WHEN list_min(d[4 * r8 + 1:4 * r8 + 2]) <= list_min(d[4 * r8 + 3:4 * r8 + 4]) THEN 0 ELSE 1 END AS k8,
+    2 * r9 + CASE WHEN r9 = 2 OR list_min(d[4 * r9 + 1:4 * r9 + 2]) <= list_min(d[4 * r9 + 3:4 * r9 + 4]) THEN 0 ELSE 1 END AS k9 FROM regions),
+placed AS (
+  SELECT doc_id, size, text_crc32, 2 * k8 + CASE WHEN d[2 * k8 + 1] <= d[2 * k8 + 2] THEN 0 ELSE 1 END AS shard,
+    2 * k9 + CASE WHEN k9 = 4 OR d[2 * k9 + 1] <= d[2 * k9 + 2] THEN 0 ELSE 1 END AS grown_shard FROM racks)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM placed
+"""
+
 OP6 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
@@ -78,4 +103,4 @@ SELECT lines.doc_id, coalesce(string_agg(s0, chr(10) ORDER BY lines.line) FILTER
 FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.line = lines.line GROUP BY lines.doc_id
 """
 
-ORACLE_SQL = {"op1_vp_trees": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
+ORACLE_SQL = {"op1_vp_trees": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
