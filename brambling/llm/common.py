@@ -40,7 +40,7 @@ def sample_by_hash(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """At most ``size`` rows, those of least hash of the keys; little more than that leaves the tasks."""
     share = min(1.0, 2 * size / max(rows.count(), 1) + 1e-9)
     hashed = rows.withColumn("_sample", F.xxhash64(*keys, F.lit(7)))
-    least = F.lit(-(1 << 63) + int(share * ((1 << 64) - 1)))
+    least = F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
     return hashed.filter(F.col("_sample") <= least).orderBy("_sample").limit(size).drop("_sample")
 
 
