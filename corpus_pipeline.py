@@ -12,12 +12,12 @@ from brambling.llm.common import table, written
 from brambling.llm.linededup import cut_lines
 from brambling.llm.neardup import drop_near_duplicates
 from brambling.llm.packing import pack_documents
-from brambling.llm.quality import score_table
+from brambling.llm.quality import scored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    return score_table(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+    return scored(docs, table(spark, sf_dir, "labels")).filter("_qc_keep").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
