@@ -68,17 +68,25 @@ def _line(text: Column, weights: np.ndarray) -> Column:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps: weights on raw features (the last is the intercept), base rate."""
+    """Ridge logistic regression by Newton steps: weights on raw features (the last is the intercept), base rate.
+
+    Sums run over blocks of rows, so that beside ``x`` nothing of its size is held.
+    """
     base = (y.sum() + 1) / (len(y) + 2)
     if not len(y):
         return np.zeros(x.shape[1] + 1), 0.5
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    blocks = [slice(k, k + 1000) for k in range(0, len(y), 1000)]
+    mean = sum(x[b].sum(0, dtype=float) for b in blocks) / len(y)
+    scale = np.sqrt(sum(((x[b] - mean) ** 2).sum(0) for b in blocks) / len(y)) + 1e-9
     hashed = max(0, x.shape[1] - len(FEATURES))
-    w, ridge = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1] - hashed, RIDGE), np.full(hashed, HASH_RIDGE), 1e-6]
+    w, ridge = np.zeros(x.shape[1] + 1), np.r_[np.full(x.shape[1] - hashed, RIDGE), np.full(hashed, HASH_RIDGE), 1e-6]
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        slope, bend = -ridge * w, np.diag(ridge)
+        for b in blocks:
+            z = np.c_[(x[b] - mean) / scale, np.ones(len(x[b]))]
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope, bend = slope + z.T @ (y[b] - p), bend + (z * (p * (1 - p))[:, None]).T @ z
+        step = np.linalg.solve(bend, slope)
         w += np.clip(step, -5, 5)
         if abs(step).max() < 1e-8:
             break
@@ -93,16 +101,20 @@ def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_
     surface = rows.groupBy("_qc_k").agg(F.first(F.array(*features(F.col("_qc_t")))).alias("x"), F.first(F.size(_words(F.col("_qc_t")))).alias("n"), F.first("_qc_y").alias("y"))
     classes = F.flatten(F.transform(_words(F.col("_qc_t")), lambda w: F.array(*_classes(w))))
     hashed = rows.select("_qc_k", F.explode(classes).alias("c")).groupBy("_qc_k", "c").agg(F.count("*").alias("m"))
-    hashed = hashed.groupBy("_qc_k").agg(F.collect_list(F.struct("c", "m")).alias("h"))  # as many as there are classes
-    got = surface.join(hashed, "_qc_k").orderBy("_qc_k").limit(fit_rows).toArrow()
-    x = np.zeros((len(got), len(FEATURES) + WORD_CLASSES + ENDING_CLASSES))
-    if len(got):
-        table_ = got.combine_chunks()
-        parts, owner = table_["h"].combine_chunks(), np.repeat(np.arange(len(got)), [len(h) for h in got["h"]])
-        x[:, : len(FEATURES)] = np.stack(got["x"].to_pylist())
-        cells = parts.flatten()
-        x[owner, len(FEATURES) + cells.field("c").to_numpy()] = cells.field("m").to_numpy() / got["n"].to_numpy()[owner]
-    return fit(x, got["y"].to_numpy().astype(float))
+    hashed = hashed.groupBy("_qc_k").agg(F.collect_list(F.struct(F.col("c").cast("short").alias("c"), F.col("m").cast("float").alias("m"))).alias("h"))  # as many as there are classes
+    got = surface.join(hashed, "_qc_k").orderBy("_qc_k").limit(fit_rows).drop("_qc_k").toArrow()
+    x = np.zeros((len(got), len(FEATURES) + WORD_CLASSES + ENDING_CLASSES), np.float32)
+    at = 0
+    for part in got.to_batches():
+        rows = np.arange(at, at + len(part))
+        h, n = part.column("h"), part.column("n").to_numpy()
+        owner, cells = np.repeat(rows, np.diff(h.offsets.to_numpy())), h.flatten()
+        x[rows, : len(FEATURES)] = part.column("x").flatten().to_numpy().reshape(len(part), -1)
+        x[owner, len(FEATURES) + cells.field("c").to_numpy()] = cells.field("m").to_numpy() / n[owner - at]
+        at += len(part)
+    y = got["y"].to_numpy().astype(float)
+    del got
+    return fit(x, y)
 
 
 def _logit(p: Column) -> Column:
