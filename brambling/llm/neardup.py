@@ -21,8 +21,10 @@ Nulls and edges: null or blank text has no shingles and is its own group, as in
 ``drop_near_duplicates`` keeps one of equal blank texts; null texts are not equal and all stay. A text
 of fewer than five words is one shingle; equal sets are a group whatever their number; a document
 without doc_id joins groups of equal sets only, and is dropped where one with doc_id or another without
-has an equal set or the same blank text; rows of one doc_id are one document; an empty table gives no
-rows; other columns are kept.
+has an equal set or the same blank text; of several texts of one doc_id the one of least key links to others,
+each groups with sets equal to its own, and ``drop_near_duplicates`` keeps one row of an id; very long texts
+are read whole; of equal ids in a group the least names it; an empty table gives no rows; other columns are
+kept, whatever their names (names beginning with ``_nd_`` are reserved).
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, tune, written
@@ -204,7 +206,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         owner, h, _ = shingles(texts)
         ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["id", "set"])
+        sums = [pa.array(x.view(np.int64)) for x in _set_sums(texts, owner, h)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *sums, pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["id", "k1", "k2", "set"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,17 +290,25 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set: the sorted shingle hashes of the documents with these ids, and of few others.
+def _place(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(1 << 24)).cast("long")
+
+
+def _marked(rows: DataFrame, c: str, ids: DataFrame) -> DataFrame:
+    """Rows with _nd_on: false only where ``c`` is surely none of the ids. A bitmap of hashed ids decides before any
+    shuffle: 2^24 bits in at most 2^18 broadcast rows, whatever the number of ids."""
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{c}`), 64L) AS INT))")
+    bitmap = ids.groupBy(F.shiftright(_place("id"), 6).alias("_nd_word")).agg(F.bit_or(bit("id")).alias("_nd_mask"))
+    marked = rows.withColumn("_nd_word", F.shiftright(_place(c), 6)).join(F.broadcast(bitmap), "_nd_word", "left")
+    return marked.withColumn("_nd_on", F.coalesce(F.col("_nd_mask").bitwiseAND(bit(c)) != 0, F.lit(False))).drop("_nd_word", "_nd_mask")
 
-    Other texts are left out before any shuffle by a bitmap of hashed ids: 2^24 bits in at most 2^18
-    broadcast rows, whatever the number of ids. Joins on id drop what passes it by chance.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 24)).cast("long")
-    word, bit = (lambda c: F.shiftright(place(c), 6)), (lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64L) AS INT))"))
-    bitmap = ids.groupBy(word("id").alias("_word")).agg(F.bit_or(bit("id")).alias("_mask"))
-    texts = docs.withColumn("_word", word("doc_id")).join(F.broadcast(bitmap), "_word").filter(F.col("_mask").bitwiseAND(bit("doc_id")) != 0)
-    return written(texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+
+def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set: the sorted shingle hashes of the documents with these ids, and of few others; of several texts of
+    one id the one of least key, which is the one that has a node. Joins on id drop what passes the bitmap by chance."""
+    texts = _marked(docs, "doc_id", ids).filter("_nd_on")
+    sets = texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets, "id bigint, k1 bigint, k2 bigint, set binary")
+    return written(sets.groupBy("id").agg(F.min_by("set", F.struct("k1", "k2")).alias("set")), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -327,6 +338,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sketches = written(docs.mapInArrow(_sketches, SKETCHES), "sketches")
     nodes = sketches.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min_by(F.struct("size", "bands", "sig"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
     nodes = written(nodes.select("k1", "k2", "id", "s.size", "s.bands", "s.sig"), "nodes")
+    # Of several texts of one id only that of least key is a node that others may link to.
+    several = nodes.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("key")).filter("n > 1").select("id", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"))
+    others = nodes.select("id", "k1", "k2").join(several.select("id"), "id", "left_semi").join(several, ["id", "k1", "k2"], "left_anti")
+    others = written(others.select("k1", "k2", "id"), "others")
+    alone = bool(others.limit(1).count())
+    if alone:
+        nodes = written(nodes.join(others.select("k1", "k2"), ["k1", "k2"], "left_anti"), "nodes")
 
     rows = nodes.select("id", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
@@ -385,21 +403,33 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     group = components(first.union(second))
 
     named = nodes.join(group, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("class_id"))
+    if alone:
+        named = named.union(others)
     return sketches.select("doc_id", "k1", "k2", "size").join(named, ["k1", "k2"], "left")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of least id of every group, once; of those without id one of each key that none with id has."""
-    groups = _grouped(docs, id_col, text_col)
-    keep = groups.filter("doc_id = coalesce(class_id, doc_id)").select(F.col("doc_id").alias("_nd_id")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == keep["_nd_id"], "left_semi").dropDuplicates([id_col])
+    """``docs`` with the document of least id of every group, once; of those without id one of each key that none with id has.
+
+    Only rows whose id may be dropped, or may occur several times, are shuffled with their texts. Of the
+    rows of one id that stays, the one of least text (then of least hash) is kept.
+    """
+    groups = written(_grouped(docs, id_col, text_col), "groups")
+    with_id = groups.filter("doc_id is not null")
+    keep = with_id.filter("doc_id = coalesce(class_id, doc_id)").select(F.col("doc_id").alias("_nd_id")).distinct()
+    doubtful = with_id.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") != F.coalesce("class_id", "doc_id")).cast("int")).alias("dropped")).filter("n > 1 or dropped = 1")
+    marked = _marked(docs.withColumn("_nd_id", F.col(id_col).cast("long")).filter("_nd_id is not null"), "_nd_id", doubtful.select(F.col("doc_id").alias("id")))
+    sure = marked.filter("not _nd_on").select(*[F.col(f"`{c}`") for c in docs.columns])
+    all_ = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    held = marked.filter("_nd_on").join(keep, "_nd_id", "left_semi").select("_nd_id", all_.alias("_nd_row"), F.struct(F.col(f"`{text_col}`"), F.xxhash64(F.to_json(all_))).alias("_nd_order"))
+    held = held.groupBy("_nd_id").agg(F.min_by("_nd_row", "_nd_order").alias("_nd_row")).select("_nd_row.*")
     loose = docs.filter(F.col(id_col).isNull())
     keyed = loose.withColumn("_nd_text", F.col(text_col)).filter("_nd_text is not null")
     keyed = keyed.mapInArrow(_set_keys, keyed.withColumns({"_nd_k1": F.lit(0).cast("long"), "_nd_k2": F.lit(0).cast("long")}).schema)
     firsts = keyed.dropDuplicates(["_nd_k1", "_nd_k2"])
     taken = groups.filter("doc_id is null and class_id is not null").select(F.col("k1").alias("_nd_k1"), F.col("k2").alias("_nd_k2")).distinct()
-    alone = firsts.join(taken, ["_nd_k1", "_nd_k2"], "left_anti").select(*docs.columns)
-    return kept.union(alone).union(loose.filter(F.col(text_col).isNull()))
+    loners = firsts.join(taken, ["_nd_k1", "_nd_k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return sure.union(held).union(loners).union(loose.filter(F.col(text_col).isNull()))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
