@@ -4,7 +4,7 @@ In byte-level BPE a pre-token holds a space at its start only, and in the word-l
 space is dropped, so the ids of a text are the ids of its space-separated units in a row. Letters and
 what follows them are different pre-tokens in both, so a unit's ids are those of its letters and of
 its tail. The units of many texts are made distinct by Arrow, each distinct run of letters is encoded
-once and kept in a bounded memo, and the ids are gathered by numpy. Texts in which white space is
+once, many in one text, and kept in a bounded memo, and the ids are gathered by numpy. Texts in which white space is
 arranged so that a cut could matter are encoded whole, and so are those that hold the literal of an
 added token ('<|endoftext|>'), which the library's encode turns into that token's one id.
 """
@@ -24,6 +24,10 @@ _WHOLE = {"byte": rf"  |\n |[\t\r{_RARE}] |\x00", "word": f"[{_RARE}]"}
 _TAIL = ".,;:!?*$#%&@|'\")(-"
 _FIRST = "\0"
 _LETTER_LAST = {"byte": "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$", "word": "^[\\x00-\u00ff]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"}
+#: Units of letters only, which are one pre-token each; and how a token shows that a unit starts (or ends) with it.
+_LETTERS = {"byte": re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), "word": re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")}
+_EDGE = {"byte": lambda token: token.startswith("\u0120"), "word": lambda token: token.endswith("</w>")}
+TOGETHER = 256
 MEMO_UNITS, MEMO_CHARS, CHUNK_BYTES, CALL = 550_000, 64, 12 << 20, 5_000
 
 
@@ -57,15 +61,32 @@ class UnitEncoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = "|".join([_WHOLE[kind], *(f"(?i:{x})" if kind == "word" else x for x in added)])
         self.memo: dict[str, bytes] = {"": b""}
+        self.edges = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.edges[[k for token, k in self.tokenizer.get_vocab().items() if _EDGE[kind](token)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         run = self.tokenizer.encode_batch_fast
         return [np.asarray(x.ids, "<u4").tobytes() for k in range(0, len(texts), CALL) for x in run(texts[k : k + CALL], add_special_tokens=False)]
 
+    def _together(self, units: list[str]) -> list[bytes]:
+        """Ids of units of letters: many in one text, told apart by the tokens at which a unit starts or ends."""
+        groups, out = [units[k : k + TOGETHER] for k in range(0, len(units), TOGETHER)], []
+        for group, b in zip(groups, self._library([("" if self.space else " ").join(g) for g in groups])):
+            at = np.flatnonzero(self.edges[np.frombuffer(b, "<u4")])
+            bounds = (4 * (np.r_[at, len(b) // 4] if self.space else np.r_[0, at + 1])).tolist()
+            if len(at) == len(group) and bounds[0] == 0 and bounds[-1] == len(b):
+                out += [b[x:y] for x, y in zip(bounds, bounds[1:])]
+            else:
+                out += self._library(group)
+        return out
+
     def _ids(self, strings: list[str]) -> list[bytes]:
         """Ids of distinct strings, most of them from the memo."""
         new = [x for x in strings if x not in self.memo]
-        got = dict(zip(new, self._library(new)))
+        letters = [x for x in new if _LETTERS[self.kind].fullmatch(x)]
+        got = dict(zip(letters, self._together(letters)))
+        rest = [x for x in new if x not in got]
+        got.update(zip(rest, self._library(rest)))
         if len(self.memo) + len(got) > MEMO_UNITS:
             self.memo = {x: self.memo[x] for x in strings if x in self.memo} | {"": b""}
         memo = self.memo
