@@ -1,22 +1,25 @@
 """Operator 1: approximate nearest neighbours by vantage-point trees, one tree per shard.
 
-Shards are the cells of pivots, cut by hash where a cell is large; each shard has the distance of its
-furthest row from the pivot. A query is first searched in the cell of its nearest pivot, which bounds
-its k-th distance; then in every other shard that the triangle inequality does not rule out. Inside a
-shard a vantage-point tree is searched the same way. A bound rules something out once ``factor``
+Rows belong to the cell of their nearest pivot. A cell is cut into rings by the distance from its pivot,
+and a ring that still is too large by hash: those are the shards. A query first searches the ring of its
+nearest pivot that lies nearest to it, which bounds its k-th distance; then every shard whose pivot
+distance and ring don't rule it out by the triangle inequality. Inside a shard a vantage-point tree is
+searched in the same way, for all queries of a block at once. A bound rules something out once ``factor``
 times the bound exceeds the k-th distance so far; ``factor`` 1 is exact search, a larger one prunes more
-and may lose neighbours.
+and may lose neighbours. Bounds are compared with a slack for rounding.
 
 Only pivots (``MAX_PIVOTS`` at most, rows of least hash) are fitted on a sample; every row is indexed.
-Equal vectors are one point that keeps its ``k + 1`` least ids, which is all that a list of k can
-show of them; equal queries are searched once.
+Equal vectors are one point, named by two 64-bit hashes, that keeps its ``k + 1`` least ids, which is all
+that a list of k can show of them; equal queries are searched once. Shards are copied only to the
+blocks of queries that visit them.
 
 Distances are computed from the original vectors in double precision, ties go to the smaller id.
 
 Nulls and edges: a null, zero or empty vector, one with a null or non-finite component, and a null id
 take no part; vectors of another length than most are only near those of the same length; repeated
 rows of one id and vector count once; with fewer candidates than k all are returned; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns, whatever their names, are ignored. There are no texts here; very long
+vectors make larger rows only.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tune, written
+from .common import salted_join, sample_by_hash, table, tune, written
 
 K, FACTOR = 10, 1.0
 MAX_PIVOTS, SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 1024, 4096, 256, 4096
-LEAST_SHARDS = 24
+LEAST_SHARDS, BINS = 24, 1024
+SLACK = 1e-9
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -65,26 +69,52 @@ class VPTree:
 
     def search(self, q: np.ndarray, k: int, bound: float = np.inf, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and distances of the k nearest that were found (and ties with the last), and how many rows were looked at."""
-        near, rows, looked = np.full(k, bound), [np.zeros(0, int)], 0
-        dist, stack = [np.zeros(0)], [(0, 0.0)]
+        _, rows, d, looked = self.search_many(q[None], k, np.array([bound]), factor)
+        return rows, d, looked
+
+    def search_many(self, q: np.ndarray, k: int, bounds: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """For all rows of q at once: query, row and distance of the k nearest found within each bound (and ties), and how many were looked at."""
+        near, found, looked, norms = np.repeat(bounds[:, None], k, 1), [], 0, (q * q).sum(1)
+        stack = [(0, np.arange(len(q)), np.zeros(len(q)))]
         while stack:
-            node, least = stack.pop()
-            if factor * least > near[-1]:
+            node, who, least = stack.pop()
+            on = factor * least <= near[who, -1] * (1 + SLACK) + SLACK
+            who, least = who[on], least[on]
+            if not len(who):
                 continue
             low, high, inner, outer, spans = self.nodes[node]
-            here = self.order[low:high] if inner is None else self.order[low : low + 1]
-            d = distances(self.x[here], q)
-            looked += len(here)
-            ok = d <= near[-1]
-            rows.append(here[ok])
-            dist.append(d[ok])
-            near = np.sort(np.r_[near, d[ok]])[:k]
-            if inner is not None:
-                a, b = max(spans[0] - d[0], d[0] - spans[1], least), max(spans[2] - d[0], d[0] - spans[3], least)
-                stack += sorted([(inner, a), (outer, b)], key=lambda x: -x[1])
-        r, d = np.concatenate(rows), np.concatenate(dist)
-        ok = d <= near[-1]
-        return r[ok], d[ok], looked
+            if inner is None:
+                rows = self.order[low:high]
+                looked += len(rows) * len(who)
+                found.append(self._leaf(q, norms, rows, who, near, k))
+                continue
+            d, vantage = distances(q[who], self.x[self.order[low]]), self.order[low]
+            looked += len(who)
+            ok = d <= near[who, -1]
+            found.append((who[ok], np.full(ok.sum(), vantage), d[ok]))
+            near[who] = np.sort(np.c_[near[who], d], axis=1)[:, :k]
+            a, b = (np.maximum.reduce([spans[j] - d, d - spans[j + 1], least]) for j in (0, 2))
+            both = [(inner, who, a), (outer, who, b)]
+            stack += both[:: 1 if a.sum() > b.sum() else -1]
+        who, rows, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        ok = d <= near[who, -1]
+        return who[ok], rows[ok], d[ok], looked
+
+    def _leaf(self, q: np.ndarray, norms: np.ndarray, rows: np.ndarray, who: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A matrix product finds what may be among the k nearest; only that is measured exactly."""
+        x, limit = self.x[rows], near[who, -1]
+        size = (x * x).sum(1)
+        about = size + norms[who][:, None] - 2 * (q[who] @ x.T)
+        slack = 1e-11 * (size.max() + norms[who])
+        kth = np.partition(about, k - 1, axis=1)[:, k - 1] if len(rows) >= k else np.full(len(who), np.inf)
+        i, j = np.nonzero(about <= np.minimum(limit**2 * (1 + SLACK), kth + slack)[:, None] + slack[:, None])
+        d = distances(x[j], q[who[i]])
+        ok = d <= limit[i]
+        i, j, d = i[ok], j[ok], d[ok]
+        exact = np.full(about.shape, np.inf)
+        exact[i, j] = d
+        near[who] = np.sort(np.partition(np.c_[near[who], exact], k - 1, axis=1)[:, :k], axis=1)
+        return who[i], rows[j], d
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -93,98 +123,134 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _nearest_pivot(pivots: np.ndarray):
+def _by_length(pivots: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Numbers and matrix of the pivots of every length."""
+    of = {n: [k for k, p in enumerate(pivots) if len(p) == n] for n in {len(p) for p in pivots}}
+    return {n: (np.array(ks), np.stack([pivots[k] for k in ks])) for n, ks in of.items()}
+
+
+def _lengths(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a column of lists: every length, the places of its vectors, and they as a matrix."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat, ends = column.flatten().to_numpy(), np.cumsum(sizes)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield int(n), at, flat[(ends[at] - n)[:, None] + np.arange(n)]
+
+
+def _apart(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x from all of p, up to rounding."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * (x @ p.T), 0))
+
+
+def _nearest_pivot(pivots: list[np.ndarray]):
+    """Adds the cell of every vector, and its distance from the pivot; lengths without a pivot are cells of their own."""
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _by_length(pivots)
         for batch in batches:
-            cells, away = [], []
-            for v in batch.column("v").to_pylist():
-                same = [k for k, p in enumerate(pivots) if len(p) == len(v)]
-                if same:
-                    d = distances(np.array([pivots[k] for k in same]), np.array(v))
-                    cells.append(same[int(d.argmin())])
-                    away.append(float(d.min()))
-                else:
-                    cells.append(-len(v))
-                    away.append(0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(away, pa.float64())], names=[*batch.schema.names, "cell", "away"])
+            cells, away = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            for n, at, x in _lengths(batch.column("v")):
+                cells[at] = -n
+                if n in of:
+                    numbers, p = of[n]
+                    nearest = _apart(x, p).argmin(1)
+                    cells[at], away[at] = numbers[nearest], distances(x, p[nearest])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
 
     return assign
 
 
+def _routes(pivots: list[np.ndarray], spans: dict[int, tuple[float, float]], factor: float):
+    """The cells that a query's bound doesn't rule out, with its distance from their pivot; as many spans as there are cells."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _by_length(pivots)
+        for batch in batches:
+            bound = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
+            bound[np.isnan(bound)] = np.inf
+            for n, at, x in _lengths(batch.column("v")):
+                if n not in of:
+                    continue
+                numbers, p = of[n]
+                low, high = (np.array([spans.get(int(c), (np.inf, -np.inf))[j] for c in numbers]) for j in (0, 1))
+                d = _apart(x, p)
+                q, c = np.nonzero(factor * np.maximum(low - d, d - high) <= (bound[at] * (1 + SLACK) + SLACK)[:, None] + 1e-6 * (1 + d))
+                yield pa.RecordBatch.from_arrays([batch.column("point").take(pa.array(at[q])), pa.array(numbers[c].astype(np.int32)), pa.array(distances(x[q], p[c])), pa.array(bound[at[q]])], names=["point", "cell", "away", "bound"])
+
+    return route
+
+
 def _search_shard(k: int, factor: float):
     import pandas as pd
 
-    columns = ["point", "near", "d"]
-
     def search(key, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if points.empty or queries.empty:
-            return pd.DataFrame({"point": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
-        tree, ids, out = VPTree(np.stack(points["v"].to_numpy())), points["point"].to_numpy(), []
-        for q, v, bound in zip(queries["point"], queries["v"], queries["bound"]):
-            r, d, _ = tree.search(np.asarray(v), k, np.inf if bound is None or np.isnan(bound) else bound, factor)
-            out.append(pd.DataFrame({"point": q, "near": ids[r], "d": d}))
-        return pd.concat(out)[columns]
+            return pd.DataFrame({"point": pd.Series(dtype="object"), "near": pd.Series(dtype="object"), "d": pd.Series(dtype="float64")})
+        tree = VPTree(np.stack(points["v"].to_numpy()))
+        q, r, d, _ = tree.search_many(np.stack(queries["v"].to_numpy()), k, queries["bound"].fillna(np.inf).to_numpy(float), factor)
+        return pd.DataFrame({"point": queries["point"].to_numpy()[q], "near": points["point"].to_numpy()[r], "d": d})
 
     return search
 
 
+def _sharded(cells: DataFrame) -> DataFrame:
+    """Adds ring and part to rows with their cell and distance: rings of about SHARD_ROWS rows, counted in BINS of distance."""
+    spans = cells.groupBy("cell").agg(F.min("away").alias("_low"), F.max("away").alias("_high"), F.count("*").alias("_rows"))
+    spans = written(spans, "vp-spans")  # a row for every cell: MAX_PIVOTS and the odd lengths at most
+    step = F.when(F.col("_high") > F.col("_low"), (F.col("away") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    binned = salted_join(cells, spans, ["cell"], "_rows", ["point"]).withColumn("bin", F.least(F.floor(step * BINS), F.lit(BINS - 1)).cast("int")).drop("_low", "_high", "_rows")
+    bins = binned.groupBy("cell", "bin").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("cell").orderBy("bin")) - F.col("_n")
+    bins = written(bins.select("cell", "bin", "_n", F.floor(before / SHARD_ROWS).cast("int").alias("ring"), F.ceil(F.col("_n") / (2 * SHARD_ROWS)).cast("int").alias("_parts")), "vp-bins")
+    rows = salted_join(binned, bins, ["cell", "bin"], "_n", ["point"])
+    return rows.withColumn("part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("point", F.lit(3)), F.col("_parts"))).otherwise(-1).cast("long")).drop("bin", "_n", "_parts")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), id, score (distance): the k rows found nearest to every query, itself left out."""
     spark = vectors.sparkSession
     tune(spark)
-    rows = _usable(vectors, id_col, vector_col).withColumn("point", F.xxhash64("v"))
+    name = F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), F.col("v"))))
+    rows = _usable(vectors, id_col, vector_col).withColumn("point", name)
     first = Window.partitionBy("point").orderBy("id")
     # Of equal vectors only the k + 1 of least id can be in a list (one may be the query itself).
     members = written(rows.dropDuplicates(["id", "point"]).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1).select("point", "id", "v", "_n"), "vp-members")
     points = members.filter("_n = 1").select("point", "v")
 
-    count = points.count()
-    wanted = min(MAX_PIVOTS, max(LEAST_SHARDS, count // SHARD_ROWS + 1))
-    pivots = [np.array(r["v"]) for r in points.orderBy(F.xxhash64("point", F.lit(7)), "point").limit(wanted).collect()]
-    cells = written(points.mapInArrow(_nearest_pivot(pivots), "point bigint, v array<double>, cell int, away double"), "vp-cells")
-    # One row for every cell, MAX_PIVOTS and the odd lengths at most.
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts"))
-    shards = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("point", F.lit(3)), F.col("parts")).cast("int")).drop("parts")
-    extent = shards.groupBy("cell", "part").agg(F.min("away").alias("low"), F.max("away").alias("high"))
-
-    asked = _usable(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("point"), "v").distinct()
-    distinct = written(asked.select("point", "v").dropDuplicates(["point"]), "vp-queries")
+    wanted = min(MAX_PIVOTS, max(LEAST_SHARDS, points.count() // SHARD_ROWS + 1))
+    pivots = [np.array(r["v"]) for r in sample_by_hash(points, ["point"], wanted).collect()]
+    cells = written(points.mapInArrow(_nearest_pivot(pivots), "point string, v array<double>, cell int, away double"), "vp-cells")
+    keys = ["cell", "ring", "part"]
+    shards = written(_sharded(cells).select(*keys, "point", "v", "away"), "vp-shards")
+    rings = written(shards.groupBy(*keys).agg(F.min("away").alias("low"), F.max("away").alias("high")), "vp-rings")
+    spans = {r["cell"]: (r["low"], r["high"]) for r in rings.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+
+    asked = _usable(queries, id_col, vector_col).select(F.col("id").alias("query_id"), name.alias("point"), "v").distinct()
+    distinct = written(asked.select("point", "v").dropDuplicates(["point"]).mapInArrow(_nearest_pivot(pivots), "point string, v array<double>, cell int, away double"), "vp-queries")
     blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("point", F.lit(5)), F.lit(blocks)).cast("int")
-    copies = shards.select("cell", "part", "point", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def searched(visits: DataFrame) -> DataFrame:
-        visits = visits.withColumn("block", block)
-        keys = ["cell", "part", "block"]
-        return copies.groupBy(keys).cogroup(visits.groupBy(keys)).applyInPandas(_search_shard(k + 1, factor), "point bigint, near bigint, d double")
-
-    homes = distinct.mapInArrow(_nearest_pivot(pivots), "point bigint, v array<double>, cell int, away double")
-    home_visits = homes.join(F.broadcast(sizes), "cell").select("point", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("double").alias("bound"))
-    at_home = written(searched(home_visits), "vp-home")
+        """Visits: point, bound and a shard. Every shard goes to the blocks of queries that visit it, and to no other."""
+        visits = written(visits.withColumn("block", block), "vp-visits")
+        copies = shards.join(visits.select(*keys, "block").distinct(), keys).select(*keys, "block", "point", "v")
+        by = [*keys, "block"]
+        visits = visits.join(distinct.select("point", "v"), "point")
+        copies, visits = (d.toDF(*d.columns) for d in (copies, visits))  # both come from the visits: columns of their own
+        return copies.groupBy(by).cogroup(visits.groupBy(by)).applyInPandas(_search_shard(k + 1, factor), "point string, near string, d double")
+
+    gap = F.greatest(F.col("low") - F.col("away"), F.col("away") - F.col("high"), F.lit(0.0))
+    homes = distinct.drop("v").join(rings, "cell").groupBy("point").agg(F.min(F.struct(gap.alias("gap"), *keys)).alias("home"))
+    homes = written(homes.select("point", *[F.col(f"home.{c}") for c in keys]), "vp-homes")
+    at_home = written(searched(homes.withColumn("bound", F.lit(None).cast("double"))), "vp-home")
     in_order = Window.partitionBy("point").orderBy("d")
     bounds = at_home.withColumn("_n", F.row_number().over(in_order)).filter(F.col("_n") == k + 1).select("point", F.col("d").alias("bound"))
 
-    reach = np.array([len(p) for p in pivots])
-    spans = {(r["cell"], r["part"]): (r["low"], r["high"]) for r in extent.collect()}  # a row for every shard
-
-    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(spans)
-        for batch in batches:
-            out = []
-            for point, v, home, bound in zip(*(batch.column(c).to_pylist() for c in ("point", "v", "cell", "bound"))):
-                limit = np.inf if bound is None else bound
-                away = {c: float(np.linalg.norm(pivots[c] - np.array(v))) for c in np.flatnonzero(reach == len(v))}
-                for cell, part in names:
-                    if cell == home or cell not in away:
-                        continue
-                    low, high = spans[cell, part]
-                    if factor * max(low - away[cell], away[cell] - high) <= limit:
-                        out.append((point, v, cell, part, bound))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.float64()))], names=["point", "v", "cell", "part", "bound"])
-
-    other_visits = homes.join(bounds, "point", "left").select("point", "v", "cell", "bound").mapInArrow(routes, "point bigint, v array<double>, cell int, part int, bound double")
-    found = at_home.union(searched(other_visits))
+    routed = distinct.select("point", "v").join(bounds, "point", "left").mapInArrow(_routes(pivots, spans, factor), "point string, cell int, away double, bound double")
+    alone = distinct.filter("cell < 0").select("point", "cell", "away").join(bounds, "point", "left").select("point", "cell", "away", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    routed = routed.union(alone).join(rings, "cell").filter(factor * gap <= F.col("bound") * (1 + SLACK) + SLACK)
+    found = at_home.union(searched(routed.select("point", "bound", *keys).join(homes, ["point", *keys], "left_anti")))
 
     # Points that can still be in a list: the k + 1 nearest, and those as near as the last.
     close = found.withColumn("_n", F.rank().over(in_order)).filter(F.col("_n") <= k + 1).drop("_n")
