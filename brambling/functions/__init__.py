@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def estimate_tokens(text: Column) -> Column:
     """A token for four ASCII characters and one for two others, each rounded up; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
-    other = F.length(F.regexp_replace(t, "[\\x00-\\x7F]", ""))
+    other = F.length(F.regexp_replace(t, "[\\x00-\\x7F]+", ""))
     return (F.ceil((F.length(t) - other) / 4) + F.ceil(other / 2)).cast("long")
 
 
@@ -39,8 +39,10 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def djb2(text: Column) -> Column:
-    """h * 33 + code, from 5381, in 32 bits, over the characters of a text."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """h * 33 + code, from 5381, in 32 bits, over the UTF-16 units of a text (two for a character beyond the first plane)."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    high = lambda p: F.shiftright(p - 0x10000, 10) + 0xD800
+    codes = F.flatten(F.transform(points, lambda p: F.when(p < 0x10000, F.array(p)).otherwise(F.array(high(p), (p - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00))))
     return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: F.pmod(h * 33 + c, F.lit(1 << 32)))
 
 
@@ -54,6 +56,8 @@ def sanitize_id(text: Column) -> Column:
     return F.left(F.regexp_replace(kept, "^-+|-+$", ""), F.lit(50))
 
 
-def search_terms(text: Column) -> Column:
-    """The first six words of three letters or more."""
-    return F.slice(F.filter(F.split(F.trim(F.replace(text, F.lit("?"), F.lit(""))), "\\s+"), lambda w: F.length(w) >= 3), 1, 6)
+def search_terms(text: Column, default: str = "待生成具体检索词") -> Column:
+    """The first six words of three letters or more, without question marks; the default where there is none."""
+    plain = F.trim(F.regexp_replace(text, "[?？]", ""))
+    words = F.slice(F.filter(F.split(plain, "\\s+"), lambda w: F.length(w) >= 3), 1, 6)
+    return F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(default)))

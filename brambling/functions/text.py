@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 # Names that a message may mention, and words that name an intent, the preferred intent first.
 MENTIONS = ["pwa", "researcher", "agent[_-]?producer"]
 INTENT_KEYWORDS = {
-    "pwa": "项目 计划 排期 里程碑 风险 进度 甘特图 WBS 任务分配 资源 交付 项目管理 评估 project plan timeline milestone risk schedule".split(),
-    "researcher": "研究 论文 文献 综述 实验 数据 统计 假设 分析 分析方法 期刊 学术 科研 citation 引用 research paper literature experiment statistics".split(),
-    "agent_producer": [*"创建智能体 新建智能体 设计智能体 配置智能体 生成智能体 写一个智能体 做一个智能体 做一个agent".split(), "create agent", "design agent", "build agent", *"创建 新建 智能体 agent".split()],
+    "pwa": ["项目", "计划", "排期", "里程碑", "风险", "进度", "甘特图", "WBS", "任务分配", "资源", "交付", "项目管理", "评估", "project", "plan", "timeline", "milestone", "risk", "schedule"],
+    "researcher": ["研究", "论文", "文献", "综述", "实验", "数据", "统计", "假设", "分析", "分析方法", "期刊", "学术", "科研", "citation", "引用", "research", "paper", "literature", "experiment", "statistics"],
+    "agent_producer": ["创建智能体", "新建智能体", "设计智能体", "配置智能体", "生成智能体", "写一个智能体", "做一个智能体", "做一个agent", "create agent", "design agent", "build agent", "创建", "新建", "智能体", "agent"],
 }
 # What a word in a request asks for, in order, and what is given where no word is found.
 CAPABILITIES = {

@@ -74,13 +74,16 @@ def activity(events: DataFrame, key: str, name: str, seq: str, length: int = 200
     return firsts.groupBy(key).agg(F.left(F.array_join(F.transform(listed, lambda x: x[name]), ", "), F.lit(length)).alias("summary"))
 
 
-def assemble_calls(fragments: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Calls from the fragments of a stream: the first ``id``, the last ``name``, and ``arguments`` joined in order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(seq), F.coalesce("arguments", F.lit("")).alias("a"))))
-    return fragments.groupBy(*keys).agg(
-        F.min_by("id", F.when(F.col("id").isNotNull(), F.col(seq))).alias("id"), F.max_by("name", F.when(F.col("name").isNotNull(), F.col(seq))).alias("name"),
-        F.array_join(F.transform(parts, lambda p: p["a"]), "").alias("arguments"),
-    )
+def assemble_calls(fragments: DataFrame, keys: list[str], seq: str, stretch: int = 1000) -> DataFrame:
+    """Calls from the fragments of a stream: the first ``id``, the last ``name``, and ``arguments`` joined in order.
+
+    Fragments are joined by stretches of the sequence first, so that a key's list holds a string for each stretch only.
+    """
+    joined = lambda place, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), text.alias("a")))), lambda x: x["a"]), "")
+    named = [F.min(F.when(F.col("id").isNotNull(), F.struct(seq, "id"))).alias("_i"), F.max(F.when(F.col("name").isNotNull(), F.struct(seq, "name"))).alias("_n")]
+    parts = fragments.groupBy(*keys, F.floor(F.col(seq) / stretch).alias("_s")).agg(*named, joined(F.col(seq), F.coalesce("arguments", F.lit(""))).alias("_a"))
+    whole = parts.groupBy(*keys).agg(F.min("_i").alias("_i"), F.max("_n").alias("_n"), joined(F.col("_s"), F.col("_a")).alias("arguments"))
+    return whole.select(*keys, F.col("_i.id").alias("id"), F.col("_n.name").alias("name"), "arguments")
 
 
 def namespaces(rows: DataFrame, account: str, space: str, owner: str) -> DataFrame:

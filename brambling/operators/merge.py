@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], seq: Column) -> DataFrame:
@@ -19,11 +24,12 @@ def newest_n(rows: DataFrame, keys: list[str], seq: str, n: int) -> DataFrame:
 
 
 def merge_filled(rows: DataFrame, key: str, seq: Column, filled: list[str], newest: list[str] = (), seen: str | None = None) -> DataFrame:
-    """Upsert that keeps what it has: of every ``filled`` column the newest value that isn't null or empty,
-    of ``newest`` columns the newest of all, and the first and last of ``seen``."""
+    """Upsert that keeps what it has: of every ``filled`` column the newest value that isn't null or empty (text
+    or list), of ``newest`` columns the newest of all, and the first and last of ``seen``."""
 
     def last_filled(c: str) -> Column:
-        there = F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+        listed = isinstance(rows.schema[c].dataType, ArrayType)
+        there = (F.size(c) > 0) if listed else F.col(c).isNotNull() & (F.col(c).cast("string") != "")
         return F.max_by(F.when(there, F.col(c)), F.when(there, seq)).alias(c)
 
     out = [last_filled(c) for c in filled] + [F.max_by(c, seq).alias(c) for c in newest]
@@ -40,22 +46,27 @@ def insert_missing(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
 def fold_revisions(rows: DataFrame, deltas: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
     """Apply deltas in order, each only where its ``expected`` is the current ``revision``, which it raises.
 
-    A row that is deleted (``deleted`` in a delta) takes no more. The fold runs over the sorted deltas of
-    one key; a delta is a struct of the changed columns.
+    A row that is deleted (``deleted`` in a delta) takes no more. Rows (one for each key) and deltas are
+    sorted by key and sequence, and a task holds the row it is at: keys of any number of deltas fit.
     """
-    change = F.struct(seq, "expected", "deleted", *columns)
-    todo = deltas.groupBy(key).agg(F.array_sort(F.collect_list(change)).alias("_deltas"))
-    start = F.struct(*[F.col(c) for c in columns], F.col("revision").cast("long").alias("revision"), F.lit(False).alias("deleted"))
-
-    def step(state: Column, d: Column) -> Column:
-        ok = (d["expected"] == state["revision"]) & ~state["deleted"]
-        taken = F.struct(*[F.coalesce(d[c], state[c]).alias(c) for c in columns], (state["revision"] + 1).alias("revision"), d["deleted"].alias("deleted"))
-        return F.when(ok, taken).otherwise(state)
-
-    done = F.aggregate(F.coalesce("_deltas", F.array().cast(todo.schema["_deltas"].dataType)), start, step)
-    return rows.join(todo, key, "left").select(key, done.alias("_s")).select(key, *[F.col(f"_s.{c}").alias(c) for c in [*columns, "revision", "deleted"]])
-
-
-def transition(status: Column, expires: Column, now: Column, decision: Column) -> Column:
-    """Pending rows take the decision, or expire; others stay."""
-    return F.when(status != "pending", status).when(expires <= now, "expired").otherwise(decision)
+    kinds = {f.name: f.dataType for f in deltas.schema}
+    start = rows.select(key, F.lit(0).alias("_kind"), F.lit(None).cast(kinds[seq]).alias(seq), F.lit(None).cast(kinds["expected"]).alias("expected"), F.lit(False).alias("deleted"), *columns, F.col("revision").cast("long").alias("revision"))
+    changes = deltas.select(key, F.lit(1).alias("_kind"), seq, "expected", "deleted", *columns, F.lit(None).cast("long").alias("revision"))
+    out = rows.select(key, *columns, F.col("revision").cast("long").alias("revision"), F.lit(False).alias("deleted")).schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now = to_arrow_schema(out), None
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                if r["_kind"] == 0:
+                    done += [now] if now else []
+                    now = {c: r[c] for c in out.names}
+                elif now and r[key] is not None and r[key] == now[key] and not now["deleted"] and r["expected"] == now["revision"]:
+                    now = {c: now[c] if r[c] is None else r[c] for c in columns} | {key: now[key], "revision": now["revision"] + 1, "deleted": r["deleted"]}
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if now:
+            yield pa.RecordBatch.from_pylist([now], schema)
+
+    order = [key, "_kind", seq, "expected", "deleted", *columns]
+    return start.unionByName(changes).repartition(key).sortWithinPartitions(*order).mapInArrow(fold, out)

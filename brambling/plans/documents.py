@@ -149,11 +149,11 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event of every key, merged micro-batch by micro-batch."""
     keep = lambda rows: merge.latest_per_key(rows, ["event_type", "user_id"], F.col("event_id"))
     events = streaming.table_stream(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
-    return streaming.merged(events, keep)
+    return streaming.merged(events, keep, ["event_type", "user_id"])
 
 
 @plan("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role IN ('user', 'assistant')) WHERE rn <= 2")
 def stream_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest two messages of every conversation; what a batch brings is ranked with what is held."""
     rows = streaming.table_stream(spark, sf_dir, "conversations").filter("role in ('user', 'assistant')")
-    return streaming.merged(rows, lambda held: merge.newest_n(held, ["conv_id"], "turn", 2))
+    return streaming.merged(rows, lambda held: merge.newest_n(held, ["conv_id"], "turn", 2), ["conv_id"])

@@ -36,24 +36,37 @@ def dashed_date(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: x.cast("string")), "-")
 
 
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def _filled(*columns: Column) -> Column:
+    """The first value that isn't null or empty, else empty text."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
+
+
 def normalise_crossref(items: DataFrame) -> DataFrame:
-    """Items of a Crossref response (DOI, title array, author structs, issued parts, ...) as records."""
+    """Items of a Crossref response, in its own shape, as records: a work is known by its cleaned DOI."""
     author = lambda a: F.concat_ws(" ", F.nullif(a["given"], F.lit("")), F.nullif(a["family"], F.lit("")))
+    doi = clean_doi(F.col("DOI"))
     return items.select(
-        F.col("DOI").alias("source_id"), clean_doi(F.col("DOI")).alias("doi"), F.lit("").alias("arxiv_id"),
-        F.coalesce(F.get("title", F.lit(0)), F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"),
-        F.filter(F.transform("author", author), lambda a: a != "").alias("authors"), dashed_date(F.col("issued")).alias("published"),
-        F.coalesce("URL", F.lit("")).alias("landing_url"), F.lit("unknown").alias("oa_status"), F.lit("").alias("oa_url"),
-        F.coalesce("type", F.lit("")).alias("work_type"), F.coalesce("updated", F.lit("")).alias("updated"), F.col("citations").cast("long").alias("citation_count"),
+        doi.alias("source_id"), doi.alias("doi"), F.lit("").alias("arxiv_id"),
+        _text(F.get("title", F.lit(0))).alias("title"), _text(F.col("abstract")).alias("abstract"),
+        F.coalesce(F.filter(F.transform("author", author), lambda a: a != ""), F.array().cast("array<string>")).alias("authors"),
+        _text(dashed_date(F.get("published.`date-parts`", F.lit(0)))).alias("published"),
+        _filled(F.col("URL"), F.concat(F.lit("https://doi.org/"), doi)).alias("landing_url"), F.lit("unknown").alias("oa_status"), F.lit("").alias("oa_url"),
+        _text(F.col("type")).alias("work_type"), _text(F.col("indexed.`date-time`")).alias("updated"), F.col("`is-referenced-by-count`").cast("long").alias("citation_count"),
     )
 
 
 def normalise_openalex(works: DataFrame) -> DataFrame:
-    """Works of an OpenAlex response (id, doi, inverted index, author names, ...) as records."""
+    """Works of an OpenAlex response, in its own shape, as records."""
+    name = lambda a: a["author"]["display_name"]
     return works.select(
-        last_segment(F.col("id")).alias("source_id"), clean_doi(F.col("doi")).alias("doi"), F.lit("").alias("arxiv_id"),
-        F.coalesce("title", F.lit("")).alias("title"), abstract_from_index(F.col("abstract_inverted_index")).alias("abstract"),
-        F.filter("authors", lambda a: F.coalesce(a, F.lit("")) != "").alias("authors"), F.coalesce("publication_date", F.lit("")).alias("published"),
-        F.coalesce("landing_url", F.lit("")).alias("landing_url"), F.coalesce("oa_status", F.lit("unknown")).alias("oa_status"), F.coalesce("oa_url", F.lit("")).alias("oa_url"),
-        F.coalesce("type", F.lit("")).alias("work_type"), F.coalesce("updated_date", F.lit("")).alias("updated"), F.col("cited_by_count").cast("long").alias("citation_count"),
+        _text(last_segment(F.col("id"))).alias("source_id"), clean_doi(F.col("doi")).alias("doi"), _text(last_segment(F.col("ids.arxiv"))).alias("arxiv_id"),
+        _text(F.col("title")).alias("title"), _text(abstract_from_index(F.col("abstract_inverted_index"))).alias("abstract"),
+        F.coalesce(F.filter(F.transform("authorships", name), lambda a: _text(a) != ""), F.array().cast("array<string>")).alias("authors"), _text(F.col("publication_date")).alias("published"),
+        _filled(F.col("primary_location.landing_page_url"), F.col("doi"), F.col("id")).alias("landing_url"),
+        F.when(F.col("open_access.is_oa"), "open").otherwise("closed_or_unknown").alias("oa_status"), _text(F.col("open_access.oa_url")).alias("oa_url"),
+        _text(F.col("type")).alias("work_type"), _text(F.col("updated_date")).alias("updated"), F.col("cited_by_count").cast("long").alias("citation_count"),
     )
