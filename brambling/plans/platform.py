@@ -101,7 +101,7 @@ joined AS (SELECT c.request_id, c.decision, c.request_id % 7 = 0 AS granted, c.c
 named AS (SELECT *, CASE WHEN decision = 'ALLOW' THEN 'policy' WHEN granted THEN 'grant_allowed' WHEN decision = 'DENY' THEN 'denied' WHEN coalesce(never, false) THEN 'approval_policy_never'
   WHEN status = 'approved' THEN 'approval_granted' WHEN status IS NOT NULL THEN 'approval_pending' ELSE 'approval_due' END AS reason FROM joined)
 SELECT request_id, CASE WHEN reason IN ('policy', 'grant_allowed', 'approval_granted') THEN 'ALLOW' WHEN reason = 'denied' THEN 'DENY' ELSE 'REQUIRES_APPROVAL' END AS outcome, reason,
-  CASE WHEN reason IN ('approval_granted', 'approval_pending') THEN approval_id END AS approval_id FROM named""")
+  CASE WHEN reason IN ('approval_granted', 'approval_pending') THEN approval_id ELSE -1 END AS approval_id FROM named""")
 def approval_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy, grant, the conversation's own policy, and approvals found by the call's fingerprint."""
     calls = table(spark, sf_dir, "events").select(
@@ -112,7 +112,7 @@ def approval_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = calls.filter("request_id % 3 <> 0").select("account", "fingerprint", F.col("request_id").alias("approval_id"), status.alias("status"), (F.col("request_id") + 4000).alias("expires_at"))
     policies = calls.select("conversation").distinct().select("conversation", F.when(F.col("conversation") % 10 == 0, "never").otherwise("ask").alias("approval_policy"))
     done = approvals.resolve(calls, calls.filter("request_id % 7 = 0").select("request_id"), asked, policies, F.lit(5000))
-    return done.select("request_id", "outcome", "reason", "approval_id")
+    return done.select("request_id", "outcome", "reason", F.coalesce("approval_id", F.lit(-1).cast("long")).alias("approval_id"))
 
 
 @plan("""
@@ -143,13 +143,13 @@ def visible_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH rows AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'approved' ELSE 'denied' END AS status, o_orderkey % 100 AS expires_at FROM orders),
 firsts AS (SELECT l_orderkey AS id, arg_min(l_linenumber % 2, l_linenumber) AS d, min(l_linenumber) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey)
 SELECT rows.id, CASE WHEN status <> 'pending' OR n IS NULL THEN status WHEN expires_at <= n * 20 THEN 'expired' WHEN d = 0 THEN 'approved' ELSE 'denied' END AS status,
-  CAST(CASE WHEN status = 'pending' THEN n * 20 END AS BIGINT) AS decided_at FROM rows LEFT JOIN firsts ON rows.id = firsts.id""")
+  CAST(coalesce(CASE WHEN status = 'pending' THEN n * 20 END, -1) AS BIGINT) AS decided_at FROM rows LEFT JOIN firsts ON rows.id = firsts.id""")
 def guarded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "approved").otherwise("denied")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 100).alias("expires_at"))
     made = table(spark, sf_dir, "lineitem").filter("l_linenumber > 1")
     made = made.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 2 == 0, "approved").otherwise("denied").alias("decision"), F.lit("owner").alias("decided_by"), (F.col("l_linenumber") * 20).cast("long").alias("decided_at"))
-    return approvals.decide(rows, made, "id", F.lit(0)).select("id", "status", F.col("decided_at").cast("long").alias("decided_at"))
+    return approvals.decide(rows, made, "id", F.lit(0)).select("id", "status", F.coalesce(F.col("decided_at").cast("long"), F.lit(-1).cast("long")).alias("decided_at"))
 
 
 @plan("""
@@ -340,11 +340,11 @@ WORKS = "SELECT doc_id, source, source || '-' || doc_id % 200 AS source_id, 'w'
 @plan(f"""
 WITH rows AS ({WORKS})
 SELECT work_id, arg_max(title, doc_id) FILTER (WHERE title <> '') AS title, arg_max('a' || doc_id, doc_id) FILTER (WHERE NOT bare) AS first_author,
-  arg_max(cites, doc_id) FILTER (WHERE cites IS NOT NULL) AS citation_count, CASE WHEN max(doc_id) % 2 = 0 THEN 'open' ELSE 'unknown' END AS oa_status, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM rows GROUP BY work_id""")
+  coalesce(arg_max(cites, doc_id) FILTER (WHERE cites IS NOT NULL), -1) AS citation_count, CASE WHEN max(doc_id) % 2 = 0 THEN 'open' ELSE 'unknown' END AS oa_status, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM rows GROUP BY work_id""")
 def works_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works merged from all their records: empty text and empty author lists never win, the status always does."""
     done = state.merge_works(_records(spark, sf_dir), F.col("doc_id"))
-    return done.select("work_id", "title", F.get("authors", F.lit(0)).alias("first_author"), "citation_count", "oa_status", F.col("first_seen_at").alias("first_seen"), F.col("last_seen_at").alias("last_seen"))
+    return done.select("work_id", "title", F.get("authors", F.lit(0)).alias("first_author"), F.coalesce("citation_count", F.lit(-1).cast("long")).alias("citation_count"), "oa_status", F.col("first_seen_at").alias("first_seen"), F.col("last_seen_at").alias("last_seen"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,10 +387,11 @@ def harvest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-@plan("SELECT event_type, count(*) AS n, max(event_id) AS last, sum(CAST(event_id AS BIGINT)) AS total FROM events WHERE event_id > 100 GROUP BY event_type")
+@plan("SELECT event_type, count(*) AS n, max(event_id) AS last, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_id > 100 GROUP BY event_type")
 def cursor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log read as a stream by its cursor, in pages, each merged into the table in its own micro-batch."""
     path = f"{sf_dir.rstrip('/')}/events.parquet"
-    stream = streaming.cursor_stream(spark, path, cursor="event_id", after=100, size=4000, columns={"event_type": "string"})
+    size = table(spark, sf_dir, "events").count() // 3 + 1
+    stream = streaming.cursor_stream(spark, path, cursor="event_id", after=100, size=size, columns={"event_type": "string"})
     rows = streaming.merged(stream, lambda d: d.groupBy("event_id").agg(F.first("event_type").alias("event_type")), ["event_id"], every="0 seconds")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"), F.sum("event_id").cast("long").alias("total"))

@@ -19,7 +19,7 @@ def page(events: DataFrame, after: int, limit: int = 100) -> DataFrame:
     return events.filter(F.col("event_id") > after).orderBy("event_id").limit(max(1, min(limit, 500)))
 
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 def _held(spark: SparkSession, target: str, before: int, buckets: list[int] | None, schema) -> DataFrame | None:
@@ -27,11 +27,11 @@ def _held(spark: SparkSession, target: str, before: int, buckets: list[int] | No
     if not before:
         return None
     versions = spark.read.parquet(*[f"{target}/manifest/{n}" for n in range(before)]).groupBy("bucket").agg(F.max("version").alias("version"))
-    paths = [f"{target}/rows/{r['version']}/_bucket={r['bucket']}" for r in versions.collect() if buckets is None or r["bucket"] in buckets]  # BUCKETS rows
+    paths = [f"{target}/rows/{r['version']}/_bucket={r['bucket']}" for r in versions.collect() if buckets is None or r["bucket"] in buckets]  # a row for every bucket
     return spark.read.schema(schema).parquet(*paths) if paths else None
 
 
-def merge_stream(stream: DataFrame, target: str, checkpoint: str, merge: Callable[[DataFrame], DataFrame], keys: list[str], every: str | None = None) -> StreamingQuery:
+def merge_stream(stream: DataFrame, target: str, checkpoint: str, merge: Callable[[DataFrame], DataFrame], keys: list[str], every: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Every micro-batch is merged with what the table holds of its keys, and only their buckets are written anew.
 
     A bucket's version is written first and named in the batch's manifest afterwards. A batch that runs
@@ -43,7 +43,7 @@ def merge_stream(stream: DataFrame, target: str, checkpoint: str, merge: Callabl
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         new = batch.withColumn("_bucket", bucket).persist()
         touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]
         held = _held(spark, target, number, touched, schema)
