@@ -1,4 +1,10 @@
-"""From documents to packed sequences: quality, line dedup, near-dedup, packing."""
+"""From documents to packed sequences: quality, line dedup, near-dedup, packing.
+
+Every stage but the last returns the columns of its input and no others, whatever their names (those
+beginning with ``_qc_``, ``_ld_`` or ``_nd_`` are reserved). Null and empty texts, null ids, very long
+texts, ties and repeated rows have the results that the operators' docstrings state; an empty table
+gives no rows at each stage. Stages are written in the shared folder, so a lost executor costs tasks only.
+"""
 
 from __future__ import annotations
 
@@ -16,12 +22,12 @@ from brambling.llm.quality import scored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Documents that the classifier keeps; one without text follows its path, and repeated rows are judged one by one."""
     return scored(docs, table(spark, sf_dir, "labels")).filter("_qc_keep").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the later copies of repeated runs of lines."""
+    """Every document, without the later copies of repeated runs of lines; its text may become empty, a null one stays."""
     cut = cut_lines(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("_ld_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -29,12 +35,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
+    """One document of every group of near duplicates: that of least id; equal blank texts are a group, null texts all stay."""
     return drop_near_duplicates(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and their places in sequences."""
+    """The pieces of every document and their places in sequences; one without text is a piece of one id."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -45,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packing_stage),
 ]
 
-#: The fitted classifier and the packing plan can't be written as SQL; tests hold run() against a plain version.
+#: The fitted classifier and the packing plan can't be written as SQL; tests/llm/test_whole.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
