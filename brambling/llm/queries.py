@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitplane import op2_bit_planes
+from .hardneg import op13_hard_negatives
 from .htmlmain import op7_html
 from .linededup import op10_line_dedup
+from .lloyd import op12_product_codes
 from .media import op5_media
 from .neardup import op6_near_duplicates
 from .packing import op9_packing
 from .quality import op3_quality
 from .sentencepiece_trie import op8_sentencepiece
 from .sharding import op4_sharding
+from .toxicity import op11_toxicity
+from .vector_sql import OP12, OP13
 from .vptree import op1_vp_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_toxicity": op11_toxicity,
+    "op12_product_codes": op12_product_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 OP1 = """
@@ -103,4 +110,4 @@ SELECT lines.doc_id, coalesce(string_agg(s0, chr(10) ORDER BY lines.line) FILTER
 FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.line = lines.line GROUP BY lines.doc_id
 """
 
-ORACLE_SQL = {"op1_vp_trees": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
+ORACLE_SQL = {"op1_vp_trees": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op10_line_dedup": OP10, "op12_product_codes": OP12, "op13_hard_negatives": OP13}
