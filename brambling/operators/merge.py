@@ -23,9 +23,9 @@ def newest_n(rows: DataFrame, keys: list[str], seq: str, n: int) -> DataFrame:
     return rows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
-def merge_filled(rows: DataFrame, key: str, seq: Column, filled: list[str], newest: list[str] = (), seen: str | None = None) -> DataFrame:
+def merge_filled(rows: DataFrame, key: str, seq: Column, filled: list[str], newest: list[str] = (), seen: str | tuple[str, str] | None = None) -> DataFrame:
     """Upsert that keeps what it has: of every ``filled`` column the newest value that isn't null or empty (text
-    or list), of ``newest`` columns the newest of all, and the first and last of ``seen``."""
+    or list), of ``newest`` columns the newest of all, and the first and last of ``seen`` (or of two columns, the least of one and the greatest of the other)."""
 
     def last_filled(c: str) -> Column:
         listed = isinstance(rows.schema[c].dataType, ArrayType)
@@ -34,7 +34,8 @@ def merge_filled(rows: DataFrame, key: str, seq: Column, filled: list[str], newe
 
     out = [last_filled(c) for c in filled] + [F.max_by(c, seq).alias(c) for c in newest]
     if seen:
-        out += [F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen")]
+        low, high = (seen, seen) if isinstance(seen, str) else seen
+        out += [F.min(low).alias("first_seen"), F.max(high).alias("last_seen")]
     return rows.groupBy(key).agg(*out)
 
 

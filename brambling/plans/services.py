@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brambling import streaming
+from brambling.functions import tables
+from brambling.operators import collections, texts
 from brambling.plans.catalog import plan
-from brambling.sources import table
+from brambling.sources import RECORD, adapters, runs, table, uploads
 from brambling.streaming import keyed
 
 # Keyed state: a tenth of the events open approvals, the others may decide on them, thousands of seconds later
@@ -70,3 +75,197 @@ def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_id") < keys, "create").when(F.col("event_type") == "error", "delete").otherwise("update")
     ops = events.select((F.col("event_id") % keys).alias("key"), op.alias("op"), (F.col("event_id") + 1).cast("double").alias("at"), F.col("event_id").alias("seq"), (1 + F.col("user_id") % 3).alias("expected"), F.col("props").alias("content"))
     return keyed.sunk(keyed.revision_outcomes(_in_parts(spark, ops, "seq", "revisions"), keep=1e9), streaming.scratch(spark, "revisions"))
+
+
+# Table functions, called from SQL text
+
+
+def _sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
+    """A query over views of this call's own names."""
+    tables.registered(spark)
+    for name, rows in views.items():
+        view = f"{name}_{uuid.uuid4().hex[:8]}"
+        rows.createOrReplaceTempView(view)
+        text = text.replace(f"{{{name}}}", view)
+    return spark.sql(text)
+
+
+@plan(r"""
+SELECT doc_id, lang, CAST(k AS INTEGER) AS chunk_no, regexp_replace(substr(text, k * 300 + 1, 300), '^\s+|\s+$', '', 'g') AS chunk
+FROM (SELECT doc_id, lang, text, unnest(range(CAST(ceil(length(text) / 300.0) AS BIGINT))) AS k FROM documents)""")
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in windows of 300 characters; the numbers are those of the windows, as none of them is blank here."""
+    return _sql(spark, "SELECT doc_id, lang, chunk_no, chunk FROM chunks(TABLE({docs}), 'text', 300, 0, true)", docs=table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+@plan("""
+SELECT doc_id, source, hits, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY hits DESC, doc_id) AS place FROM (
+    SELECT doc_id, source, CAST((length(lower(text)) - length(replace(lower(text), 'the ', ''))) / 4 AS BIGINT) AS hits FROM documents) WHERE hits > 0) WHERE place <= 5""")
+def sql_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every source the five documents that have a term most often, by a partitioned table argument."""
+    return _sql(spark, "SELECT doc_id, source, hits, place FROM matches(TABLE({docs}) PARTITION BY (source), 'text', 'the ', 5)", docs=table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@plan("""
+SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS row_no, c_name AS name, c_mktsegment AS segment FROM customer""")
+def sql_markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a Markdown table of each nation, read back as columns."""
+    line = F.concat_ws(" | ", F.lit(""), "c_mktsegment", "c_name", F.lit(""))
+    lines = F.array_sort(F.collect_list(F.struct("c_custkey", F.trim(line).alias("l"))))
+    body = F.array_join(F.transform(lines, lambda x: x["l"]), "\n")
+    docs = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("# Customers\n\n| Segment | Name |\n|---|:---:|\n"), body, F.lit("\n\nend")).alias("md"))
+    return _sql(spark, "SELECT c_nationkey, row_no, name, segment FROM markdown_tables(TABLE({docs}), 'md', 'name,segment')", docs=docs)
+
+
+# Readers and writers
+
+
+@plan("""
+SELECT CASE doc_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'novel' ELSE 'data' END AS collection, 'd' || doc_id || CASE doc_id % 2 WHEN 0 THEN '.TXT' ELSE '.md' END AS name, octet_length(encode(coalesce(text, ''))) AS bytes,
+  sha256(coalesce(text, '')) AS sha256, 'u' || doc_id % 2 AS uploaded_by, true AS named, true AS same FROM documents""")
+def upload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents uploaded as files by two users, read back by their manifests; a third upload fails and leaves nothing."""
+    home = streaming.scratch(spark, "uploads")
+    d = F.col("doc_id")
+    files_ = table(spark, sf_dir, "documents").select(
+        d, F.when(d % 3 == 0, "public").when(d % 3 == 1, "novel").otherwise("data").alias("collection"),
+        F.concat(F.lit("folder/d"), d.cast("string"), F.when(d % 2 == 0, ".TXT").otherwise(".md")).alias("name"), F.coalesce("text", F.lit("")).alias("content"))
+    for who in (0, 1):
+        uploads.upload(files_.filter(d % 2 == who), home, f"u{who}")
+    got = uploads.uploaded(spark, home)
+    named = F.regexp_like(F.element_at(F.split("stored", "/"), -1), F.lit("^[0-9a-f]{8}_d[0-9]+\\.(TXT|md)$"))
+    return got.select("collection", "name", "bytes", "sha256", "uploaded_by", named.alias("named"), (F.sha2("content", 256) == F.col("sha256")).alias("same"))
+
+
+ITEM_DAY = "CAST(DATE '2024-01-01' + CAST(doc_id % 97 AS INTEGER) AS VARCHAR)"
+
+
+@plan(f"""
+WITH items AS (SELECT doc_id, {ITEM_DAY} AS day, doc_id % 97 // 7 AS page FROM documents),
+pages AS (SELECT page FROM items GROUP BY page HAVING max(day) >= '2024-03-01')
+SELECT page, count(*) AS items, (SELECT count(*) FROM pages) AS planned, min(day) AS low FROM items WHERE day >= '2024-03-01' GROUP BY page""")
+def recorded_pages_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording's items from a day on; the reader leaves out the pages that end before it, and says how many it chose."""
+    home = _recording(spark, sf_dir)
+    rows = adapters.items_of(spark, home, "documents").filter(F.col("updated") >= "2024-03-01")
+    return rows.groupBy(F.col("_page").cast("long").alias("page")).agg(F.count("*").alias("items"), F.max("_pages").cast("long").alias("planned"), F.min("updated").alias("low"))
+
+
+def _normalised(items: DataFrame) -> DataFrame:
+    """Items (id, title, citations, updated) as records; every third has a DOI that others share."""
+    shape = {"source_id": F.col("id"), "doi": F.coalesce("doi", F.lit("")), "title": F.coalesce("title", F.lit("")), "authors": F.array("id"), "oa_status": F.lit("open"), "updated": F.col("updated"), "citation_count": F.col("citations")}
+    return items.select(*[shape.get(c, F.lit("")).alias(c) for c in RECORD])
+
+
+adapters.register(adapters.Adapter("documents", "id string, doi string, title string, citations bigint", _normalised))
+
+
+def _recording(spark: SparkSession, sf_dir: str) -> str:
+    home, d = streaming.scratch(spark, "recording"), F.col("doc_id")
+    items = table(spark, sf_dir, "documents").select(d.cast("string").alias("id"), F.when(d % 3 == 0, F.concat(F.lit("10.1/"), (d % 50).cast("string"))).alias("doi"), F.when(d % 4 != 0, F.concat(F.lit("t"), d.cast("string"))).alias("title"), F.when(d % 5 != 0, F.col("n_chars")).alias("citations"), F.expr("CAST(date_add(DATE '2024-01-01', CAST(doc_id % 97 AS INT)) AS STRING)").alias("updated"), F.expr("doc_id % 97 div 7").alias("page"))
+    adapters.record(items, home, "documents")
+    return home
+
+
+HARVESTS = """
+WITH items AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'doi:10.1/' || doc_id % 50 ELSE 'meta:' || sha256(CAST(doc_id AS VARCHAR)) END AS work_id,
+  CASE WHEN doc_id % 4 <> 0 THEN 't' || doc_id ELSE '[untitled]' END AS title, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS cites, CAST(DATE '2024-01-01' + CAST(doc_id % 97 AS INTEGER) AS VARCHAR) AS day FROM documents),
+asked AS (
+  SELECT 1 AS run, 0 AS place, 'a' AS source, * FROM items WHERE doc_id % 2 = 0 AND day >= '2024-01-31' AND day < '2024-03-01'
+  UNION ALL SELECT 2, 0, 'a', * FROM items WHERE doc_id % 2 = 0 AND day >= '2024-03-01' AND day < '2024-04-01'
+  UNION ALL SELECT 2, 1, 'b', * FROM items WHERE doc_id % 2 = 1 AND day >= '2024-03-02' AND day < '2024-04-01'),
+works AS (
+  SELECT work_id, arg_max(title, run * 1000000000000 + place * 100000000000 + rank) AS title, arg_max(cites, run * 1000000000000 + place * 100000000000 + rank) FILTER (WHERE cites IS NOT NULL) AS cites, min(run) AS first_run, max(run) AS last_run
+  FROM (SELECT *, row_number() OVER (ORDER BY id) AS rank FROM asked) GROUP BY work_id),
+firsts AS (SELECT run, source, count(*) AS n FROM (SELECT work_id, min(run) AS run, arg_min(source, run * 10 + place) AS source FROM asked GROUP BY work_id) GROUP BY run, source)
+SELECT 'work' AS kind, work_id AS key, title || '/' || coalesce(CAST(cites AS VARCHAR), '-') || '/' || CASE first_run WHEN 1 THEN '2024-03-01' ELSE '2024-04-01' END || '/' || CASE last_run WHEN 1 THEN '2024-03-01' ELSE '2024-04-01' END AS value FROM works
+UNION ALL SELECT 'record', source || '/' || id, work_id || '/' || CASE run WHEN 1 THEN '2024-03-01' ELSE '2024-04-01' END FROM asked
+UNION ALL SELECT 'checkpoint', source, '2024-04-01' FROM (VALUES ('a'), ('b'), ('d')) t(source)
+UNION ALL SELECT 'report', s.source, s.status || '/' || s.since || '/' || (SELECT count(*) FROM asked WHERE run = 2 AND asked.source = s.source) || '/' || coalesce((SELECT n FROM firsts WHERE run = 2 AND firsts.source = s.source), 0)
+FROM (VALUES ('a', 'ok', '2024-03-01'), ('b', 'ok', '2024-03-02'), ('c', 'error', '2024-03-02'), ('d', 'ok', '2024-03-01')) s(source, status, since)
+"""
+
+
+@plan(HARVESTS)
+def harvest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over four sources and a third that is killed: one fails at first and is asked for the same again, one isn't known, one brings nothing."""
+    home, store = _recording(spark, sf_dir), runs.HarvestStore(spark, streaming.scratch(spark, "harvest"))
+
+    def source(rest: int, until: str):
+        return lambda since: adapters.adapter("documents").normalise(adapters.items_of(spark, home, "documents").filter((F.col("updated") >= since) & (F.col("updated") < until) & (F.col("id").cast("long") % 2 == rest)))
+
+    def fails(since: str) -> DataFrame:
+        raise ConnectionError("no answer")
+
+    def killed(step: str) -> None:
+        if step == "manifest":
+            raise KeyboardInterrupt
+
+    store.run({"a": source(0, "2024-03-01"), "b": fails, "c": None, "d": lambda since: source(0, "2024-03-01")(since).limit(0)}, "2024-03-01")
+    store.run({"a": source(0, "2024-04-01"), "b": source(1, "2024-04-01"), "c": None, "d": lambda since: source(0, "2024-03-01")(since).limit(0)}, "2024-04-01")
+    try:
+        store.run({"a": source(0, "2025-01-01"), "b": source(1, "2025-01-01")}, "2024-05-01", between=killed)
+    except KeyboardInterrupt:
+        pass
+    row = lambda d, kind, key, *parts: d.select(F.lit(kind).alias("kind"), key.alias("key"), F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]).alias("value"))
+    c = F.col
+    out = row(store.works(), "work", c("work_id"), c("title"), c("citation_count"), c("first_seen_at"), c("last_seen_at"))
+    out = out.union(row(store.records(), "record", F.concat_ws("/", "source", "source_id"), c("work_id"), c("harvested_at")))
+    out = out.union(row(store.checkpoints(), "checkpoint", c("source"), c("last_since")))
+    return out.union(row(store.report(), "report", c("source"), c("status"), c("since"), c("received"), c("new_works")))
+
+
+# Collections of texts
+
+VECTORS = r"""
+WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents),
+kept AS (SELECT *, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS w FROM lines WHERE trim(line) <> ''),
+grams AS (SELECT doc_id, chunk_no, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS g FROM kept),
+hashed AS (SELECT doc_id, chunk_no, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) AS h FROM grams),
+cells AS (SELECT doc_id, chunk_no, h % 64 AS j, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END) AS x FROM hashed GROUP BY ALL),
+sizes AS (SELECT doc_id, chunk_no, sqrt(CAST(sum(x * x) AS DOUBLE)) AS size FROM cells GROUP BY ALL),
+vectors AS (
+  SELECT doc_id, chunk_no, list_transform(range(64), lambda j: coalesce(m[j], 0.0)) AS v FROM (
+    SELECT c.doc_id, c.chunk_no, map_from_entries(list(struct_pack(k := j, v := CASE WHEN size > 0 THEN CAST(x AS DOUBLE) / size ELSE 0.0 END))) AS m FROM cells c JOIN sizes USING (doc_id, chunk_no) GROUP BY ALL)),
+"""
+DISTANCE = "list_reduce(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)"
+
+
+@plan("""
+WITH sizes AS (SELECT doc_id % 4 AS k, count(*) AS documents, sum(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''))) AS chunks FROM documents WHERE text IS NOT NULL GROUP BY k)
+SELECT CASE k WHEN 0 THEN 'public' WHEN 1 THEN 'novel' ELSE 'private/u' || k END AS collection, documents, CAST(chunks AS BIGINT) AS chunks, CAST(chunks AS BIGINT) AS units FROM sizes""")
+def rebuilt_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents chunked, embedded and built as two shared collections and two users' own; how many vectors are of length one."""
+    docs, store = table(spark, sf_dir, "documents"), collections.Store(spark, streaming.scratch(spark, "texts"))
+    shared = docs.withColumn("collection", F.when(F.col("doc_id") % 4 == 0, "public").when(F.col("doc_id") % 4 == 1, "novel"))
+    texts.rebuild_all(store, shared, ["public", "novel"], chunker=texts.by_lines)
+    for k in (2, 3):
+        texts.rebuild(store, "private", docs.filter(F.col("doc_id") % 4 == k), f"u{k}", chunker=texts.by_lines)
+    built = [(store.read("public"), "public"), (store.read("novel"), "novel"), (store.read("private", "u2"), "private/u2"), (store.read("private", "u3"), "private/u3")]
+    unit = F.abs(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x) - 1) < 1e-9
+    counted = [d.agg(F.lit(name).alias("collection"), F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.count_if(unit).alias("units")) for d, name in built]
+    return functools.reduce(DataFrame.union, counted)
+
+
+@plan(VECTORS + f"""
+near AS (SELECT a.doc_id AS query_id, b.doc_id, b.chunk_no, {DISTANCE} AS d2 FROM vectors a JOIN vectors b ON a.doc_id % 50 = 0 AND a.chunk_no = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_no, round(d2, 6) AS d2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, doc_id * 100000 + chunk_no) AS rank FROM near) WHERE rank <= 5""")
+def texts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks nearest to the first line of every fiftieth document, among all lines of all documents."""
+    store = collections.Store(spark, streaming.scratch(spark, "texts"))
+    texts.rebuild(store, "public", table(spark, sf_dir, "documents"), chunker=texts.by_lines)
+    rows = store.read("public").withColumn("vec_id", F.col("doc_id") * 100_000 + F.col("chunk_no"))
+    asked = rows.filter("doc_id % 50 = 0 and chunk_no = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    near = texts.top_k_many(rows, asked, 5)
+    return near.select("query_id", "rank", F.expr("vec_id div 100000").alias("doc_id"), (F.col("vec_id") % 100_000).alias("chunk_no"), F.round("d2", 6).alias("d2"))
+
+
+@plan("""
+WITH near AS (SELECT q.vec_id AS query_id, e.vec_id, list_reduce(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y) AS d2 FROM embeddings q, embeddings e)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(1 - least(d2, 1.0), 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM near) WHERE rank <= 10""")
+def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows to every row, itself first, by products of blocks and partial lists."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return texts.top_k_many(vectors, vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 10).select("query_id", "rank", "vec_id", "similarity")

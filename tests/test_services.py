@@ -56,3 +56,180 @@ def test_reader_sees_what_no_timer_said(spark):
     ttls = spark.createDataFrame([(1, 10.0), (2, 10.0)], "approval_id long, ttl double")
     at = lambda now: {r.approval_id: r.status for r in keyed.status_at(changes, ttls, F.lit(now)).collect()}
     assert at(9.9) == {1: "pending", 2: "denied"} and at(10.0) == {1: "expired", 2: "denied"}
+
+
+def test_table_functions_follow_their_arguments(spark):
+    from brambling.functions import tables
+
+    registry = tables.registered(spark)
+    spark.createDataFrame([(1, "a", None), (2, "b", ""), (3, "c", "x" * 10), (4, "a", "| A | b |\r\n|---|---|\r\n| 1 | 2 |\n| 3 |\n\n```\n| a | b |\n|---|---|\n| no | no |\n```\n| other |\n| --- | --- |\n| 9 |")], "chunk_no int, k string, t string").createOrReplaceTempView("t")
+    got = spark.sql("SELECT * FROM chunks(TABLE(t), 't', 4, 0, true)")
+    assert got.columns == ["k", "chunk_no", "chunk"]  # the text goes, and a found column wins over one of its name
+    assert [tuple(r) for r in got.filter("k = 'c'").collect()] == [("c", 0, "xxxx"), ("c", 1, "xxxx"), ("c", 2, "xx")]
+    got = spark.sql("SELECT * FROM markdown_tables(TABLE(SELECT k, t FROM t), 't', 'b, a, z')")
+    assert got.columns == ["k", "table_no", "row_no", "b", "a", "z"] and [tuple(r) for r in got.collect()] == [("a", 0, 0, "2", "1", None), ("a", 0, 1, None, "3", None)]
+    spark.createDataFrame([(3, "a", "x X"), (1, "a", "x"), (2, "a", "xx"), (9, "b", "x"), (8, "b", None)], "id int, g string, t string").createOrReplaceTempView("m")
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM matches(TABLE(m) PARTITION BY (g), 't', 'x', 2)").collect()) == [(2, "a", 2, 1), (3, "a", 2, 2), (9, "b", 1, 1)]
+    for bad in ("chunks(TABLE(t), 'nowhere', 4, 0)", "chunks(TABLE(t), 't', 4, 4)", "markdown_tables(TABLE(t), 't', 'a,A')", "matches(TABLE(t), 't', '', 2)"):
+        with pytest.raises(Exception, match="must"):
+            spark.sql(f"SELECT * FROM {bad}").collect()
+    assert registry.names() == ["chunks", "markdown_tables", "matches"]
+    registry.scalar("twice", lambda x: x * 2, "bigint", "two times")
+    registry.scalar("twice", lambda x: x * 3, "bigint", "three times")
+    assert spark.sql("SELECT twice(7)").first()[0] == 21 and registry.schema("twice")["description"] == "three times"
+    with pytest.raises(KeyError):
+        registry.schema("never")
+
+
+FILES = "collection string, name string, content string"
+
+
+def test_uploads_come_whole_or_not_at_all(spark, tmp_path):
+    import os
+
+    from brambling.sources import uploads
+
+    home = str(tmp_path / "up")
+    assert uploads.manifest(spark, home).count() == 0 and uploads.uploaded(spark, home).count() == 0
+    good = [("public", f"f{k}.md", f"text {k}") for k in range(20)] + [("data", "same.txt", "x"), ("data", "same.txt", "x"), ("data", "a/b/../c.PDF", None)]
+    uploads.upload(spark.createDataFrame(good, FILES).repartition(4), home, "me")
+    got = uploads.uploaded(spark, home).collect()
+    assert sorted((r["collection"], r["name"], bytes(r["content"]).decode()) for r in got) == sorted((c, n.rsplit("/", 1)[-1], t or "") for c, n, t in good)
+    assert len({r["stored"] for r in got}) == len(good) and {r["uploaded_by"] for r in got} == {"me"}
+    for bad in (("public", "x.exe", "t"), ("public", "..", "t"), ("secret", "x.md", "t"), ("public", None, "t")):
+        with pytest.raises(Exception, match="not an allowed|unknown collection"):
+            uploads.upload(spark.createDataFrame([*good, bad], FILES).repartition(4), home)
+    assert uploads.manifest(spark, home).count() == len(good) and len(os.listdir(f"{home}/batches")) == 1  # failed jobs left nothing
+    with pytest.raises(Exception, match="appended only"):
+        spark.createDataFrame(good, FILES).write.format("uploads").mode("overwrite").option("path", home).save()
+
+
+def test_filters_and_limits_reach_the_reader(spark, tmp_path):
+    import shutil
+
+    from brambling.sources import adapters
+
+    home = str(tmp_path)
+    items = spark.createDataFrame([(str(k), f"2024-01-{k + 1:02d}", k // 5) for k in range(30)], "id string, updated string, page int")
+    adapters.record(items, home, "documents")
+    late = adapters.items_of(spark, home, "documents").filter(F.col("updated") >= "2024-01-18")
+    plan = late._jdf.queryExecution().toString()
+    assert "2024-01-18" in plan[plan.index("== Physical Plan ==") :]
+    for page in (0, 1, 2):
+        shutil.rmtree(f"{home}/documents/pages/page={page}")  # pages that end before: they aren't read
+    assert sorted(int(r.id) for r in late.collect()) == list(range(17, 30)) and {r["_pages"] for r in late.collect()} == {3}
+    shutil.rmtree(f"{home}/documents/pages/page=5")
+    first = adapters.collect(spark, home, "documents", "2024-01-18", limit=6)
+    assert sorted(int(r.source_id) for r in first.collect()) == list(range(17, 23))  # page 5 lies beyond the limit
+    assert adapters.items_of(spark, home, "documents").filter("updated >= '2030-01-01'").count() == 0
+    with pytest.raises(adapters.UnknownAdapter):
+        adapters.adapter("nobody")
+
+
+def _source(spark, *ids, doi="", title="t", **more):
+    from brambling.sources import RECORD, runs
+
+    row = {"doi": doi, "title": title, "oa_status": "open", "authors": ["x"], "citation_count": None} | more
+    schema = ", ".join(f"{c} {runs.TYPES[c]}" for c in RECORD)
+    return lambda since: spark.createDataFrame([tuple(({"source_id": k} | row).get(c, "") for c in RECORD) for k in ids], schema)
+
+
+@pytest.mark.parametrize("step", ["works", "records", "checkpoints", "report", "manifest"])
+def test_a_killed_run_changes_nothing(spark, tmp_path, step):
+    from brambling.sources import runs
+
+    store = runs.HarvestStore(spark, str(tmp_path / "h"))
+    assert store.run({"a": _source(spark, "1", "2")}, "2024-01-01") == 1
+    state = lambda: [sorted(map(str, d.collect())) for d in (store.works(), store.records(), store.checkpoints(), store.report())]
+    before = state()
+
+    def kill(at: str) -> None:
+        if at == step:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        store.run({"a": _source(spark, "3", title="new")}, "2024-02-01", between=kill)
+    assert store.version() == 1 and state() == before
+    assert store.run({"a": _source(spark, "3")}, "2024-02-01") == 2 and store.works().count() == 3
+
+
+def test_harvest_runs(spark, tmp_path, monkeypatch):
+    from brambling.sources import runs
+
+    monkeypatch.setattr(runs, "COMPACT", 3)
+    store, seen = runs.HarvestStore(spark, str(tmp_path / "h")), []
+
+    def asks(source, fail=False):
+        def ask(since):
+            seen.append(since)
+            if fail:
+                raise ConnectionError("gone\nfor good")
+            return source(since)
+
+        return ask
+
+    store.run({"a": asks(_source(spark, "1", None, doi="10/x", citation_count=5)), "b": asks(None, fail=True)}, "2024-03-01", 30)
+    report = {r.source: r for r in store.report().collect()}
+    assert (report["a"].received, report["a"].new_works, report["b"].status, report["b"].reason) == (2, 1, "error", "gone")
+    store.run({"a": asks(_source(spark, doi="")), "b": asks(_source(spark, "9", doi="10/x", title="", authors=[], oa_status="closed"))}, "2024-03-05", 30)
+    assert seen == ["2024-01-31", "2024-01-31", "2024-03-01", "2024-02-04"]  # b is asked for the same again, from its own lookback
+    (work,) = store.works().collect()
+    assert (work.work_id, work.title, work.authors, work.citation_count, work.oa_status, work.first_seen_at, work.last_seen_at) == ("doi:10/x", "[untitled]", ["x"], 5, "closed", "2024-03-01", "2024-03-05")
+    assert {r.source: (r.received, r.new_works) for r in store.report().collect()} == {"a": (0, 0), "b": (1, 0)}
+    store.run({"a": asks(_source(spark, "2", doi="10/y"))}, "2024-03-06")  # the third: deltas become one
+    assert len(store.manifest(3)["works"]) == 1 and store.works().count() == 2 and store.records().count() == 3
+    assert store.works(1).first().citation_count == 5 and store.works(1).count() == 1  # older runs can still be read
+
+    def overtaken(at: str) -> None:
+        if at == "manifest":
+            runs.HarvestStore(spark, store.home).run({"a": asks(_source(spark, "7"))}, "2024-03-08")
+
+    with pytest.raises(runs.ConcurrentRun):
+        store.run({"a": asks(_source(spark, "8"))}, "2024-03-07", between=overtaken)
+    assert store.version() == 4 and store.records().filter("source_id = '8'").count() == 0
+
+
+def test_one_rebuild_at_a_time(spark, tmp_path):
+    from brambling.operators import collections, texts
+
+    store = collections.Store(spark, str(tmp_path / "s"))
+    docs = spark.createDataFrame([(1, "s", "one line\n\ntwo lines"), (2, "s", None), (3, "s", "")], "doc_id long, source string, text string")
+    with texts.locked(spark, store.home, "private", "u1"):
+        with pytest.raises(texts.RebuildRunning):
+            texts.rebuild(store, "private", docs, "u1", chunker=texts.by_lines)
+        assert texts.rebuild(store, "private", docs, "u2", chunker=texts.by_lines) == {"documents": 1, "chunks": 2}  # another user's isn't held up
+    with texts.locked(spark, store.home, "public", stale=0.0):
+        assert texts.rebuild_all(store, docs.withColumn("collection", F.lit("public")), ["public", "data"])["public"] == {"documents": -1, "chunks": -1}
+    assert texts.rebuild(store, "private", docs.limit(0), "u2") == {"documents": 0, "chunks": 0} and store.read("private", "u2") is None
+
+
+def test_embedders_are_pluggable(spark):
+    from brambling.functions import embed
+    from brambling.operators import texts
+
+    v = embed.hashed_vector("A b\na B", 16, 1)
+    assert abs(sum(x * x for x in v) - 1) < 1e-12 and embed.hashed_vector("", 4) == [0.0] * 4
+    assert embed.hashed_vector("b a", 16, 1) == embed.hashed_vector("a b", 16, 1) and embed.hashed_vector("b a") != embed.hashed_vector("a b")
+    own = embed.register(embed.Embedder("length", 1, lambda c: F.array(F.length(c).cast("double"))))
+    docs = spark.createDataFrame([(1, "s", "abc")], "doc_id long, source string, text string")
+    assert texts.chunks(docs, embed.EMBEDDERS["length"]).first()["embedding"] == [3.0] and own.dimensions == 1
+
+
+def test_many_queries_in_several_passes(spark, monkeypatch):
+    import random
+
+    from brambling.operators import texts
+
+    rng = random.Random(2)
+    rows = [(k, [rng.choice((0.0, 0.5, 1.0)) for _ in range(3)]) for k in range(200)]  # many ties
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    asked = vectors.limit(40).selectExpr("vec_id AS query_id", "embedding")
+    of = dict(rows)
+    want = lambda q: sorted((sum((a - b) ** 2 for a, b in zip(of[q], v)), k) for k, v in rows)[:7]
+    for numbers in (texts.PASS_NUMBERS, 30):
+        monkeypatch.setattr(texts, "PASS_NUMBERS", numbers)
+        got = texts.top_k_many(vectors, asked, 7).orderBy("query_id", "rank").collect()
+        assert len(got) == 280
+        for q in {r.query_id for r in got}:
+            assert [(r.d2, r.vec_id) for r in got if r.query_id == q] == want(q)
+    assert texts.top_k_many(vectors, asked.limit(0), 7).count() == 0
