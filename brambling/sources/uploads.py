@@ -4,7 +4,7 @@
 
 Rows: collection, name, content (binary). Tasks write each file under a folder of the job's own, with a prefix of eight
 hexadecimal digits before its name; when all have ended the driver names them in one manifest, and only then are they there.
-A job that fails takes its folder away, and what a lost driver leaves behind is named by no manifest. A name
+A job that fails takes its folder away; what a lost driver leaves behind is named by no manifest, and ``sweep`` takes it away. A name
 that is none (empty, ".", "..") or has another ending than the allowed ones fails the job, as one bad upload
 may not come in beside good ones by chance. Files are written through Arrow's file systems, so that the
 home may be any that they know (file, hdfs, s3, gs), shared by driver and executors.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -92,11 +92,35 @@ class UploadWriter(DataSourceWriter):
         fs.move(f"{home}/manifests/_{self.job}", f"{home}/manifests/{self.job}.json")
 
     def abort(self, messages: list) -> None:
-        from pyarrow.fs import FileType
+        """Tasks that are still at work may write for a moment longer: what is left then ``sweep`` takes away."""
+        for _ in range(5):
+            if _delete(self.home, self.job):
+                return
+            time.sleep(0.2)
 
-        fs, home = file_system(self.home)
-        if fs.get_file_info(f"{home}/batches/{self.job}").type == FileType.Directory:
-            fs.delete_dir(f"{home}/batches/{self.job}")
+
+def _delete(home: str, job: str) -> bool:
+    """Whether a job's folder is gone."""
+    from pyarrow.fs import FileType
+
+    fs, path = file_system(home)
+    folder = f"{path}/batches/{job}"
+    try:
+        if fs.get_file_info(folder).type == FileType.Directory:
+            fs.delete_dir(folder)
+    except OSError:  # a file came while the folder was being deleted
+        return False
+    return fs.get_file_info(folder).type == FileType.NotFound
+
+
+def sweep(home: str, older: float = 86_400) -> list[str]:
+    """Takes away the folders of jobs that no manifest names, begun more than ``older`` seconds ago; gives the jobs."""
+    from pyarrow.fs import FileSelector
+
+    fs, path = file_system(home)
+    named = {x.base_name.removesuffix(".json") for x in fs.get_file_info(FileSelector(f"{path}/manifests", allow_not_found=True))}
+    jobs = [x for x in fs.get_file_info(FileSelector(f"{path}/batches", allow_not_found=True)) if x.base_name not in named]
+    return [x.base_name for x in jobs if x.mtime is not None and time.time() - x.mtime.timestamp() >= older and _delete(home, x.base_name)]
 
 
 class UploadSink(DataSource):

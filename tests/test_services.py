@@ -99,7 +99,9 @@ def test_uploads_come_whole_or_not_at_all(spark, tmp_path):
     for bad in (("public", "x.exe", "t"), ("public", "..", "t"), ("secret", "x.md", "t"), ("public", None, "t")):
         with pytest.raises(Exception, match="not an allowed|unknown collection"):
             uploads.upload(spark.createDataFrame([*good, bad], FILES).repartition(4), home)
-    assert uploads.manifest(spark, home).count() == len(good) and len(os.listdir(f"{home}/batches")) == 1  # failed jobs left nothing
+    assert uploads.manifest(spark, home).count() == len(good) and uploads.sweep(home) == []
+    uploads.sweep(home, older=0)
+    assert len(os.listdir(f"{home}/batches")) == 1  # failed jobs left nothing
     with pytest.raises(Exception, match="appended only"):
         spark.createDataFrame(good, FILES).write.format("uploads").mode("overwrite").option("path", home).save()
 
