@@ -4,7 +4,9 @@ A page is parsed into block elements (inline markup belongs to the block around
 features: its tag and attribute tokens, depth, text, links and tags of its subtree, density, and how
 it stands among its siblings. Boosted trees, fitted here on a bounded sample of pages
 (``FIT_PAGES`` of least hash, equal pages once), give the probability that it is part of the article. The labels of the
-fit come from pages that say themselves where their article is. Decoding is hierarchical: the most
+fit come from pages that say themselves where their article is, and from ``MARKED`` pages that
+are laid out anew from their texts (``htmlmarked``), so that every kind of block is learned, in articles and
+outside. Decoding is hierarchical: the most
 likely choice in which whatever is kept has kept ancestors, found bottom-up for whole subtrees, so a
 kept paragraph in a dropped menu, or the reverse, can't come out.
 
@@ -33,10 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sample_by_hash, table, tune
+from .htmlmarked import ARTICLE_NAMES, DROP, KEEP, KINDS, marked_page
 
-FIT_PAGES = 300
-TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
-TOKEN_BUCKETS = 32
+FIT_PAGES, MARKED = 300, 1200
+#: Of the longest fitted pages so many characters at most are laid out anew.
+MARKED_CHARS = 20_000
+TREES, DEPTH, RATE, BINS = 50, 5, 0.3, 32
+#: Attribute words that marked pages use have a feature each, others share so many by their hash.
+OTHER_TOKENS = 64
 
 # How elements behave in HTML.
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -47,6 +53,7 @@ GROUPS = ["p", "h1", "h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "head
 GROUP_OF = {t: k for k, g in enumerate(GROUPS) for t in g.split()}
 # What pages call the parts that are no article (used for the labels of the fit only).
 NOT_ARTICLE = set("nav header footer aside form".split())
+STEMS = "comment sidebar cookie consent advert sponsor promo footer header nav menu newsletter subscri login share social related banner breadcrumb widget popup modal content article".split()
 NOT_ARTICLE_TOKENS = set("ad ads advert advertisement banner sponsor promo sidebar menu navbar breadcrumb cookie consent notice comment comments share social related newsletter subscribe".split())
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -56,6 +63,12 @@ _ATTR = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _WORD = re.compile(r"[A-Za-z]+")
 
 
+def _tokens(attributes: str) -> frozenset[str]:
+    """Words of class, id and role, and the stems that longer words hold."""
+    words = {w.lower() for a in _ATTR.findall(attributes) for w in _WORD.findall("".join(a))}
+    return frozenset(words | {f"~{x}" for w in words if len(w) > 3 for x in STEMS if x in w and w not in (KEEP, DROP)})
+
+
 class Page:
     """Block elements in page order, and the pieces of text with the block each belongs to."""
 
@@ -134,7 +147,7 @@ class Page:
                             break
                         if t in SAME_CLOSES[name]:
                             break
-            words = frozenset(w.lower() for a in _ATTR.findall(attributes) for w in _WORD.findall("".join(a))) if attributes else frozenset()
+            words = _tokens(attributes) if attributes else frozenset()
             self.parents.append(stack[-1])
             self.depths.append(len(stack))
             self.tags.append(name)
@@ -154,7 +167,21 @@ class Page:
         return " ".join("".join(out).split())
 
 
-N_FEATURES = len(GROUPS) + TOKEN_BUCKETS + 15
+_NAMED = {w for names in [ARTICLE_NAMES, *(n for _, n in KINDS.values())] for name in names for w in _tokens(f'class="{name}"')}
+TOKEN_OF = {w: k for k, w in enumerate(sorted(_NAMED | {f"~{x}" for x in STEMS}))}
+#: Two features more: any word that names something else than an article, and any that names one.
+_ARTICLE = {w for name in ARTICLE_NAMES for w in _tokens(f'class="{name}"')}
+_ELSE = (set(TOKEN_OF) | NOT_ARTICLE_TOKENS) - _ARTICLE
+TOKEN_BUCKETS = len(TOKEN_OF) + OTHER_TOKENS + 2
+
+
+def _token_place(word: str) -> int:
+    return TOKEN_OF[word] if word in TOKEN_OF else len(TOKEN_OF) + zlib.crc32(word.encode()) % OTHER_TOKENS
+
+
+#: Own tag and tokens, those of the blocks around, and numbers.
+NUMBERS = 17
+N_FEATURES = 2 * (len(GROUPS) + TOKEN_BUCKETS) + NUMBERS
 
 
 def node_features(page: Page) -> np.ndarray:
@@ -182,24 +209,41 @@ def node_features(page: Page) -> np.ndarray:
         whole = total[group].sum() + 1
         for j, k in enumerate(group):
             place[k], count[k], same[k], share[k] = j, len(group), kinds[page.tags[k]] / len(group), total[k] / whole
-    x = np.zeros((n, N_FEATURES), np.float32)
+    x, named = np.zeros((n, N_FEATURES), np.float32), len(GROUPS) + TOKEN_BUCKETS
     for k, (tag, tokens) in enumerate(zip(page.tags, page.tokens)):
         if tag in GROUP_OF:
             x[k, GROUP_OF[tag]] = 1
         for w in tokens:
-            x[k, len(GROUPS) + zlib.crc32(w.encode()) % TOKEN_BUCKETS] = 1
-    up = np.maximum(parents, 0)
-    x[:, -15:] = np.c_[depths, np.log1p(own), np.log1p(total), links / (total + 1), np.log1p(tags), total / tags, stops / (total + 1), np.log1p(paragraphs), np.log1p(place), place / count, np.log1p(count), same, share, np.log1p(total[up]), links[up] / (total[up] + 1)]
+            x[k, len(GROUPS) + _token_place(w)] = 1
+        if tokens:
+            x[k, named - 2 : named] = not _ELSE.isdisjoint(tokens), not _ARTICLE.isdisjoint(tokens)
+        if k:
+            np.maximum(x[parents[k], :named], x[parents[k], named : 2 * named], out=x[k, named : 2 * named])
+    up, main = np.maximum(parents, 0), GROUP_OF["article"]
+    holds = x[:, main].any() * 1.0
+    within = np.maximum(x[:, main], x[:, named + main])
+    x[:, -NUMBERS:] = np.c_[depths, np.log1p(own), np.log1p(total), links / (total + 1), np.log1p(tags), total / tags, stops / (total + 1), np.log1p(paragraphs), np.log1p(place), place / count, np.log1p(count), same, share, np.log1p(total[up]), links[up] / (total[up] + 1), np.full(n, holds), holds - within]
     return x
 
 
+def marked_labels(page: Page) -> np.ndarray:
+    """Labels of a page of ``htmlmarked``; its marks are taken away. A block around a kept one is kept, one without a mark is as its content."""
+    n = len(page.tags)
+    keep = np.array([KEEP in t for t in page.tokens])
+    page.tokens = [t - {KEEP, DROP} for t in page.tokens]
+    for k in range(n - 1, 0, -1):
+        keep[page.parents[k]] |= keep[k]
+    return keep.astype(float)
+
+
 def own_labels(page: Page) -> np.ndarray | None:
     """1 for blocks in or around what the page marks as its article, 0 for others; nothing if it marks none."""
     n = len(page.tags)
     inside, bad = np.zeros(n, bool), np.zeros(n, bool)
     for k in range(1, n):
         up = page.parents[k]
-        bad[k] = bad[up] or page.tags[k] in NOT_ARTICLE or bool(page.tokens[k] & NOT_ARTICLE_TOKENS)
+        own = page.tags[k] in NOT_ARTICLE and not (page.tags[k] == "header" and inside[up])  # an article's header holds its title
+        bad[k] = bad[up] or own or bool(page.tokens[k] & NOT_ARTICLE_TOKENS)
         inside[k] = (inside[up] or page.tags[k] in ("article", "main")) and not bad[k]
     if not inside.any():
         return None
@@ -218,8 +262,11 @@ class BoostedTrees:
         if not len(y) or y.min() == y.max():
             self.start = 20.0  # nothing to tell apart: keep all
             return
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)])
+        yes_no = np.array([set(np.unique(c)) <= {0.0, 1.0} for c in x.T])
+        some = np.flatnonzero(yes_no & x.any(0))  # a feature of yes and no has one cut, and one matrix product sums them all
+        flags, numeric = np.ascontiguousarray(x[:, some], np.float32), np.flatnonzero(~yes_no)
+        cuts = {f: np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in numeric}
+        binned = {f: np.searchsorted(cuts[f], x[:, f], side="left") for f in numeric}
         score = np.full(len(y), self.start)
         for _ in range(trees):
             p = 1 / (1 + np.exp(-score))
@@ -228,16 +275,25 @@ class BoostedTrees:
             for level in range(depth):
                 nodes = 1 << level
                 best, choice = np.full(nodes, 1e-9), [(0, np.inf)] * nodes
-                for f, b in enumerate(binned):
+                gt, ht = (np.bincount(where, w, nodes)[:, None] for w in (g, h))
+                gain_of = lambda gl, hl, gt=gt, ht=ht: gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+                if len(some):
+                    spread = np.zeros((2 * nodes, len(y)), np.float32)
+                    spread[where, np.arange(len(y))], spread[nodes + where, np.arange(len(y))] = g, h
+                    up = spread @ flags
+                    gain = gain_of(gt - up[:nodes], ht - up[nodes:])
+                    k = gain.argmax(1)
+                    for node in np.flatnonzero(gain[np.arange(nodes), k] > best):
+                        best[node], choice[node] = gain[node, k[node]], (int(some[k[node]]), 0.5)
+                for f in numeric:
                     if not len(cuts[f]):
                         continue
-                    key = where * (BINS + 1) + b
+                    key = where * (BINS + 1) + binned[f]
                     sg, sh = (np.bincount(key, w, nodes * (BINS + 1)).reshape(nodes, -1).cumsum(1) for w in (g, h))
-                    gl, hl, gt, ht = sg[:, : len(cuts[f])], sh[:, : len(cuts[f])], sg[:, -1:], sh[:, -1:]
-                    gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+                    gain = gain_of(sg[:, : len(cuts[f])], sh[:, : len(cuts[f])])
                     k = gain.argmax(1)
                     for node in np.flatnonzero(gain[np.arange(nodes), k] > best):
-                        best[node], choice[node] = gain[node, k[node]], (f, float(cuts[f][k[node]]))
+                        best[node], choice[node] = gain[node, k[node]], (int(f), float(cuts[f][k[node]]))
                 feature.append([c[0] for c in choice])
                 cut.append([c[1] for c in choice])
                 fs, cs = np.array(feature[-1])[where], np.array(cut[-1])[where]
@@ -272,18 +328,26 @@ def decode(parents: list[int], score: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = FIT_PAGES) -> BoostedTrees:
+def _marked(page: Page, labels: np.ndarray, seed: int, copies: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of pages laid out anew from a page's article."""
+    texts = "".join(t if labels[block] else " " for block, t, _ in page.pieces)[:MARKED_CHARS]
+    for k in range(copies):
+        made = Page(marked_page([texts], seed * copies + k))
+        kept = marked_labels(made)
+        yield node_features(made), kept
+
+
+def fit_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = FIT_PAGES, marked: int = MARKED) -> BoostedTrees:
     # The hashes are chosen first, from narrow rows; then only pages that have one of them are read for the fit.
     hashed = pages.filter(F.length(html_col) > 0).withColumn("_hm_h", F.xxhash64(id_col, html_col))
     chosen = sample_by_hash(hashed.select("_hm_h").distinct(), ["_hm_h"], sample)
     rows = hashed.join(F.broadcast(chosen), "_hm_h").groupBy("_hm_h").agg(F.first(html_col).alias("html")).orderBy("_hm_h").collect()
     x, y = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0)]
-    for r in rows:
-        page = Page(r["html"])
-        labels = own_labels(page)
-        if labels is not None:
-            x.append(node_features(page))
-            y.append(labels)
+    fitted = [(page, labels, r["_hm_h"] & 0xFFFFFFFF) for r in rows if (labels := own_labels(page := Page(r["html"]))) is not None]
+    for page, labels, seed in fitted:
+        for features, kept in [(node_features(page), labels), *_marked(page, labels, seed, -(-marked // len(fitted)))]:
+            x.append(features)
+            y.append(kept)
     return BoostedTrees(np.concatenate(x), np.concatenate(y))
 
 
