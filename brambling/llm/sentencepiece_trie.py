@@ -1,7 +1,8 @@
 """Operator 8: SentencePiece encoding and decoding by Viterbi over a trie of the distinct marked words.
 
-Spaces become marks and a text is cut before every mark that follows another character, and around
-line ends, where no piece of the vocabulary reaches across. The distinct words of a batch are sorted,
+Spaces become marks and a text is cut before every mark that follows another character, around
+line ends, and between a letter or digit and punctuation: there no piece of the vocabulary reaches
+across, so no merge does (which punctuation that holds for is read from the vocabulary). The distinct words of a batch are sorted,
 which makes them a trie, and walked depth first: the forward state of a prefix is kept while words go
 on from it, so common prefixes are scored once.
 
@@ -24,6 +25,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import table, tune
 
 MARK = "▁"
-_WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 500_000, 48, 1_000_000
 
 
@@ -53,6 +54,7 @@ class TrieEncoder:
         self.bytes_of = {k: b"" for k in ids} | {v: k.encode() for k, v in self.ids.items()} | {v: bytes([k]) for k, v in self.bytes.items()}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces reach across words")
+        self.words = re.compile(self._word_form())
         scores = [m.get_score(self.ids[p]) for p in by_score if MARK * 2 not in p]
         if len(set(scores)) < len(scores) or any(x != int(x) for x in scores):
             raise ValueError("not a BPE model: scores are not the order of merges, and summed scores are not computed here")
@@ -63,6 +65,16 @@ class TrieEncoder:
         self.fits: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
 
+    def _word_form(self) -> str:
+        """What is walked as a word: it ends before marks, line ends, and punctuation after a letter or digit if no piece joins such two."""
+        pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
+        joined = {b for a, b in pairs if re.fullmatch(r"[^\W_]", a)}
+        cut = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
+        if not cut:
+            return f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
+        more = rf"(?:[^{MARK}\n{cut}]+|(?<![^\W_])[{cut}]+)"
+        return f"(?:{MARK}+|[{cut}]){more}*|{more}+|\n"
+
     def merged(self, word: str) -> tuple[list[str], tuple[str, str] | None]:
         """What the merges leave of a word, best first and leftmost of equals, and the last pair merged.
 
@@ -149,13 +161,15 @@ class TrieEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text, little-endian unsigned 32-bit."""
-        cut = [_WORDS.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
+        cut = [self.words.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         memo = self.memo
-        found = self.walk(list({w for ws in cut for w in ws if w not in memo}))
-        memo.update((w, b) for w, b in found.items() if len(w) <= MEMO_CHARS)
-        return [b"".join([memo[w] if w in memo else found[w] for w in ws]) for ws in cut]
+        memo.update(self.walk(list(set(chain.from_iterable(cut)).difference(memo))))
+        out = [b"".join(map(memo.__getitem__, ws)) for ws in cut]
+        for w in {w for ws in cut for w in ws if len(w) > MEMO_CHARS}:
+            del memo[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces in a row, marks as spaces, without the one that encoding puts first."""
