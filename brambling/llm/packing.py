@@ -4,10 +4,14 @@ Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the d
 covering program - use as few configurations (multisets of lengths that fit) as possible so that
 every piece is covered - is solved by multiplicative weights: a length gets cheaper by what a round
 covers of it, and a knapsack dynamic program prices the configurations. Any prices give a lower bound
-of the program, and the rounds end when the solution is within ``GAP`` of the best one. Its amounts
-are rounded down, what they lack is carried on to the next configuration, and best fit places the
-pieces that are left. The plan, whose size depends on the lengths, goes back to the pieces: each
-gets its rank among the pieces of its length, and the plan says which ranks lie in which sequence.
+of the program, and the rounds end when the solution is within ``GAP`` of the best one, or sooner if it already rounds to the
+fewest sequences that any plan can have. Amounts are rounded down, what they lack is carried on to the next
+configuration, and the program is solved again for the pieces that are left, until these are few. Those are packed one
+sequence after the other, by the knapsack program with each length as its price: the fullest
+one that holds the longest piece left. Where it makes for fewer sequences, a smaller share of the program's amounts is
+taken and best fit places the rest; best fit alone is taken only where none of these is as short. The plan, whose size
+depends on the lengths, goes back to the pieces: each gets its rank among the pieces of its length, and the plan
+says which ranks lie in which sequence.
 
 Nulls and edges: null and empty texts are documents of one id, the end id; a null doc_id is kept;
 very long texts give any number of full pieces, each a sequence of its own; pieces of equal length
@@ -33,8 +37,12 @@ CAPACITY, END_ID = 1024, 2
 #: The solution's distance from its lower bound, how much a round may cover of a length, how fast prices fall, how far from the
 #: dearest a configuration may be at first (it then halves after 40 rounds, and so on).
 GAP, STEP, RATE, SLACK, ROUNDS = 0.02, 0.1, 0.4, 0.05, 400
-#: Room that configurations of a rounding may leave: of these the one that needs fewest sequences is used.
-WASTES = (0, 8, CAPACITY)
+#: After so many rounds, and twice as many, and so on, the rounded plan is looked at; rounds of a program that is solved again.
+LOOK, AGAIN = 10, 40
+#: So many pieces are packed one sequence after the other; sequences beyond the bound that are near enough, one of so many.
+FEW, NEAR = 1500, 500
+#: Shares of the program's amounts that are tried with best fit for the rest, the last ones only where best fit alone is shorter.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1, 0.03)
 #: Ranks of a length are counted in buckets of about so many pieces.
 RANK_ROWS = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -83,7 +91,7 @@ def _configuration(first: int, price: np.ndarray, best: np.ndarray, live: np.nda
         if not len(fit):
             break
         dear = price[fit] + best[room - fit]
-        k = int(dear.argmax())
+        k = len(dear) - 1 - int(dear[::-1].argmax())  # of equal ones the longest
         if worth + dear[k] < least:
             return None
         items.append(int(fit[k]))
@@ -91,13 +99,14 @@ def _configuration(first: int, price: np.ndarray, best: np.ndarray, live: np.nda
     return items if worth >= least else None
 
 
-def fractional_configurations(need: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
+def fractional_configurations(need: dict[int, int], capacity: int, rounds: int = ROUNDS, enough=lambda amounts, lower: False) -> tuple[dict[tuple[int, ...], float], float]:
     """Multiplicative weights for the covering program: how often to use each configuration, and a lower bound.
 
     Prices start at the share of a sequence that a length takes. A round runs the knapsack program
     once; every configuration close to the dearest may then be used until one of its lengths has been
     covered by ``STEP`` in this round, as prices can't have fallen far. The amounts cover every
-    length; their sum is at most (1 + GAP) times the bound unless the rounds run out.
+    length; their sum is at most (1 + GAP) times the bound unless the rounds run out, or ``enough``, asked now and then,
+    says that they do.
     """
     n = np.zeros(capacity + 1)
     for length, count in need.items():
@@ -107,6 +116,7 @@ def fractional_configurations(need: dict[int, int], capacity: int, rounds: int =
         return {}, 0.0
     price, covered, used, lower = np.arange(capacity + 1) / capacity, np.zeros(capacity + 1), Counter(), 0.0
     price[n == 0] = 0
+    look = LOOK
     for t in range(rounds):
         best = _knapsack(price, lengths, capacity)
         lower = max(lower, float(n @ price) / best[capacity])  # prices over the dearest configuration are a dual solution
@@ -128,6 +138,10 @@ def fractional_configurations(need: dict[int, int], capacity: int, rounds: int =
         scale = covered[lengths].min()
         if scale > 0 and sum(used.values()) <= (1 + GAP) * lower * scale:
             break
+        if scale > 0 and t + 1 >= look:
+            look *= 2
+            if enough({items: amount / scale for items, amount in used.items()}, lower):
+                break
     scale = covered[lengths].min()
     if scale <= 0:  # the rounds ended before every length was covered: those get sequences of their own
         for k in lengths[covered[lengths] <= 0]:
@@ -184,27 +198,81 @@ def _fill(open_by_room: dict[int, Counter], room: int, items: tuple, length: int
 def plan(need: dict[int, int], capacity: int = CAPACITY) -> Counter:
     """Configurations and how many sequences use each; together they hold every piece shorter than ``capacity`` exactly once."""
     short = Counter({k: v for k, v in need.items() if 0 < k < capacity and v > 0})
-    amounts = sorted(fractional_configurations(short, capacity)[0].items(), key=lambda x: (-sum(x[0]), x[0]))
-    return min((_rounded(short, amounts, waste, capacity)[0] for waste in WASTES), key=lambda p: sum(p.values()))
+    found: list[Counter] = []
+
+    def with_best_fit(amounts: dict, share: float) -> None:
+        out, left = _rounded(short, {k: v * share for k, v in amounts.items()}, capacity)
+        found.append(out + _best_fit(left, capacity))
+
+    def enough(amounts: dict, lower: float) -> bool:
+        least = int(np.ceil(lower - 1e-6))
+        found.append(_integral(short, amounts, capacity))
+        for share in SHARES[:3]:
+            with_best_fit(amounts, share)
+        return min(sum(p.values()) for p in found) <= least + least // NEAR
+
+    amounts, lower = fractional_configurations(short, capacity, enough=enough)
+    enough(amounts, lower)
+    alone = _best_fit(short, capacity)
+    for share in SHARES[3:]:
+        if min(sum(p.values()) for p in found) > sum(alone.values()):
+            with_best_fit(amounts, share)
+    found.append(alone)  # a whole solution of the program too: it counts where no other is as short
+    return min(found, key=lambda p: sum(p.values()))
+
+
+def _integral(need: Counter, amounts: dict[tuple[int, ...], float], capacity: int) -> Counter:
+    """Whole configurations from a program's amounts: rounded down, and solved again for what is left until that is little."""
+    left, out = Counter(need), Counter()
+    while sum(left.values()) > FEW:
+        taken, left = _rounded(left, amounts, capacity)
+        out += taken
+        if not taken or sum(left.values()) <= FEW:
+            break
+        amounts, _ = fractional_configurations(left, capacity, AGAIN)
+    if sum(left.values()) > FEW:
+        return out + _best_fit(left, capacity)
+    taken, left = _rounded(left, fractional_configurations(left, capacity, AGAIN)[0] if out else amounts, capacity)
+    return out + taken + min(_filled(left, capacity), _best_fit(left, capacity), key=lambda p: sum(p.values()))
 
 
-def _rounded(need: Counter, amounts: list[tuple[tuple[int, ...], float]], waste: int, capacity: int) -> tuple[Counter, int]:
-    """The plan, and how many of its sequences the program gives.
+def _rounded(need: Counter, amounts: dict[tuple[int, ...], float], capacity: int) -> tuple[Counter, Counter]:
+    """Sequences of the program, the fullest first, and the pieces that are left.
 
-    Amounts of the configurations that leave ``waste`` or less are rounded down as far as pieces are
-    left; the fraction (and what pieces lacked, two at most) goes on to the next. Best fit places the rest.
+    Amounts are rounded down as far as pieces are left; the fraction (and what pieces lacked, two at
+    most) goes on to the next.
     """
     left, out, carried = Counter(need), Counter(), 0.0
-    for items, amount in amounts:
-        if capacity - sum(items) > waste:
-            continue
+    for items, amount in sorted(amounts.items(), key=lambda x: (-sum(x[0]), x[0])):
         counts, carried = Counter(items), carried + amount
-        k = min(int(carried), *(left[x] // c for x, c in counts.items()))
+        k = min(int(carried + 1e-9), *(left[x] // c for x, c in counts.items()))
         if k > 0:
             out[items] += k
             left.subtract({x: c * k for x, c in counts.items()})
         carried = min(carried - k, 2.0)
-    return out + _best_fit(+left, capacity), sum(out.values())
+    return out, +left
+
+
+def _filled(need: Counter, capacity: int) -> Counter:
+    """One sequence after the other: the longest piece left, and the lengths that fill most of its room, long ones first."""
+    left, out = Counter(need), Counter()
+    while left:
+        lengths = sorted(left, reverse=True)
+        room = capacity - lengths[0]
+        mask, sums, steps = (1 << (room + 1)) - 1, 1, []
+        for x in lengths:
+            for _ in range(min(left[x] - (x == lengths[0]), room // x)):
+                steps.append((x, sums))
+                sums |= (sums << x) & mask
+        at, items = sums.bit_length() - 1, [lengths[0]]
+        for x, before in reversed(steps):
+            if not before >> at & 1:
+                items.append(x)
+                at -= x
+        out[tuple(items)] += 1
+        left.subtract(items)
+        left = +left
+    return out
 
 
 def plan_rows(configurations: Counter) -> list[tuple[int, int, int, int, int, list[int]]]:
