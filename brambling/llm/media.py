@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ SIGNATURES = [
 ]
 UNKNOWN = "application/octet-stream"
 SAMPLE_RATE, UNIT, PAD = 16_000, 192, b" "
-_XREF = re.compile(rb"\s{0,4}(?:xref|[0-9]+\s+[0-9]+\s+obj)")
+_XREF_AT = re.compile(rb"(?=\s{0,4}(?:xref|[0-9]{1,10}\s{1,4}[0-9]{1,5}\s{1,4}obj))")
 
 
 def _png(b: bytes, at: int) -> int | None:
@@ -62,24 +63,44 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
+@lru_cache(maxsize=1)
+def _gif_walked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of every place that was walked: where the sub-blocks that begin there end, and the picture whose blocks do (0: not walked, -1: nowhere)."""
+    return np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64)
+
+
+def _walked(ends: np.ndarray, way: list[int], end: int) -> int:
+    ends[way] = end
+    return end
+
+
 def _gif(b: bytes, at: int) -> int | None:
+    """Chains of blocks that meet go on as one: each place is walked once, however many headers lead to it."""
     if at + 13 > len(b):
         return None
-    flags = b[at + 10]
-    p = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1
-        if b[p] == 0x21:
-            p += 2
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            p += 10 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0) + 1
+    inner, outer = _gif_walked(b)
+    p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
+    way = []
+    while True:
+        if p >= len(b):
+            end = -1
+        elif outer[p]:
+            end = int(outer[p])
+        elif b[p] == 0x3B:
+            end = p + 1
+        elif b[p] == 0x21 or b[p] == 0x2C and p + 10 <= len(b):
+            way.append(p)
+            p += 2 if b[p] == 0x21 else 10 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0) + 1
+            steps = []
+            while p < len(b) and b[p] and not inner[p]:
+                steps.append(p)
+                p += b[p] + 1
+            p = _walked(inner, steps, int(inner[p]) if p < len(b) and inner[p] else p + 1)
+            continue
         else:
-            return None
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return None
+            end = -1
+        _walked(outer, way, end)
+        return end if end > 0 else None
 
 
 def _jpeg(b: bytes, at: int) -> int | None:
@@ -143,13 +164,19 @@ def _pdf_ends(b: bytes) -> dict[int, int]:
     none is led right, it closes the innermost header that has no end yet, or else the latest.
     """
     ends, headers, unclosed = {}, [], []
+    starts = np.array([m.start() for m in re.finditer(rb"%PDF-[0-9]", b)], np.int64)
+    leads = np.zeros(len(b) + 1, bool)  # places from which a table or an object can be read
+    if len(starts):
+        leads[[m.start() for m in _XREF_AT.finditer(b)]] = True
     for m in re.finditer(rb"%PDF-[0-9]|startxref\s*([0-9]*)(?:(?!startxref|%PDF-[0-9]).)*?%%EOF", b, re.DOTALL):
         if m[1] is None:
             headers.append(m.start())
             unclosed.append(m.start())
         elif headers:
             to = int(m[1]) if 0 < len(m[1]) < 16 else 0
-            led = next((h for h in reversed(headers) if to and h + to < m.start() and _XREF.match(b, h + to)), None)
+            near = starts[: np.searchsorted(starts, m.start() - to)] if 0 < to < m.start() else starts[:0]
+            right = np.flatnonzero(leads[near[: len(headers)] + to])
+            led = int(near[right[-1]]) if len(right) else None
             owner = led if led is not None else unclosed[-1] if unclosed else headers[-1]
             while unclosed and unclosed[-1] >= owner:
                 unclosed.pop()
