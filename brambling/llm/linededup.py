@@ -39,7 +39,9 @@ def _lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataF
     lines = docs.filter(F.length(text_col) > 0).select(*key, F.posexplode(F.split(text_col, "\n")).alias("_ld_line", "_ld_s"))
     lines = lines.select(*DOC, "_ld_line", F.trim(F.regexp_replace("_ld_s", "\\s+", " ")).alias("_ld_s")).filter("_ld_s <> ''")
     words = F.length("_ld_s") - F.length(F.replace(F.col("_ld_s"), F.lit(" "), F.lit(""))) + 1
-    return lines.select(*DOC, "_ld_line", F.xxhash64("_ld_s").alias("_ld_h"), F.least(words, F.lit(min_words)).cast("int").alias("_ld_w"))
+    lines = lines.select(*DOC, "_ld_line", F.xxhash64("_ld_s").alias("_ld_h"), F.least(words, F.lit(min_words)).cast("int").alias("_ld_w"))
+    # Repeated rows go here, line by line and first within each task, so that copies of one text don't meet in one task.
+    return lines.groupBy(*DOC, "_ld_line").agg(F.first("_ld_h").alias("_ld_h"), F.first("_ld_w").alias("_ld_w"))
 
 
 def _frames(lines: DataFrame, min_words: int) -> tuple[DataFrame, list]:
@@ -95,7 +97,7 @@ def line_windows(lines: DataFrame, marked: DataFrame, min_words: int) -> DataFra
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every document that has any: the lines that stand in a repeated later run."""
+    """For every document that has any: the lines that stand in a repeated later run, as disjoint spans (_ld_low, _ld_high) in order."""
     lines = written(_lines(docs, min_words, id_col, text_col), "lines")
     prints = written(fingerprints(lines, min_words), "prints")
     marked = salted_join(prints, written(_repeated(prints, ["_ld_h"], "_ld_line").select("_ld_h", "_ld_n"), "repeated"), ["_ld_h"], "_ld_n", DOC)
@@ -105,9 +107,19 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str =
     hits = salted_join(rows, firsts, ["_ld_print", "_ld_content"], "_ld_n", DOC)
     same = F.col("_ld_doc").eqNullSafe(F.col("_ld_doc_1")) & (F.col("_ld_text") == F.col("_ld_text_1"))
     hits = hits.filter(~same | (F.col("_ld_low") > F.col("_ld_high_1")))
-    spans = hits.groupBy(*DOC).agg(F.collect_set(F.struct("_ld_low", "_ld_high")).alias("_ld_spans"))
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_ld_spans", lambda s: F.sequence(s["_ld_low"], s["_ld_high"])))))
-    return spans.select(*DOC, gone.alias("_ld_gone"))
+    # Matches that overlap or touch become one, so that what a document loses is disjoint and in order.
+    order = Window.partitionBy(*DOC).orderBy("_ld_low", "_ld_high")
+    before = F.max("_ld_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select(*DOC, "_ld_low", "_ld_high").distinct().withColumn("_ld_new", F.when(F.col("_ld_low") > before + 1, 1).otherwise(0))
+    spans = spans.withColumn("_ld_run", F.sum("_ld_new").over(order)).groupBy(*DOC, "_ld_run").agg(F.min("_ld_low").alias("_ld_low"), F.max("_ld_high").alias("_ld_high"))
+    return spans.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("_ld_low", "_ld_high"))).alias("_ld_gone"))
+
+
+def _kept(lines: Column, gone: Column) -> Column:
+    """The lines between the disjoint spans of ``gone``, which are in order: one slice for each gap."""
+    first = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1)["_ld_high"] + 1)
+    end = lambda k: F.coalesce(F.get(gone, k)["_ld_low"], F.size(lines))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, first(k) + 1, F.greatest(end(k) - first(k), F.lit(0)))))
 
 
 def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,10 +128,12 @@ def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc
     a, b = docs.withColumn("_ld_key", F.xxhash64(text_col)).alias("a"), gone.alias("b")
     both = a.join(b, F.col(f"a.`{id_col}`").cast("long").eqNullSafe(F.col("b._ld_doc")) & (F.col("a._ld_key") == F.col("b._ld_text")), "left")
     lines = F.split(F.col(f"a.`{text_col}`"), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("b._ld_gone"), i)), "\n")
+    # The array of lines is bound to a name, so that it is made once and not for every gap.
+    kept = F.get(F.transform(F.array(lines), lambda x: F.array_join(_kept(x, F.col("b._ld_gone")), "\n")), F.lit(0))
+    removed = F.aggregate("b._ld_gone", F.lit(0), lambda n, s: n + (s["_ld_high"] - s["_ld_low"] + 1).cast("int"))
     text = F.when(F.col("b._ld_gone").isNull(), F.col(f"a.`{text_col}`")).otherwise(kept)
     cols = [(text if c == text_col else F.col(f"a.`{c}`")).alias(c) for c in docs.columns]
-    return both.select(*cols, F.coalesce(F.size(lines), F.lit(0)).alias("_ld_lines"), F.coalesce(F.size("b._ld_gone"), F.lit(0)).alias("_ld_removed"))
+    return both.select(*cols, F.coalesce(F.size(lines), F.lit(0)).alias("_ld_lines"), F.coalesce(removed, F.lit(0)).alias("_ld_removed"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

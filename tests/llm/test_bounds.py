@@ -95,3 +95,59 @@ def test_damaged_token_files_are_noticed(spark, tmp_path):
         index.write.parquet(str(tmp_path / name / "index"))
         with pytest.raises(Exception, match="token planes"):
             bitplane.read_token_planes(spark, str(tmp_path / name)).collect()
+
+
+def _plain_gif(b, at):
+    """Every header walked to its end by itself."""
+    if at + 13 > len(b):
+        return None
+    p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
+    while p < len(b):
+        if b[p] == 0x3B:
+            return p + 1
+        if b[p] == 0x21:
+            p += 2
+        elif b[p] == 0x2C and p + 10 <= len(b):
+            p += 10 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0) + 1
+        else:
+            return None
+        while p < len(b) and b[p]:
+            p += b[p] + 1
+        p += 1
+    return None
+
+
+def test_pictures_are_walked_once_and_alike():
+    import random
+    import time
+
+    from brambling.llm import media
+
+    rng = random.Random(4)
+    for _ in range(400):
+        b = b"".join(rng.choice((b"GIF89a", b"!", b",", b";", b"\0", bytes([rng.randrange(256)]), b"\x02ab\0")) for _ in range(rng.randrange(10, 120)))
+        for at in range(len(b)):
+            assert media._gif(b, at) == _plain_gif(b, at), (b, at)
+    b = b"GIF89a!,  abcdefgh0123;!!,," * 40_000
+    t = time.time()
+    for at in range(0, len(b), 27):
+        media._gif(b, at)
+    media._pdf_ends(b"".join(b"%%PDF-1.4 startxref %d %%%%EOF " % (k % 977 + 9) for k in range(30_000)))
+    assert time.time() - t < 20  # a megabyte of each; ten minutes before
+
+
+def test_long_documents_lose_lines_in_linear_time(spark):
+    import time
+
+    from brambling.llm import linededup
+
+    def took(n):
+        text = "\n".join(f"line {k} of a long text with some words in it" for k in range(n))
+        docs = spark.createDataFrame([(1, text), (2, text)] + [(None, "a\n" * 60 + "popular")] * 30, "doc_id long, text string")
+        t = time.time()
+        got = {(r.doc_id, r.n_removed, r.text == "") for r in linededup.dedup_lines(docs).collect()}
+        assert {x for x in got if x[0]} == {(1, 0, False), (2, n, True)}
+        return time.time() - t
+
+    took(1000)
+    assert took(40_000) < 6 * took(10_000)  # by search in the list of removed lines 16 times
