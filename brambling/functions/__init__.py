@@ -51,6 +51,23 @@ def lcg(state: Column) -> Column:
     return F.pmod(state * 9301 + 49297, F.lit(233280))
 
 
+def nth_draw(seed: Column, n: Column) -> Column:
+    """The n-th draw (from 1) of the generator from a seed, without those before it.
+
+    n steps of an affine map are one affine map again. Those of 1, 2, 4, ... steps are constants, and the
+    binary digits of n choose among them; the generator starts over after as many steps as it has states.
+    """
+    period = 233280
+    steps, state = F.pmod(n.cast("long"), F.lit(period)), F.pmod(seed, F.lit(period))
+    factor, term = 9301, 49297
+    for k in range(period.bit_length()):
+        on = F.shiftright(steps, k).bitwiseAND(F.lit(1)) == 1
+        state = F.pmod(state * F.when(on, factor).otherwise(1) + F.when(on, term).otherwise(0), F.lit(period))
+        factor, term = factor * factor % period, (factor * term + term) % period
+    return state / period
+
+
+
 def sanitize_id(text: Column) -> Column:
     kept = F.regexp_replace(F.lower(text), "[^a-z0-9\\u4e00-\\u9fff]", "-")
     return F.left(F.regexp_replace(kept, "^-+|-+$", ""), F.lit(50))

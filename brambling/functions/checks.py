@@ -89,13 +89,17 @@ def escape_html(text: Column) -> Column:
 
 
 def inline_markdown(text: Column) -> Column:
-    """Escaped text with images, links, code, bold and italic marks as HTML."""
+    """Escaped text with images, links, code, bold, italic and struck marks as HTML, one rule after the other over the whole text."""
+    # Patterns of the marks and what they become, in order. A quote is escaped by then, so images with a title stay.
     rules = [
-        (r'!\[([^\]]*)\]\(([^ )]+)(?:\s+&quot;(?:(?!&quot;).)*&quot;)?\)', '<img alt="$1" src="$2">'),
+        (r'!\[([^\]]*)\]\(([^ )]+)(?:\s+"[^"]*")?\)', '<img alt="$1" src="$2">'),
         (r"\[([^\]]+)\]\(([^ )]+)\)", '<a href="$2" target="_blank" rel="noopener">$1</a>'),
         ("`([^`]+)`", "<code>$1</code>"),
         (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"),
-        (r"\*([^*]+)\*", "<em>$1</em>"),
+        ("__([^_]+)__", "<strong>$1</strong>"),
+        (r"(?<!\*)\*([^*]+)\*(?!\*)", "<em>$1</em>"),
+        ("(?<!_)_([^_]+)_(?!_)", "<em>$1</em>"),
+        ("~~([^~]+)~~", "<del>$1</del>"),
     ]
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, escape_html(text))
 

@@ -110,7 +110,3 @@ def output_contract(output: Column, expected: str) -> Column:
     right = {"object": ["dict"], "array": ["list"]}.get(expected, ["int", "float", "bool", "NoneType"])
     return F.when(F.try_parse_json(output).isNull(), f"expected {expected}, got non-JSON").when(~name.isin(right), F.concat(F.lit(f"expected {expected}, got "), name))
 
-
-def percent(x: Column) -> Column:
-    """A share as whole percent."""
-    return F.concat(F.round(x * 100, 0).cast("long").cast("string"), F.lit("%"))

@@ -19,16 +19,23 @@ GRANT_TOOLS = {
 }
 
 
-def _quoted(text: Column) -> Column:
-    """A string as JSON."""
+#: An approval lets through calls of the same scope only.
+SCOPE = ["account", "space", "principal", "tool", "fingerprint"]
+
+
+def quoted(text: Column) -> Column:
+    """A string as JSON, control characters in lower-case digits; a backslash before ``u`` counts where it is not itself escaped."""
     listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    for digit in "ABCDEF":
+        quoted = F.regexp_replace(quoted, f"(?<!\\\\)((?:\\\\\\\\)*)\\\\u00([01]){digit}", f"$1\\\\u00$2{digit.lower()}")
+    return quoted
 
 
 def fingerprint(tool: Column, args: Column) -> Column:
     """The digest that names a call: JSON with sorted keys of the tool and its arguments (a map from names to JSON values)."""
-    pairs = F.transform(F.array_sort(F.map_entries(args)), lambda e: F.concat(_quoted(e["key"]), F.lit(": "), e["value"]))
-    return F.sha2(F.concat(F.lit('{"args": {'), F.array_join(pairs, ", "), F.lit('}, "tool": '), _quoted(tool), F.lit("}")), 256)
+    pairs = F.transform(F.array_sort(F.map_entries(args)), lambda e: F.concat(quoted(e["key"]), F.lit(": "), e["value"]))
+    return F.sha2(F.concat(F.lit('{"args": {'), F.array_join(pairs, ", "), F.lit('}, "tool": '), quoted(tool), F.lit("}")), 256)
 
 
 def capability_of(tool: Column, tools: dict[str, list[str]] = GRANT_TOOLS) -> Column:
@@ -37,16 +44,17 @@ def capability_of(tool: Column, tools: dict[str, list[str]] = GRANT_TOOLS) -> Co
 
 
 def resolve(requests: DataFrame, grants: DataFrame, approvals: DataFrame, policies: DataFrame, now: Column) -> DataFrame:
-    """requests (request_id, account, conversation, fingerprint, decision) with outcome, reason and approval_id.
+    """requests (request_id, account, space, principal, tool, conversation, fingerprint, decision) with outcome, reason and approval_id.
 
     A grant (request_id) overrides any refusal. A request that needs approval is refused where its
-    conversation's policy is ``never``; else the newest unexpired approval of its account and fingerprint
-    counts: approved ones allow, a pending one is reused, and where there is none a new one is due.
+    conversation's policy is ``never``; else the newest of the unexpired approvals of its whole scope (account, space, principal, tool,
+    fingerprint) that isn't denied counts, by requested_at (of equal ones the greatest id): an approved one allows, any other is
+    waited for even if an older one is approved, and where there is none a new one is due.
     """
-    live = approvals.filter((F.col("expires_at") > now) & F.col("status").isin("approved", "pending"))
-    best = live.groupBy("account", "fingerprint").agg(F.max_by(F.struct("approval_id", "status"), F.struct((F.col("status") == "approved").cast("int").alias("s"), "expires_at", "approval_id")).alias("a"))
+    live = approvals.filter((F.col("expires_at") > now) & (F.col("status") != "denied"))
+    best = live.groupBy(*SCOPE).agg(F.max_by(F.struct("approval_id", "status"), F.struct("requested_at", "approval_id")).alias("a"))
     given = grants.select("request_id", F.lit(True).alias("granted")).distinct()
-    rows = requests.join(given, "request_id", "left").join(policies, "conversation", "left").join(best, ["account", "fingerprint"], "left")
+    rows = requests.join(given, "request_id", "left").join(policies, "conversation", "left").join(best, SCOPE, "left")
     asks, never = F.col("decision") == "REQUIRES_APPROVAL", F.coalesce(F.col("approval_policy") == "never", F.lit(False))
     steps = [
         (F.col("decision") == "ALLOW", "ALLOW", "policy"),
@@ -95,12 +103,14 @@ def route(principals: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def decide(rows: DataFrame, decisions: DataFrame, key: str, now: Column, open_status: str = "pending", expires: str | None = "expires_at") -> DataFrame:
-    """Guarded change of state: the first decision for a row takes effect if the row is open and unexpired.
+    """Guarded change of state: the first decision for a row takes effect if the row is open and unexpired. A decision without
+    a time is made ``now``; of decisions at one time the first in the alphabet counts.
 
     Rows that aren't open stay as they are; an open row that a decision meets after its time becomes
     ``expired``. Decisions for rows that don't exist change nothing.
     """
-    first = decisions.groupBy(key).agg(F.min_by(F.struct("decision", "decided_by", "decided_at"), "decided_at").alias("_d"))
+    made = F.coalesce("decided_at", now.cast(decisions.schema["decided_at"].dataType)).alias("decided_at")
+    first = decisions.select(key, "decision", "decided_by", made).groupBy(key).agg(F.min(F.struct("decided_at", "decision", "decided_by")).alias("_d"))
     joined = rows.join(first, key, "left")
     meets = (F.col("status") == open_status) & F.col("_d").isNotNull()
     late = (F.col(expires) <= F.col("_d.decided_at")) if expires else F.lit(False)

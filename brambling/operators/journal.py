@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,14 @@ def payload(message_id: Column, role: Column, content: Column, metadata: Column)
 def append_both(events: DataFrame, session_log: str, sync_log: str) -> None:
     """Append events to the conversation's log and, as changes of the conversation, to the sync log.
 
-    Both are appended from one written table; an event carries its own id, so readers drop what a
-    repeated append has written twice (``once``).
+    The batch is written beside the session log first and both logs are appended from there, so that they get the same rows
+    and neither is read; an event carries its own id, so readers drop what a repeated append has
+    written twice (``once``).
     """
-    events.select("event_id", "conversation_id", "event_type", "payload_json", "created_at").write.mode("append").parquet(session_log)
-    stored = events.sparkSession.read.parquet(session_log).join(events.select("event_id").distinct(), "event_id", "left_semi")
+    staged = f"{session_log.rstrip('/')}-staged/{uuid.uuid4().hex}"
+    events.select("event_id", "conversation_id", "event_type", "payload_json", "created_at").write.parquet(staged)
+    stored = events.sparkSession.read.parquet(staged)
+    stored.write.mode("append").parquet(session_log)
     stored.select("event_id", F.lit("conversation").alias("aggregate_type"), F.col("conversation_id").alias("aggregate_id"), "event_type", "payload_json", "created_at").write.mode("append").parquet(sync_log)
 
 
@@ -41,25 +46,46 @@ def messages(log: DataFrame, fields: list[str] = (), limit: int | None = None) -
 
 
 def migrated(log: DataFrame, legacy: DataFrame) -> DataFrame:
-    """Events for the legacy messages that no event holds yet, numbered after the log's last; running it again gives none."""
+    """Events for the legacy messages that no event holds yet, by time and id; running it again gives none.
+
+    Their ids follow the log's last and rise in that order, but need not be next to each other. Write them before use: a plan that
+    runs again may number them otherwise.
+    """
     there = log.select(F.get_json_object("payload_json", "$.message_id").alias("message_id")).filter("message_id is not null").distinct()
     rows = legacy.dropDuplicates(["message_id"]).join(there, "message_id", "left_anti")
     body = payload(F.col("message_id"), F.col("role"), F.col("content"), F.from_json("metadata_json", "map<string,string>"))
-    return rows.select("conversation_id", F.concat("role", F.lit("/message")).alias("event_type"), body.alias("payload_json"), "created_at")
+    last = log.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("n")).first()["n"]
+    rows = rows.orderBy("created_at", "message_id")  # by ranges over the tasks, whose numbers rise with them
+    number = F.monotonically_increasing_id() + F.lit(last + 1)
+    return rows.select(number.alias("event_id"), "conversation_id", F.concat("role", F.lit("/message")).alias("event_type"), body.alias("payload_json"), "created_at")
 
 
 def soft_delete(rows: DataFrame, requests: DataFrame, key: str, now: Column) -> DataFrame:
-    """Active rows become deleted where a request names their current revision, which rises by one; ``outcome`` says
-    what a request met: deleted, its revision was not the current one, or nothing asked."""
-    asked = requests.groupBy(key).agg(F.min("expected").alias("_expected"))
+    """Active rows become deleted where any request names their current revision, which rises by one; ``outcome`` says
+    what a row's requests met: deleted, none named the current revision, or the row wasn't active. Null where nothing asked."""
+    current = requests.select(key, "expected").join(rows.select(key, "revision"), key)
+    asked = current.groupBy(key).agg(F.coalesce(F.bool_or(F.col("expected") == F.col("revision")), F.lit(False)).alias("_hit"))
     joined = rows.join(asked, key, "left")
-    active = (F.col("status") == "active") & F.col("_expected").isNotNull()
-    hit = active & (F.col("_expected") == F.col("revision"))
+    active = (F.col("status") == "active") & F.col("_hit").isNotNull()
+    hit = active & F.col("_hit")
     changed = {"status": F.when(hit, "deleted").otherwise(F.col("status")), "deleted_at": F.when(hit, now).otherwise(F.col("deleted_at")), "revision": F.when(hit, F.col("revision") + 1).otherwise(F.col("revision"))}
-    outcome = F.when(hit, "deleted").when(active, "conflict").when(F.col("_expected").isNotNull(), "gone")
+    outcome = F.when(hit, "deleted").when(active, "conflict").when(F.col("_hit").isNotNull(), "gone")
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in rows.columns], outcome.alias("outcome"))
 
 
+def delete_outcomes(rows: DataFrame, requests: DataFrame, key: str, seq: str) -> DataFrame:
+    """What each request met, one by one in order: the first that names the current revision of an active row deletes it
+    (and answers with the revision after), those before conflict, those after and those for other rows find nothing."""
+    met = requests.join(rows.select(key, "revision", F.col("status").alias("_status")), key, "left")
+    right = F.coalesce((F.col("_status") == "active") & (F.col("expected") == F.col("revision")), F.lit(False))
+    order = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.bool_or(right).over(order), F.lit(False))
+    met = met.withColumns({"_right": right, "_before": before})
+    open_ = F.coalesce(F.col("_status") == "active", F.lit(False)) & ~F.col("_before")
+    outcome = F.when(~open_, "gone").when(F.col("_right"), "deleted").otherwise("conflict")
+    return met.select(*requests.columns, outcome.alias("outcome"), F.when(open_, F.col("revision") + F.col("_right").cast("int")).alias("revision"))
+
+
 def retention(rows: DataFrame, due: Column, now: Column) -> DataFrame:
     """Soft delete of the active rows that are due; ``affected`` marks them, so their count is a filter."""
     hit = (F.col("status") == "active") & F.coalesce(due, F.lit(False))

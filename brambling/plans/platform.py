@@ -91,25 +91,25 @@ def call_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan(f"""
-WITH calls AS (SELECT *, {PRINT} AS fingerprint FROM ({CALLS} FROM events)),
-live AS (SELECT account, fingerprint, request_id AS approval_id, CASE request_id % 4 WHEN 0 THEN 'approved' ELSE 'pending' END AS status, request_id + 4000 AS expires_at
-  FROM calls WHERE request_id % 3 <> 0 AND request_id + 4000 > 5000 AND request_id % 4 <> 3),
-best AS (SELECT account, fingerprint, arg_max(approval_id, rank) AS approval_id, arg_max(status, rank) AS status FROM (
-  SELECT *, row_number() OVER (PARTITION BY account, fingerprint ORDER BY status = 'approved', expires_at, approval_id) AS rank FROM live) GROUP BY account, fingerprint),
+WITH calls AS (SELECT *, {PRINT} AS fingerprint, request_id % 2 AS space, request_id % 3 AS principal FROM ({CALLS} FROM events)),
+live AS (SELECT account, space, principal, tool, fingerprint, request_id AS approval_id, CASE request_id % 4 WHEN 0 THEN 'approved' ELSE 'pending' END AS status, request_id % 1000 AS requested_at
+  FROM calls WHERE request_id % 5 <> 0 AND request_id + 4000 > 5000 AND request_id % 4 <> 3),
+best AS (SELECT account, space, principal, tool, fingerprint, approval_id, status FROM live
+  QUALIFY row_number() OVER (PARTITION BY account, space, principal, tool, fingerprint ORDER BY requested_at DESC, approval_id DESC) = 1),
 joined AS (SELECT c.request_id, c.decision, c.request_id % 7 = 0 AS granted, c.conversation % 10 = 0 AS never, b.status, b.approval_id
-  FROM calls c LEFT JOIN best b ON c.account = b.account AND c.fingerprint = b.fingerprint),
+  FROM calls c LEFT JOIN best b USING (account, space, principal, tool, fingerprint)),
 named AS (SELECT *, CASE WHEN decision = 'ALLOW' THEN 'policy' WHEN granted THEN 'grant_allowed' WHEN decision = 'DENY' THEN 'denied' WHEN coalesce(never, false) THEN 'approval_policy_never'
   WHEN status = 'approved' THEN 'approval_granted' WHEN status IS NOT NULL THEN 'approval_pending' ELSE 'approval_due' END AS reason FROM joined)
 SELECT request_id, CASE WHEN reason IN ('policy', 'grant_allowed', 'approval_granted') THEN 'ALLOW' WHEN reason = 'denied' THEN 'DENY' ELSE 'REQUIRES_APPROVAL' END AS outcome, reason,
   CASE WHEN reason IN ('approval_granted', 'approval_pending') THEN approval_id ELSE -1 END AS approval_id FROM named""")
 def approval_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policy, grant, the conversation's own policy, and approvals found by the call's fingerprint."""
+    """Policy, grant, the conversation's own policy, and the newest approval of the call's scope that isn't denied."""
     calls = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("request_id"), F.col("user_id").alias("account"), (F.col("user_id") % 50).alias("conversation"),
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("account"), (F.col("event_id") % 2).alias("space"), (F.col("event_id") % 3).alias("principal"), F.col("event_type").alias("tool"), (F.col("user_id") % 50).alias("conversation"),
         F.when(F.col("event_type").isin("purchase", "signup"), "REQUIRES_APPROVAL").when(F.col("event_type") == "error", "DENY").otherwise("ALLOW").alias("decision"),
         approvals.fingerprint(F.col("event_type"), F.map_from_arrays(F.array(F.lit("k")), F.array(F.get_json_object("props", "$.k")))).alias("fingerprint"))
     status = F.element_at(F.array(F.lit("approved"), F.lit("pending"), F.lit("pending"), F.lit("denied")), (F.col("request_id") % 4).cast("int") + 1)
-    asked = calls.filter("request_id % 3 <> 0").select("account", "fingerprint", F.col("request_id").alias("approval_id"), status.alias("status"), (F.col("request_id") + 4000).alias("expires_at"))
+    asked = calls.filter("request_id % 5 <> 0").select(*approvals.SCOPE, F.col("request_id").alias("approval_id"), status.alias("status"), (F.col("request_id") % 1000).alias("requested_at"), (F.col("request_id") + 4000).alias("expires_at"))
     policies = calls.select("conversation").distinct().select("conversation", F.when(F.col("conversation") % 10 == 0, "never").otherwise("ask").alias("approval_policy"))
     done = approvals.resolve(calls, calls.filter("request_id % 7 = 0").select("request_id"), asked, policies, F.lit(5000))
     return done.select("request_id", "outcome", "reason", F.coalesce("approval_id", F.lit(-1).cast("long")).alias("approval_id"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brambling import functions as fn
 from brambling import streaming
-from brambling.functions import tables
-from brambling.operators import collections, texts
+from brambling.functions import checks, tables
+from brambling.operators import approvals, collections, journal, texts, versions
 from brambling.plans.catalog import plan
 from brambling.sources import RECORD, adapters, runs, table, uploads
 from brambling.streaming import keyed
@@ -269,3 +270,102 @@ def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows to every row, itself first, by products of blocks and partial lists."""
     vectors = table(spark, sf_dir, "embeddings")
     return texts.top_k_many(vectors, vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 10).select("query_id", "rank", "vec_id", "similarity")
+
+
+# Guards and marks
+
+
+ODD = r"CASE event_id % 4 WHEN 0 THEN '\u001f' WHEN 1 THEN '\\u001F' WHEN 2 THEN '\u000b\u001a' ELSE '\\\u000e漢\n' END"  # as JSON
+
+
+@plan(f"""
+SELECT event_id, sha256('{{"args": {{"k": ' || event_id % 10 || ', "path": "' || event_type || {ODD} || '"}}, "tool": "' || event_type || '"}}') AS fingerprint FROM events""")
+def fingerprint_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of calls whose arguments hold control characters, backslashes and other letters."""
+    odd = F.element_at(F.array(F.lit("\x1f"), F.lit("\\u001F"), F.lit("\x0b\x1a"), F.lit("\\\x0e漢\n")), (F.col("event_id") % 4).cast("int") + 1)
+    args = F.create_map(F.lit("path"), approvals.quoted(F.concat("event_type", odd)), F.lit("k"), (F.col("event_id") % 10).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", approvals.fingerprint(F.col("event_type"), args).alias("fingerprint"))
+
+
+@plan("""
+WITH rows AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'deleted' ELSE 'active' END AS status, o_orderkey % 4 AS revision FROM orders),
+asked AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS seq, l_partkey % 5 AS expected FROM lineitem),
+met AS (SELECT a.*, r.revision, r.status = 'active' AS active, coalesce(bool_or(r.status = 'active' AND a.expected = r.revision) OVER (PARTITION BY a.id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone
+  FROM asked a LEFT JOIN rows r USING (id))
+SELECT id, seq, CASE WHEN NOT active OR gone THEN 'gone' WHEN expected = revision THEN 'deleted' ELSE 'conflict' END AS outcome,
+  CAST(CASE WHEN NOT active OR gone THEN -1 WHEN expected = revision THEN revision + 1 ELSE revision END AS BIGINT) AS revision FROM met""")
+def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several requests for one row, one by one: the first that names its revision deletes it, also after others that don't."""
+    orders = table(spark, sf_dir, "orders")
+    have = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "deleted").otherwise("active").alias("status"), (F.col("o_orderkey") % 4).alias("revision"))
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("seq"), (F.col("l_partkey") % 5).alias("expected")).distinct()
+    return journal.delete_outcomes(have, asked, "id", "seq").select("id", "seq", "outcome", F.coalesce("revision", F.lit(-1)).cast("long").alias("revision"))
+
+
+MARKS = [("**x *y* z**", "**x <em>y</em> z**"), ("__b__ and _i_", "<strong>b</strong> and <em>i</em>"), ("~~gone~~ *a*", "<del>gone</del> <em>a</em>"), ("![t](u \"n\") `c`", '![t](u &quot;n&quot;) <code>c</code>'), ("[a](b) <i>", '<a href="b" target="_blank" rel="noopener">a</a> &lt;i&gt;'), ("![t](u)**b**", '<img alt="t" src="u"><strong>b</strong>'), ("***x***", "<em><strong>x</strong></em>")]
+
+
+@plan("SELECT event_id, event_type || ' ' || CASE event_id % 7 " + " ".join(f"WHEN {k} THEN '{html}'" for k, (_, html) in enumerate(MARKS)) + " END AS html FROM events")
+def inline_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline marks of every kind as HTML."""
+    text = F.concat("event_type", F.lit(" "), F.element_at(F.array(*[F.lit(m) for m, _ in MARKS]), (F.col("event_id") % 7).cast("int") + 1))
+    return table(spark, sf_dir, "events").select("event_id", checks.inline_markdown(text).alias("html"))
+
+
+@plan("""
+SELECT conv_id || '-' || turn AS message_id, row_number() OVER (ORDER BY turn, conv_id || '-' || turn) AS place, true AS after FROM conversations WHERE turn % 2 = 1""")
+def migrated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy messages as events: their ids follow the log's last and rise with time."""
+    rows = table(spark, sf_dir, "conversations")
+    body = journal.payload(F.concat_ws("-", "conv_id", "turn"), F.col("role"), F.col("text"), F.create_map(F.lit("k"), F.lit("v")))
+    log = rows.filter("turn % 2 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.col("conv_id").alias("conversation_id"), F.concat("role", F.lit("/message")).alias("event_type"), body.alias("payload_json"), F.col("turn").cast("double").alias("created_at"))
+    legacy = rows.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"), F.lit('{"source": "old"}').alias("metadata_json"), F.col("turn").cast("double").alias("created_at"))
+    path = f"{streaming.scratch(spark, 'migrated')}/events"
+    journal.migrated(log, legacy).write.parquet(path)
+    last = log.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("last"))
+    new = spark.read.parquet(path).crossJoin(F.broadcast(last))  # one row
+    place = F.row_number().over(Window.orderBy("event_id"))
+    return new.select(F.get_json_object("payload_json", "$.message_id").alias("message_id"), place.cast("long").alias("place"), (F.col("event_id") > F.col("last")).alias("after"))
+
+
+# Versions and draws
+
+
+@plan("""
+WITH writes AS (SELECT o_custkey AS path, o_orderkey AS stamp, o_orderstatus = 'P' AS gone, CAST(floor(o_totalprice) AS BIGINT) AS content FROM orders),
+spans AS (SELECT *, lead(stamp) OVER (PARTITION BY path ORDER BY stamp) AS until FROM writes)
+SELECT path, content, stamp AS since FROM spans WHERE stamp <= (SELECT max(stamp) // 2 FROM writes) AND (until IS NULL OR until > (SELECT max(stamp) // 2 FROM writes)) AND NOT gone""")
+def versions_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as they were at a time, from a log of writes and deletions with validity intervals, written in two halves."""
+    writes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("stamp"), (F.col("o_orderstatus") == "P").alias("deleted"), F.floor("o_totalprice").cast("long").alias("content"))
+    log = versions.VersionLog(spark, streaming.scratch(spark, "versions"), "path bigint, stamp bigint, deleted boolean, content bigint")
+    half = writes.agg(F.expr("max(stamp) div 2").alias("h")).first()["h"]
+    log.write(writes.filter(F.col("stamp") <= half))
+    log.write(writes.filter(F.col("stamp") > half))
+    return log.as_of(half).select("path", "content", F.col("stamp").alias("since"))
+
+
+@plan("""
+WITH RECURSIVE seeds AS (SELECT c_custkey, CAST(c_custkey AS BIGINT) AS seed FROM customer),
+draws AS (SELECT c_custkey, 0 AS n, seed AS state FROM seeds UNION ALL SELECT c_custkey, n + 1, (state * 9301 + 49297) % 233280 FROM draws WHERE n < 10)
+SELECT c_custkey, CAST(n AS INTEGER) AS n, state / 233280.0 AS draw FROM draws WHERE n > 0""")
+def nth_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws 1 to 10 of every key's generator, each by a jump from the seed."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("n"))
+    return keys.select("c_custkey", "n", fn.nth_draw(F.col("c_custkey").cast("long"), F.col("n")).alias("draw"))
+
+
+@plan("""
+SELECT n_nationkey AS key, n_name AS name, CAST(n_regionkey AS BIGINT) AS size, 'none' AS tag FROM nation
+UNION ALL SELECT s_suppkey + 1000, s_name, CAST(s_nationkey AS BIGINT), 'none' FROM supplier
+UNION ALL SELECT p_partkey + 100000, p_name, CAST(p_size AS BIGINT) * 10000000000, p_brand FROM part""")
+def evolved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose schema grew twice, a column with a default and a wider type, read through its newest schema."""
+    store = versions.EvolvingTable(spark, streaming.scratch(spark, "evolving"))
+    store.evolve("key bigint, name string, size int")
+    store.append(table(spark, sf_dir, "nation").selectExpr("n_nationkey AS key", "n_name AS name", "CAST(n_regionkey AS INT) AS size"))
+    store.evolve("key bigint, name string, size int, tag string", {"tag": "none"})
+    store.append(table(spark, sf_dir, "supplier").selectExpr("s_suppkey + 1000 AS key", "s_name AS name", "CAST(s_nationkey AS INT) AS size"))
+    store.evolve("key bigint, name string, size bigint, tag string", {"tag": "none"})
+    store.append(table(spark, sf_dir, "part").selectExpr("p_partkey + 100000 AS key", "p_name AS name", "CAST(p_size AS BIGINT) * 10000000000 AS size", "p_brand AS tag"))
+    return store.read()

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from brambling.sources.uploads import file_system
+
 PARTS = 8
 
 
@@ -15,25 +17,39 @@ class _Range(InputPartition):
 
 
 class CursorReader(DataSourceStreamReader):
-    """Offsets are ids; a page ends ``size`` ids further on. The driver reads the greatest id from file statistics only."""
+    """Offsets are ids; a page ends ``size`` ids further on. The driver reads the greatest id from the statistics of new files only.
+    Files are read through Arrow's file systems, so the log may lie in any store that they know."""
 
     def __init__(self, schema, options: dict[str, str]) -> None:
         self.names = [f.name for f in schema]
-        self.path, self.cursor = options["path"].removeprefix("file://"), options["cursor"]
+        self.path, self.cursor = options["path"], options["cursor"]
+        self.seen: dict[tuple[str, int], int] = {}
         self.first, self.size = int(options.get("after", "0")), int(options.get("size", "1000"))
         self.at = self.first
 
     def initialOffset(self) -> dict:
         return {"id": self.first}
 
-    def _last(self) -> int:
+    def _dataset(self):
         import pyarrow.dataset as ds
 
-        last = self.at
-        for piece in ds.dataset(self.path, format="parquet").get_fragments():
-            column = piece.metadata.schema.names.index(self.cursor)
-            groups = [piece.metadata.row_group(k).column(column).statistics for k in range(piece.metadata.num_row_groups)]
-            last = max([last, *(s.max for s in groups if s is not None and s.has_min_max)])
+        fs, path = file_system(self.path)
+        return ds.dataset(path, format="parquet", filesystem=fs)
+
+    def _last(self) -> int:
+        """The greatest id of all files; a file is looked at once. One without statistics of the cursor is an error, as its rows would be passed over."""
+        last, dataset = self.at, self._dataset()
+        infos = {x.path: x.size for x in dataset.filesystem.get_file_info(dataset.files)}
+        for piece in dataset.get_fragments():
+            known = (piece.path, infos[piece.path])
+            if known not in self.seen:
+                column = piece.metadata.schema.names.index(self.cursor)
+                groups = [piece.metadata.row_group(k) for k in range(piece.metadata.num_row_groups)]
+                found = [g.column(column).statistics for g in groups if g.num_rows]
+                if any(s is None or not (s.has_min_max or s.null_count == s.num_values + s.null_count) for s in found):
+                    raise ValueError(f"{piece.path}: no statistics of {self.cursor}, so the log can't be polled by it")
+                self.seen[known] = max((s.max for s in found if s.has_min_max), default=last)
+            last = max(last, self.seen[known])
         return last
 
     def latestOffset(self) -> dict:
@@ -50,7 +66,7 @@ class CursorReader(DataSourceStreamReader):
         import pyarrow.dataset as ds
 
         key = ds.field(self.cursor)
-        rows = ds.dataset(self.path, format="parquet").scanner(columns=self.names, filter=(key > partition.low) & (key <= partition.high))
+        rows = self._dataset().scanner(columns=self.names, filter=(key > partition.low) & (key <= partition.high))
         yield from (b for b in rows.to_batches() if b.num_rows)
 
     def commit(self, end: dict) -> None:

@@ -39,11 +39,17 @@ def since(sources: DataFrame, points: DataFrame, today: Column, lookback: int, f
     return sources.join(points, "source", "left").select("source", F.coalesce(start, "last_since", days_before(today, lookback)).alias("since"))
 
 
-def report(records: DataFrame, works: DataFrame, seq: Column) -> DataFrame:
-    """A row for every source: status, received, new_works. A work is new where no table has it and no earlier record of the run brought it."""
+def report(records: DataFrame, works: DataFrame, seq: Column, asked: DataFrame | None = None) -> DataFrame:
+    """A row for every source: status, received, new_works. A work is new where no table has it and no earlier record of the run brought it.
+
+    ``asked`` (source, status, since, reason) are the sources of the run: those that failed or brought nothing have a row too.
+    """
     first = records.groupBy("work_id").agg(F.min_by("source", seq).alias("source")).join(works.select("work_id").distinct(), "work_id", "left_anti")
     new = first.groupBy("source").agg(F.count("*").alias("new_works"))
     received = records.groupBy("source").agg(F.count("*").alias("received"))
+    if asked is not None:
+        rows = asked.join(received, "source", "left").join(new, "source", "left")
+        return rows.select("source", "status", "since", F.coalesce("received", F.lit(0)).alias("received"), F.coalesce("new_works", F.lit(0)).alias("new_works"), "reason")
     return received.join(new, "source", "left").select("source", F.lit("ok").alias("status"), "received", F.coalesce("new_works", F.lit(0)).alias("new_works"))
 
 

@@ -235,3 +235,102 @@ def test_many_queries_in_several_passes(spark, monkeypatch):
         for q in {r.query_id for r in got}:
             assert [(r.d2, r.vec_id) for r in got if r.query_id == q] == want(q)
     assert texts.top_k_many(vectors, asked.limit(0), 7).count() == 0
+
+
+def test_fingerprints_are_those_of_sorted_json(spark):
+    import hashlib
+    import json
+
+    from brambling.operators import approvals
+
+    texts = ["\x1f\x0b", "\\u001F", "\\\x1a", "\\\\\x0f", '"\n\t\r\b\f', "漢😀\x7f", "\x00\x0e\x1c\x1d"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(approvals.fingerprint(F.col("t"), F.create_map(F.lit("a"), approvals.quoted(F.col("t"))))).collect()
+    assert [r[0] for r in got] == [hashlib.sha256(json.dumps({"tool": t, "args": {"a": t}}, sort_keys=True, ensure_ascii=False).encode()).hexdigest() for t in texts]
+
+
+def test_approvals_keep_to_their_scope(spark):
+    from brambling.operators import approvals
+
+    asks = "request_id long, account string, space string, principal string, tool string, conversation long, fingerprint string, decision string"
+    requests = spark.createDataFrame([(k, "a", "s", p, "t", 1, "f", "REQUIRES_APPROVAL") for k, p in enumerate(["p", "q", "r", "z"])], asks)
+    have = "approval_id string, account string, space string, principal string, tool string, fingerprint string, status string, requested_at double, expires_at double"
+    old = [("1", "p", "approved", 1.0, 99.0), ("2", "p", "pending", 2.0, 99.0), ("3", "q", "approved", 1.0, 99.0), ("4", "q", "denied", 2.0, 99.0), ("5", "r", "approved", 3.0, 5.0)]
+    approvals_ = spark.createDataFrame([(i, "a", "s", p, "t", "f", st, r, e) for i, p, st, r, e in old] + [("6", "a", "other", "z", "t", "f", "approved", 9.0, 99.0)], have)
+    policies = spark.createDataFrame([(1, "ask")], "conversation long, approval_policy string")
+    done = approvals.resolve(requests, requests.select("request_id").limit(0), approvals_, policies, F.lit(10.0))
+    assert {r.principal: (r.outcome, r.approval_id) for r in done.collect()} == {
+        "p": ("REQUIRES_APPROVAL", "2"), "q": ("ALLOW", "3"), "r": ("REQUIRES_APPROVAL", None), "z": ("REQUIRES_APPROVAL", None)}
+
+
+def test_requests_for_one_row(spark):
+    from brambling.operators import journal
+
+    have = spark.createDataFrame([(1, "active", 2, None), (2, "active", 1, None), (3, "deleted", 1, None), (4, "active", 1, None)], "id long, status string, revision long, deleted_at double")
+    asked = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 5), (3, 1, 1), (9, 1, 1)], "id long, seq long, expected long")
+    assert {r.id: (r.status, r.revision, r.outcome) for r in journal.soft_delete(have, asked, "id", F.lit(1.0)).collect()} == {1: ("deleted", 3, "deleted"), 2: ("active", 1, "conflict"), 3: ("deleted", 1, "gone"), 4: ("active", 1, None)}
+    got = {(r.id, r.seq): (r.outcome, r.revision) for r in journal.delete_outcomes(have, asked, "id", "seq").collect()}
+    assert got == {(1, 1): ("conflict", 2), (1, 2): ("deleted", 3), (1, 3): ("gone", None), (2, 1): ("conflict", 1), (3, 1): ("gone", None), (9, 1): ("gone", None)}
+
+
+def test_appends_read_no_log(spark, tmp_path):
+    from brambling.operators import journal
+
+    schema = "event_id long, conversation_id string, event_type string, payload_json string, created_at double"
+    log, sync = str(tmp_path / "session"), str(tmp_path / "sync")
+    for k in range(3):
+        journal.append_both(spark.createDataFrame([(k, "c", "user/message", "{}", 1.0)], schema), log, sync)
+    assert spark.read.parquet(log).count() == 3 and spark.read.parquet(sync).count() == 3  # nothing is copied again
+
+
+def test_logs_without_statistics_are_an_error(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from brambling import streaming
+
+    (tmp_path / "log").mkdir()
+    pq.write_table(pa.table({"n": list(range(100))}), tmp_path / "log" / "a.parquet", write_statistics=False)
+    stream = streaming.cursor_stream(spark, str(tmp_path / "log"), cursor="n")
+    with pytest.raises(Exception, match="no statistics of n"):
+        streaming.merged(stream, lambda d: d, ["n"], every="0 seconds")
+
+
+def test_cursor_reads_by_uri(spark, tmp_path):
+    from brambling import streaming
+
+    spark.range(10).select(F.col("id").alias("n")).write.parquet(str(tmp_path / "log"))
+    stream = streaming.cursor_stream(spark, (tmp_path / "log").as_uri(), cursor="n", after=-1, size=4)
+    assert streaming.merged(stream, lambda d: d, ["n"], every="0 seconds").count() == 10
+
+
+def test_restore_writes_new_versions(spark, tmp_path):
+    from brambling.operators import versions
+
+    log = versions.VersionLog(spark, str(tmp_path), "path string, stamp bigint, deleted boolean, content string")
+    assert log.log().count() == 0
+    put = lambda *rows: log.write(spark.createDataFrame(rows, log.schema))
+    put(("a", 1, False, "a1"), ("b", 1, False, "b1"), ("c", 1, False, "c1"))
+    put(("a", 2, False, "a2"), ("b", 3, True, None), ("d", 3, False, "d3"), ("a", 1, False, "never"))
+    files = lambda at: {r.path: r.content for r in log.as_of(at).collect()}
+    assert files(0) == {} and files(1) == {"a": "a1", "b": "b1", "c": "c1"} and files(3) == {"a": "a2", "c": "c1", "d": "d3"}
+    log.restore(1, 5)
+    assert files(9) == files(1) and files(4) == {"a": "a2", "c": "c1", "d": "d3"}
+    assert log.log().filter("path = 'c'").count() == 1  # what hadn't changed isn't written again
+    spans = {(r.path, r.stamp): r.until for r in versions.intervals(log.log()).collect()}
+    assert spans["a", 1] == 2 and spans["a", 2] == 6 and spans["c", 1] is None
+
+
+def test_schemas_only_grow(spark, tmp_path):
+    from brambling.operators import versions
+
+    store = versions.EvolvingTable(spark, str(tmp_path))
+    store.evolve("k bigint, n int")
+    store.append(spark.createDataFrame([(1, 2)], "k bigint, n int"))
+    for bad in ("k bigint", "k bigint, n string", "k int, n int"):
+        with pytest.raises(ValueError, match="can't be dropped"):
+            store.evolve(bad)
+    store.evolve("k bigint, n bigint, t string", {"t": "x"})
+    store.append(spark.createDataFrame([(3,)], "k bigint"))
+    with pytest.raises(ValueError, match="unknown columns"):
+        store.append(spark.createDataFrame([(3,)], "z bigint"))
+    assert sorted(map(tuple, store.read().collect())) == [(1, 2, "x"), (3, None, "x")] and dict(store.read().dtypes)["n"] == "bigint"
