@@ -78,3 +78,13 @@ def search_terms(text: Column, default: str = "待生成具体检索词") -> Col
     plain = F.trim(F.regexp_replace(text, "[?？]", ""))
     words = F.slice(F.filter(F.split(plain, "\\s+"), lambda w: F.length(w) >= 3), 1, 6)
     return F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(default)))
+
+
+def estimate_json_tokens(value: Column) -> Column:
+    """Tokens of a value that isn't text, as compact JSON; null counts as empty."""
+    return estimate_tokens(F.to_json(F.struct(value.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(value.alias("v")))) - 6))
+
+
+def request_tokens(role: Column, content: Column, calls: Column) -> Column:
+    """Tokens of one message of a request: four, and those of its role, its text and the JSON of its calls."""
+    return F.lit(4) + estimate_tokens(role) + estimate_tokens(content) + estimate_tokens(calls)

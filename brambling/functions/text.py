@@ -110,3 +110,19 @@ def output_contract(output: Column, expected: str) -> Column:
     right = {"object": ["dict"], "array": ["list"]}.get(expected, ["int", "float", "bool", "NoneType"])
     return F.when(F.try_parse_json(output).isNull(), f"expected {expected}, got non-JSON").when(~name.isin(right), F.concat(F.lit(f"expected {expected}, got "), name))
 
+
+def routing_reason(text: Column, keywords: list[str], most: int = 5) -> Column:
+    """The first keywords that a text has, as the reason for its route; null where it has none."""
+    found = keyword_hits(text, keywords)
+    return F.when(F.size(found) > 0, F.array_join(F.slice(found, 1, most), ", "))
+
+
+def within(text: Column, low: int, high: int, form: str | None = None) -> Column:
+    """Whether a text has from ``low`` to ``high`` characters, and the whole of it a form; null hasn't."""
+    right = F.length(text).between(low, high)
+    return F.coalesce(right & F.regexp_like(text, F.lit(f"^(?:{form})$")) if form else right, F.lit(False))
+
+
+def purpose(text: Column, keywords: list[str], length: int, otherwise: str) -> Column:
+    """The text from the first keyword of the list that it has, on one line; a fixed one where it has none or is null."""
+    return F.coalesce(F.nullif(F.trim(excerpt(text, keywords, length)), F.lit("")), F.lit(otherwise))

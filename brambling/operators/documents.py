@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from brambling.functions import checks
+
 # The forms of Markdown lines.
 FENCE, HEADING, RULE, QUOTE = "^```", "^(#{1,6})\\s+(.+)$", "^\\s*([-*_])(?:\\s*\\1){2,}\\s*$", "^>\\s?"
 ITEM, ROW, DIVIDER = "^\\s*([-+*]|\\d+\\.)\\s+(.+)$", "^\\|.*\\|\\s*$", "^\\|?\\s*:?-{3,}:?\\s*(\\|\\s*:?-{3,}:?\\s*)+\\|?$"
@@ -99,3 +101,19 @@ def children(rows: DataFrame, parent: str, name: str, key: str, most: int = 250)
     """The first entries of every parent by name in lower case."""
     order = Window.partitionBy(parent).orderBy(F.lower(name), key)
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def search_content(docs: DataFrame, pattern: str, directory: str = "/", file_types: str = "", case_sensitive: bool = False, most: int = 40, largest: int = 1_000_000) -> DataFrame:
+    """path, line_no (from 1), line of the lines of files (path, content) that match a regular expression, in order of path and line.
+
+    Only files below the directory that no rule protects and that have ``largest`` bytes at most; of the endings that are listed, which
+    count with their dot and case, if any are. Lines are trimmed and cut to 120 characters; 200 of them at most.
+    """
+    path = F.col("path")
+    files = docs.filter(checks.is_within(path, F.lit(directory)) & ~checks.is_sensitive(path) & (F.octet_length("content") <= largest))
+    if endings := [t.strip() for t in file_types.split(",") if t.strip()]:
+        files = files.filter(F.regexp_extract(F.element_at(F.split(path, "/"), -1), "(?<=.)(\\.[^.]+)$", 1).isin(*endings))
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
+    found = lines.filter(F.regexp_like("line", F.lit(pattern if case_sensitive else f"(?i){pattern}")))
+    shown = F.left(F.regexp_replace("line", "^\\s+|\\s+$", ""), F.lit(120))
+    return found.select("path", (F.col("line_no") + 1).alias("line_no"), shown.alias("line")).orderBy("path", "line_no").limit(max(1, min(most, 200)))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from brambling import functions as fn
 from brambling import streaming
 from brambling.functions import checks, tables
-from brambling.operators import approvals, collections, journal, texts, versions
-from brambling.plans.catalog import plan
+from brambling.functions import text as tx
+from brambling.operators import approvals, collections, documents, eventlog, journal, merge, texts, versions
+from brambling.plans.catalog import TOKENS, plan
 from brambling.sources import RECORD, adapters, runs, table, uploads
 from brambling.streaming import keyed
 
@@ -369,3 +370,100 @@ def evolved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.evolve("key bigint, name string, size bigint, tag string", {"tag": "none"})
     store.append(table(spark, sf_dir, "part").selectExpr("p_partkey + 100000 AS key", "p_name AS name", "CAST(p_size AS BIGINT) * 10000000000 AS size", "p_brand AS tag"))
     return store.read()
+
+
+# Searches, pages, statistics
+
+
+@plan("""
+WITH log AS (SELECT user_id % 7 AS scope, event_id, event_type FROM events),
+pages AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY event_id) AS place FROM log WHERE event_id > (SELECT max(event_id) // 3 FROM log))
+SELECT scope, event_id, event_type, CAST(place AS INTEGER) AS place FROM pages WHERE scope IN (2, 5) AND place <= 60""")
+def clustered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages in a row of two scopes, from a log in three batches that is clustered by scope and id."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("scope"), "event_id", "event_type")
+    log = eventlog.ClusteredLog(spark, streaming.scratch(spark, "clustered"), "scope bigint, event_id bigint, event_type string", file_rows=200_000)
+    for k in range(3):
+        log.append(events.filter(F.col("event_id") % 3 == k))
+    after, pages = events.agg(F.expr("max(event_id) div 3").alias("n")).first()["n"], []
+    for scope in (2, 5):
+        first = log.page(scope, after, 30)
+        last = first.agg(F.max("event_id").alias("n")).first()["n"] or after
+        pages += [first, log.page(scope, last, 30)]
+    place = F.row_number().over(Window.partitionBy("scope").orderBy("event_id"))
+    return functools.reduce(DataFrame.union, pages).withColumn("place", place)
+
+
+@plan(r"""
+WITH files AS (SELECT '/work/' || source || CASE doc_id % 5 WHEN 0 THEN '/.git/' ELSE '/' END || lpad(CAST(doc_id AS VARCHAR), 8, '0') || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.MD' ELSE '.txt' END AS path, text FROM documents),
+lines AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM files WHERE octet_length(encode(text)) <= 1000000)
+SELECT path, CAST(line_no AS INTEGER) AS line_no, left(regexp_replace(line, '^\s+|\s+$', '', 'g'), 120) AS line FROM lines
+WHERE NOT contains(path, '/.git/') AND starts_with(path, '/work/src1') AND (starts_with(path, '/work/src1/')) AND (ends_with(path, '.md') OR ends_with(path, '.txt')) AND regexp_matches(line, 'licen[cs]e|the\s+of', 'i') ORDER BY path, line_no LIMIT 200""")
+def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files that match, below one folder, of two endings, without protected folders."""
+    d = F.col("doc_id")
+    path = F.concat(F.lit("/work/"), "source", F.when(d % 5 == 0, "/.git/").otherwise("/"), F.lpad(d.cast("string"), 8, "0"), F.when(d % 3 == 0, ".md").when(d % 3 == 1, ".MD").otherwise(".txt"))
+    files_ = table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content"))
+    return documents.search_content(files_, r"licen[cs]e|the\s+of", "/work/src1", ".md, .txt", most=1000)
+
+
+@plan("""
+SELECT l_shipmode, count(*) AS n, round(avg(v), 3) AS mean, round(list_sort(list(v))[least(count(*), CAST(floor(count(*) * 0.5) AS BIGINT) + 1)], 3) AS p50, round(list_sort(list(v))[least(count(*), CAST(floor(count(*) * 0.95) AS BIGINT) + 1)], 3) AS p95
+FROM (SELECT l_returnflag AS l_shipmode, l_quantity AS v FROM lineitem) GROUP BY l_shipmode""")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and percentiles by rank of each group; ranks come from counts of equal values, so that no group is gathered."""
+    values = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("l_shipmode"), F.col("l_quantity").alias("v")).agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("l_shipmode").orderBy("v")
+    ranked = values.withColumns({"high": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy("l_shipmode"))})
+    at = lambda share: F.least(F.col("n"), F.floor(F.col("n") * share) + 1)
+    value = lambda share: F.round(F.min(F.when(F.col("high") >= at(share), F.col("v"))), 3)
+    return ranked.groupBy("l_shipmode").agg(F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 3).alias("mean"), value(0.5).alias("p50"), value(0.95).alias("p95"))
+
+
+@plan("""
+SELECT l.l_orderkey, l.l_linenumber, s.s_name, n.n_name, r.r_name, o.o_orderstatus FROM lineitem l
+JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F' JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey AND r.r_name = 'ASIA'
+JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_nationkey = s.s_nationkey""")
+def two_column_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six tables, joined on keys of two columns with constants in the conditions."""
+    t = lambda name: table(spark, sf_dir, name)
+    orders, customer = t("orders").filter("o_orderstatus = 'F'"), t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("s_nationkey"))
+    places = t("nation").join(t("region").filter("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t("lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(customer, ["o_custkey", "s_nationkey"]).join(places, F.col("n_nationkey") == F.col("s_nationkey"))
+    return rows.select("l_orderkey", "l_linenumber", "s_name", "n_name", "r_name", "o_orderstatus")
+
+
+@plan("""
+SELECT s_suppkey AS id, 'kept' AS origin, s_nationkey AS space FROM supplier
+UNION ALL SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owner' ELSE 'assistant' END, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def backfill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are missing, filled in from another table with a column by CASE."""
+    have = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "'kept' AS origin", "s_nationkey AS space")
+    more = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "owner").otherwise("assistant").alias("origin"), F.col("c_nationkey").alias("space"))
+    return merge.insert_missing(have, more, ["id"])
+
+
+@plan("""
+WITH t AS (SELECT conv_id, turn, role, text, '[{"id":"c' || turn || '","n":' || conv_id || '}]' AS calls FROM conversations)
+SELECT conv_id, CAST(2 + sum(4 + ceil(length(role) / 4.0) + """ + TOKENS + """ + CASE WHEN role = 'assistant' THEN ceil(length(calls) / 4.0) ELSE 0 END) AS BIGINT) AS tokens,
+  CAST(sum(ceil(length('[' || turn || ',' || conv_id || ']') / 4.0)) AS BIGINT) AS listed FROM t GROUP BY conv_id""")
+def request_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of requests whose messages call tools, and of values that aren't text, as their JSON."""
+    calls = F.when(F.col("role") == "assistant", F.to_json(F.array(F.struct(F.concat(F.lit("c"), "turn").alias("id"), F.col("conv_id").alias("n")))))
+    rows = table(spark, sf_dir, "conversations").withColumn("calls", calls)
+    return rows.groupBy("conv_id").agg((F.lit(2) + F.sum(fn.request_tokens(F.col("role"), F.col("text"), F.col("calls")))).cast("long").alias("tokens"), F.sum(fn.estimate_json_tokens(F.array("turn", "conv_id"))).cast("long").alias("listed"))
+
+
+WORDS = ["the", "of", "and", "in", "on", "at", "license", "zebra"]
+
+
+@plan(f"""
+SELECT doc_id, array_to_string(list_filter({WORDS!r}, lambda w: contains(lower(text), w))[1:5], ', ') AS reason,
+  CASE WHEN contains(text, 'license') THEN trim(replace(substr(text, strpos(text, 'license'), 30), chr(10), ' ')) WHEN contains(text, 'zebra') THEN trim(replace(substr(text, strpos(text, 'zebra'), 30), chr(10), ' ')) ELSE 'general' END AS purpose,
+  length(source) BETWEEN 3 AND 5 AND regexp_full_match(source, 'src[0-9]+') AS valid
+FROM documents WHERE len(list_filter({WORDS!r}, lambda w: contains(lower(text), w))) > 0""")
+def routing_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five words that decide a route, the purpose with its fallback, and names held against a form and lengths."""
+    text = F.col("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.routing_reason(text, WORDS).alias("reason"), tx.purpose(text, ["license", "zebra"], 30, "general").alias("purpose"), tx.within(F.col("source"), 3, 5, "src[0-9]+").alias("valid"))
+    return rows.filter("reason is not null")

@@ -334,3 +334,31 @@ def test_schemas_only_grow(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown columns"):
         store.append(spark.createDataFrame([(3,)], "z bigint"))
     assert sorted(map(tuple, store.read().collect())) == [(1, 2, "x"), (3, None, "x")] and dict(store.read().dtypes)["n"] == "bigint"
+
+
+def test_pages_read_the_files_they_need(spark, tmp_path):
+    from brambling.operators import eventlog
+
+    log = eventlog.ClusteredLog(spark, str(tmp_path), "scope bigint, event_id bigint, v string", file_rows=100)
+    assert log.page(1, 0).count() == 0
+    data = spark.range(3000).select((F.col("id") % 3).alias("scope"), F.col("id").alias("event_id"), F.concat(F.lit("v"), "id").alias("v"))
+    log.append(data.filter("event_id < 1500"))
+    log.append(data.filter("event_id >= 1500"))
+    for scope, after, limit in ((0, -1, 50), (1, 700, 120), (2, 1400, 200), (2, 2990, 100), (1, 5000, 10), (9, 0, 10)):
+        want = [k for k in range(3000) if k % 3 == scope and k > after][:limit]
+        assert [r.event_id for r in log.page(scope, after, limit).collect()] == want
+        assert len(log.files_after(scope, after, limit)) <= 2 + 2 * (limit // 100 + 1) < len(log.zones()) / 2
+    for k in range(6):
+        log.append(spark.createDataFrame([(0, 3000 + k, "w")], "scope bigint, event_id bigint, v string"))
+    assert log.version() == 8 and log.read().count() == 3006 and len(log.zones()) <= 32  # the eighth batch merged all
+    assert [r.event_id for r in log.page(0, 2990).collect()] == [2991, 2994, 2997, 3000, 3001, 3002, 3003, 3004, 3005]
+
+
+def test_content_search_filters(spark):
+    from brambling.operators import documents
+
+    files = spark.createDataFrame([("/w/a.md", "x\n  Hit \r\nhit"), ("/w/b.MD", "hit"), ("/w/.git/c.md", "hit"), ("/w2/d.md", "hit"), ("/w/big.md", "hit" * 10), ("/w/.md", "hit"), ("/w/k.pem", "hit")], "path string, content string")
+    got = lambda **how: [(r.path, r.line_no, r.line) for r in documents.search_content(files, "hit", "/w", **how).collect()]
+    assert got(file_types=".md", largest=20) == [("/w/a.md", 2, "Hit"), ("/w/a.md", 3, "hit")]
+    assert got(file_types=".md", largest=20, case_sensitive=True) == [("/w/a.md", 3, "hit")]
+    assert [x[0] for x in got()] == ["/w/.md", "/w/a.md", "/w/a.md", "/w/b.MD", "/w/big.md"] and len(got(most=2)) == 2
