@@ -39,15 +39,15 @@ def _approval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id") % keys
     kind = F.when(F.col("event_id") < keys, "request").when(F.col("event_type").isin("purchase", "error"), "decision")
     return events.select(
-        key.alias("approval_id"), kind.alias("kind"), (F.col("event_id") + 1).cast("double").alias("at"), F.col("event_id").alias("seq"), (keys * (1 + key % 5) + 0.5).cast("double").alias("ttl"),
+        key.alias("approval_id"), kind.alias("kind"), (F.col("event_id") + 1).cast("double").alias("at"), F.col("event_id").alias("seq"), (keys * (1 + key % 5 * 3) + 0.5).cast("double").alias("ttl"),
         F.when(F.col("event_type") == "purchase", "approved").otherwise("denied").alias("decision"), F.col("user_id").cast("string").alias("decided_by")).filter("kind is not null")
 
 
 @plan("""
-WITH n AS (SELECT greatest(count(*) // 10, 1) AS n FROM events),
-rows AS (SELECT event_id % n AS approval_id, event_id, event_id < n AS asks, event_type, user_id, (event_id % n) + n * (1 + (event_id % n) % 5) + 0.5 AS expires_at, n FROM events, n),
+WITH n AS (SELECT greatest(count(*) // 10, 1) AS n, count(*) AS every FROM events),
+rows AS (SELECT event_id % n AS approval_id, event_id, event_id < n AS asks, event_type, user_id, (event_id % n) + n * (1 + (event_id % n) % 5 * 3) + 0.5 AS expires_at FROM events, n),
 firsts AS (SELECT approval_id, min(event_id) AS met, arg_min(event_type, event_id) AS kind, arg_min(user_id, event_id) AS who FROM rows WHERE NOT asks AND event_type IN ('purchase', 'error') GROUP BY approval_id)
-SELECT r.approval_id, CASE WHEN met IS NOT NULL AND met < expires_at THEN CASE kind WHEN 'purchase' THEN 'approved' ELSE 'denied' END WHEN met IS NOT NULL OR expires_at <= 4 * n THEN 'expired' ELSE 'pending' END AS status,
+SELECT r.approval_id, CASE WHEN met IS NOT NULL AND met < expires_at THEN CASE kind WHEN 'purchase' THEN 'approved' ELSE 'denied' END WHEN met IS NOT NULL OR expires_at <= (SELECT every FROM n) THEN 'expired' ELSE 'pending' END AS status,
   coalesce(CASE WHEN met < expires_at THEN CAST(who AS VARCHAR) END, '-') AS decided_by
 FROM rows r LEFT JOIN firsts USING (approval_id) WHERE asks""")
 def approval_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def approval_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _approval_events(spark, sf_dir)
     changes = keyed.sunk(keyed.approval_changes(_in_parts(spark, events, "seq", "approvals")), streaming.scratch(spark, "approvals"))
     asked = events.filter("kind = 'request'")
-    done = keyed.status_at(changes, asked, F.lit(4.0 * asked.count() + 1))
+    done = keyed.status_at(changes, asked, F.lit(float(table(spark, sf_dir, "events").count() + 1)))  # past all that the stream has
     return done.select("approval_id", "status", F.coalesce("decided_by", F.lit("-")).alias("decided_by"))
 
 
