@@ -263,8 +263,8 @@ class BoostedTrees:
             self.start = 20.0  # nothing to tell apart: keep all
             return
         yes_no = np.array([set(np.unique(c)) <= {0.0, 1.0} for c in x.T])
-        some = np.flatnonzero(yes_no & x.any(0))  # a feature of yes and no has one cut, and one matrix product sums them all
-        flags, numeric = np.ascontiguousarray(x[:, some], np.float32), np.flatnonzero(~yes_no)
+        some, numeric = np.flatnonzero(yes_no & x.any(0)), np.flatnonzero(~yes_no)
+        row, flag = np.nonzero(x[:, some])  # a feature of yes and no has one cut, and sums over the few that are yes
         cuts = {f: np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in numeric}
         binned = {f: np.searchsorted(cuts[f], x[:, f], side="left") for f in numeric}
         score = np.full(len(y), self.start)
@@ -278,10 +278,9 @@ class BoostedTrees:
                 gt, ht = (np.bincount(where, w, nodes)[:, None] for w in (g, h))
                 gain_of = lambda gl, hl, gt=gt, ht=ht: gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
                 if len(some):
-                    spread = np.zeros((2 * nodes, len(y)), np.float32)
-                    spread[where, np.arange(len(y))], spread[nodes + where, np.arange(len(y))] = g, h
-                    up = spread @ flags
-                    gain = gain_of(gt - up[:nodes], ht - up[nodes:])
+                    key = where[row] * len(some) + flag
+                    gu, hu = (np.bincount(key, w[row], nodes * len(some)).reshape(nodes, -1) for w in (g, h))
+                    gain = gain_of(gt - gu, ht - hu)
                     k = gain.argmax(1)
                     for node in np.flatnonzero(gain[np.arange(nodes), k] > best):
                         best[node], choice[node] = gain[node, k[node]], (int(some[k[node]]), 0.5)
