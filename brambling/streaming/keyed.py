@@ -1,7 +1,7 @@
 """State by key with time to live: approvals that expire unasked, and rows that change by revision.
 
-Both read an event-time stream with a watermark. A key's state is one small value; timers in event time expire
-it and, ``keep`` seconds later, remove it, so that the store holds live keys only. Rows of a key are
+Both read an event-time stream with a watermark. A key's state is one small row, held with those of its bucket; a bucket's timer in event time
+expires keys and, ``keep`` seconds later, removes them, so that the store holds live keys only. Rows of a key are
 taken in order of time and sequence within a micro-batch, and batch after batch; a row at or before second 0 is late.
 """
 
@@ -13,15 +13,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "approval_id long, status string, changed_at double, decided_by string"
 OUTCOMES = "key long, seq long, outcome string, revision long"
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(frames))
-    return rows.sort_values(["at", "seq"], kind="stable")
+#: Keys are held by buckets, so that a bucket's keys of a micro-batch cost one read and one write of state. A bucket has one
+#: key in so many of all that live, and must fit a task.
+BUCKETS = 4096
+
+
+def _ordered(frames: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """Values of the columns, row by row in order of time and sequence."""
+    rows = pd.concat(list(frames)).sort_values(["at", "seq"], kind="stable")
+    return zip(*[rows[c].tolist() for c in columns])
+
+
+class _Bucket:
+    """The state of a bucket's keys, the first column of the schema being the key, and its one timer: that of the key due first."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str) -> None:
+        self.handle, self.rows, self.timer = handle, handle.getListState(name, schema), handle.getValueState(f"{name}_timer", "at long")
+
+    def held(self) -> dict[int, tuple]:
+        return {r[0]: tuple(r[1:]) for r in self.rows.get()} if self.rows.exists() else {}
+
+    def hold(self, held: dict[int, tuple]) -> None:
+        if held:
+            self.rows.put([(k, *s) for k, s in held.items()])
+        else:
+            self.rows.clear()
+
+    def wake(self, due: Iterator[int]) -> None:
+        """Moves the timer to the first of the times that are due (milliseconds), if there is any."""
+        first, have = min(due, default=None), self.timer.get()[0] if self.timer.exists() else None
+        if first == have:
+            return
+        if have is not None:
+            self.handle.deleteTimer(have)
+            self.timer.clear()
+        if first is not None:
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
+
+    def woken(self, timers: TimerValues, fired: ExpiredTimerInfo) -> int:
+        """The time up to which keys are due; the timer that fired is gone."""
+        self.timer.clear()
+        return max(timers.getCurrentWatermarkInMs(), fired.getExpiryTimeInMs())
 
 
 class ApprovalProcessor(StatefulProcessor):
@@ -35,47 +75,49 @@ class ApprovalProcessor(StatefulProcessor):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("approval", "status string, expires_at double")
+        self.bucket = _Bucket(handle, "approvals", "approval_id long, status string, expires_at double")
+
+    def _due(self, state: tuple) -> int:
+        """When something happens to an approval: it expires if it is pending, else it is forgotten."""
+        return int(state[1] * 1000) if state[0] == "pending" else int((state[1] + self.keep) * 1000) + 1
 
-    def _changes(self, key: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _changes(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
-            yield pd.DataFrame([(key, *r) for r in rows], columns=["approval_id", "status", "changed_at", "decided_by"])
+            yield pd.DataFrame(rows, columns=["approval_id", "status", "changed_at", "decided_by"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else None
-        before, out = state, []
-        for r in _ordered(rows).itertuples():
-            if state and r.at > state[1] + self.keep:  # as if its timers had run
-                out += [("expired", state[1], None)] if state[0] == "pending" else []
-                state = None
-            if r.kind == "request" and state is None:
-                state = ("pending", float(r.at + r.ttl))
-                self.handle.registerTimer(int(state[1] * 1000))
-                out.append(("pending", float(r.at), None))
-            elif r.kind == "decision" and state and state[0] == "pending":
-                late = r.at >= state[1]
-                state = ("expired" if late else r.decision, state[1])
-                out.append((state[0], state[1] if late else float(r.at), None if late else r.decided_by))
-        if state is None and before is not None:
-            self.state.clear()
-        elif state != before:
-            self.state.update(state)
-        yield from self._changes(key[0], out)
+        held, out = self.bucket.held(), []
+        before = dict(held)
+        for k, kind, at, ttl, decision, decided_by in _ordered(rows, "approval_id", "kind", "at", "ttl", "decision", "decided_by"):
+            state = held.get(k)
+            if state and at > state[1] + self.keep:  # as if its timers had run
+                out += [(k, "expired", state[1], None)] if state[0] == "pending" else []
+                state = held.pop(k) and None
+            if kind == "request" and state is None:
+                held[k] = ("pending", float(at + ttl))
+                out.append((k, "pending", float(at), None))
+            elif kind == "decision" and state and state[0] == "pending":
+                late = at >= state[1]
+                held[k] = ("expired" if late else decision, state[1])
+                out.append((k, held[k][0], state[1] if late else float(at), None if late else decided_by))
+        if held != before:
+            self.bucket.hold(held)
+            self.bucket.wake(map(self._due, held.values()))
+        yield from self._changes(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        status, expires_at = self.state.get()
-        if expiredTimerInfo.getExpiryTimeInMs() < int(expires_at * 1000):  # that of an approval before this one
-            return
-        if expiredTimerInfo.getExpiryTimeInMs() > expires_at * 1000:  # the second timer: nobody asks any more
-            self.state.clear()
-            return
-        if status == "pending":
-            self.state.update(("expired", expires_at))
-            yield from self._changes(key[0], [("expired", float(expires_at), None)])
-        self.handle.registerTimer(int((expires_at + self.keep) * 1000) + 1)
+        now, held, out = self.bucket.woken(timerValues, expiredTimerInfo), self.bucket.held(), []
+        before = dict(held)
+        for k, state in before.items():
+            if state[0] == "pending" and self._due(state) <= now:
+                state = held[k] = ("expired", state[1])
+                out.append((k, "expired", float(state[1]), None))
+            if self._due(state) <= now:  # nobody asks any more
+                del held[k]
+        if held != before:
+            self.bucket.hold(held)
+        self.bucket.wake(map(self._due, held.values()))
+        yield from self._changes(out)
 
     def close(self) -> None:
         pass
@@ -92,33 +134,38 @@ class RevisionProcessor(StatefulProcessor):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("row", "revision long, content string, deleted boolean")
+        self.bucket = _Bucket(handle, "rows", "key long, revision long, content string, deleted boolean, gone_at double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else None
-        out = []
-        for r in _ordered(rows).itertuples():
+        held, out = self.bucket.held(), []
+        before = dict(held)
+        for k, op, at, seq, expected, content in _ordered(rows, "key", "op", "at", "seq", "expected", "content"):
+            state = held.get(k)
             if state is None:
-                made = r.op == "create"
-                state = (1, r.content, False) if made else None
-                out.append((key[0], r.seq, "created" if made else "missing", 1 if made else 0))
-            elif state[2] or r.op == "create":
-                out.append((key[0], r.seq, "gone" if state[2] else "exists", state[0]))
-            elif r.expected != state[0]:
-                out.append((key[0], r.seq, "conflict", state[0]))
+                made = op == "create"
+                if made:
+                    held[k] = (1, content, False, None)
+                out.append((k, seq, "created" if made else "missing", 1 if made else 0))
+            elif state[2] or op == "create":
+                out.append((k, seq, "gone" if state[2] else "exists", state[0]))
+            elif expected != state[0]:
+                out.append((k, seq, "conflict", state[0]))
             else:
-                gone = r.op == "delete"
-                state = (state[0] + 1, state[1] if gone else r.content, gone)
-                if gone:
-                    self.handle.registerTimer(int((r.at + self.keep) * 1000))
-                out.append((key[0], r.seq, "deleted" if gone else "updated", state[0]))
-        if state is not None:
-            self.state.update(state)
+                gone = op == "delete"
+                held[k] = (state[0] + 1, state[1] if gone else content, gone, float(at + self.keep) if gone else None)
+                out.append((k, seq, "deleted" if gone else "updated", state[0] + 1))
+        if held != before:
+            self.bucket.hold(held)
+            self.bucket.wake((int(s[3] * 1000) for s in held.values() if s[2]))
         yield pd.DataFrame(out, columns=["key", "seq", "outcome", "revision"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        now = self.bucket.woken(timerValues, expiredTimerInfo)
+        held = self.bucket.held()
+        left = {k: s for k, s in held.items() if not s[2] or int(s[3] * 1000) > now}
+        if len(left) < len(held):
+            self.bucket.hold(left)
+        self.bucket.wake((int(s[3] * 1000) for s in left.values() if s[2]))
         return iter(())
 
     def close(self) -> None:
@@ -129,7 +176,7 @@ def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: st
     """``stream`` has ``at`` in seconds; what is later than the watermark by ``late`` is dropped."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # read when the query starts; it stays set
     timed = stream.withColumn("_time", F.timestamp_seconds("at")).withWatermark("_time", late)
-    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return timed.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("_bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def approval_changes(stream: DataFrame, keep: float = 86_400, late: str = "0 seconds") -> DataFrame:
