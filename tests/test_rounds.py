@@ -58,3 +58,17 @@ def test_a_bucket_of_revisions_is_read_and_written_once():
     held.fire(processor, 1_011_000)  # the first that was deleted is forgotten, the second isn't due
     assert len(held.values["rows"]) == n - 1 and held.timers == {1_012_000}
     assert [r[2] for r in _rows(processor, made.head(2).assign(seq=[2 * n, 2 * n + 1]))] == ["created", "gone"]
+
+
+def test_a_bucket_of_approvals_has_one_timer():
+    held, processor = _Held(), keyed.ApprovalProcessor(keep=10.0)
+    processor.init(held)
+    n = 300
+    asked = pd.DataFrame({"approval_id": range(n), "kind": "request", "at": [float(k + 1) for k in range(n)], "seq": range(n), "ttl": 1000.0, "decision": None, "decided_by": None})
+    assert len(_rows(processor, asked)) == n and held.calls <= 2 and held.timers == {1_001_000}
+    decided = asked.head(1).assign(kind="decision", at=500.0, seq=n, decision="approved", decided_by="o")
+    assert _rows(processor, decided) == [(0, "approved", 500.0, "o")]
+    assert held.fire(processor, 1_002_500) == [(1, "expired", 1002.0, None)] and held.timers == {1_003_000}
+    held.fire(processor, 1_011_001)  # the first is forgotten ten seconds later, the others up to now expire
+    assert 0 not in {r[0] for r in held.values["approvals"]} and {r[1] for r in held.values["approvals"] if r[0] < 11} == {"expired"}
+    assert held.fire(processor, 2_000_000)[-1] == (n - 1, "expired", 1300.0, None) and not held.values.get("approvals") and not held.timers
