@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,15 +43,23 @@ def mention(text: Column) -> Column:
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """The keywords that the text contains, in list order, whatever their case."""
-    low = F.lower(text)
-    return F.filter(_texts(keywords), lambda k: low.contains(F.lower(k)))
+    return _held(F.lower(text), lambda low: F.filter(_texts(keywords), lambda k: low.contains(F.lower(k))))
+
+
+def _held(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once for a row, however often it is used."""
+    return F.transform(F.array(value), of)[0]
 
 
 def intent(text: Column, keywords: dict[str, list[str]] = INTENT_KEYWORDS) -> Column:
     """The intent with most keywords, the first of equals; one keyword counts only in a text of over ten characters."""
-    scores = [F.struct(F.size(keyword_hits(text, ws)).alias("n"), F.lit(-k).alias("place"), F.lit(name).alias("name")) for k, (name, ws) in enumerate(keywords.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when((best["n"] >= 2) | ((best["n"] == 1) & (F.length(text) > 10)), best["name"])
+    hits = lambda low, ws: sum((low.contains(F.lit(w.lower())).cast("int") for w in ws), F.lit(0))
+
+    def scored(low: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(hits(low, ws).alias("n"), F.lit(-k).alias("place"), F.lit(name).alias("name")) for k, (name, ws) in enumerate(keywords.items())]))
+
+    best = _held(F.lower(text), scored)
+    return _held(best, lambda b: F.when((b["n"] >= 2) | ((b["n"] == 1) & (F.length(text) > 10)), b["name"]))
 
 
 def capabilities(text: Column, most: int = 6) -> Column:
