@@ -338,8 +338,15 @@ def inverted_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index_roundtrip(table(spark, sf_dir, "documents"))
 
 
+#: Bytes of text of which one task indexes the words.
+INDEX_BYTES = 16 << 20
+
+
 def _index_roundtrip(docs: DataFrame) -> DataFrame:
-    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "token"))
+    """Whole texts are dealt by document; both groupings follow their partitions, so that no word is shuffled."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // INDEX_BYTES))
+    words = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "token"))
     index = words.groupBy("doc_id", "token").agg(F.collect_list("place").alias("places"))
     back = index.select("doc_id", F.explode("places").alias("place"), "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("w"))
     return back.select("doc_id", F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("text"))
