@@ -3,8 +3,8 @@
     rows.write.format("uploads").mode("append").option("path", home).option("by", "u1").save()
 
 Rows: collection, name, content (binary). Tasks write each file under a folder of the job's own, with a prefix of eight
-hexadecimal digits before its name; when all have ended the driver names them in one manifest, and only then are they there.
-A job that fails takes its folder away; what a lost driver leaves behind is named by no manifest, and ``sweep`` takes it away. A name
+hexadecimal digits before its name, and a list of them beside; when all have ended the driver names the lists in one manifest, and
+only then are the files there. A job that fails takes its folders away; what a lost driver leaves behind is named by no manifest, and ``sweep`` takes it away. A name
 that is none (empty, ".", "..") or has another ending than the allowed ones fails the job, as one bad upload
 may not come in beside good ones by chance. Files are written through Arrow's file systems, so that the
 home may be any that they know (file, hdfs, s3, gs), shared by driver and executors.
@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -51,7 +52,7 @@ def stored_name(job: str, collection: str, name: str, content: bytes, nth: int)
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[dict]
+    part: str | None  # where a task's files are listed
 
 
 class UploadWriter(DataSourceWriter):
@@ -79,16 +80,23 @@ class UploadWriter(DataSourceWriter):
             with fs.open_output_stream(f"{home}/{stored}") as out:
                 out.write(content)
             files.append({"collection": r["collection"], "name": name, "stored": stored, "bytes": len(content), "sha256": hashlib.sha256(content).hexdigest(), "uploaded_by": self.by, "job": self.job})
-        return _Written(files)
+        if not files:
+            return _Written(None)
+        part = f"parts/{self.job}/{context.partitionId()}-{context.taskAttemptId()}.json"
+        fs.create_dir(f"{home}/parts/{self.job}", recursive=True)
+        with fs.open_output_stream(f"{home}/{part}") as out:
+            for f in files:
+                out.write((json.dumps(f, ensure_ascii=False) + "\n").encode())
+        return _Written(part)
 
     def commit(self, messages: list) -> None:
-        """One manifest names all files of the job; it is written beside its place and then moved there."""
+        """One manifest names the lists of all tasks; it is written beside its place and then moved there."""
         fs, home = file_system(self.home)
         fs.create_dir(f"{home}/manifests", recursive=True)
         with fs.open_output_stream(f"{home}/manifests/_{self.job}") as out:
             for m in messages:
-                for f in m.files if m else ():
-                    out.write((json.dumps(f, ensure_ascii=False) + "\n").encode())
+                if m and m.part:
+                    out.write((json.dumps({"part": m.part}) + "\n").encode())
         fs.move(f"{home}/manifests/_{self.job}", f"{home}/manifests/{self.job}.json")
 
     def abort(self, messages: list) -> None:
@@ -100,17 +108,18 @@ class UploadWriter(DataSourceWriter):
 
 
 def _delete(home: str, job: str) -> bool:
-    """Whether a job's folder is gone."""
+    """Whether a job's folders are gone."""
     from pyarrow.fs import FileType
 
     fs, path = file_system(home)
-    folder = f"{path}/batches/{job}"
+    folders = [f"{path}/parts/{job}", f"{path}/batches/{job}"]
     try:
-        if fs.get_file_info(folder).type == FileType.Directory:
-            fs.delete_dir(folder)
+        for folder in folders:
+            if fs.get_file_info(folder).type == FileType.Directory:
+                fs.delete_dir(folder)
     except OSError:  # a file came while the folder was being deleted
         return False
-    return fs.get_file_info(folder).type == FileType.NotFound
+    return all(fs.get_file_info(folder).type == FileType.NotFound for folder in folders)
 
 
 def sweep(home: str, older: float = 86_400) -> list[str]:
@@ -148,16 +157,30 @@ def manifest(spark: SparkSession, home: str) -> DataFrame:
 
     fs, path = file_system(home)
     there = fs.get_file_info(f"{path}/manifests").type == FileType.Directory
-    return spark.read.schema(MANIFEST).option("pathGlobFilter", "*.json").json(f"{home}/manifests") if there else spark.createDataFrame([], MANIFEST)
+    parts = [r["part"] for r in spark.read.schema("part string").option("pathGlobFilter", "*.json").json(f"{home}/manifests").collect()] if there else []  # a row for each task
+    return spark.read.schema(MANIFEST).json([f"{home}/{p}" for p in parts]) if parts else spark.createDataFrame([], MANIFEST)
+
+
+#: Bytes of files that a task holds before it gives them on.
+READ_BYTES = 16 << 20
 
 
 def uploaded(spark: SparkSession, home: str) -> DataFrame:
-    """The manifest's files with their content; null where a file is gone."""
-    listed = manifest(spark, home)
-    jobs = [r["job"] for r in listed.select("job").distinct().collect()]  # a row for each upload
-    if not jobs:
-        return listed.withColumn("content", F.lit(None).cast("binary"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{home}/batches/{j}" for j in jobs])
-    found = files.select(F.regexp_extract("path", "(batches/.*)$", 1).alias("stored"), "content")
-    empty = F.when(F.col("bytes") == 0, F.lit(b""))  # Spark passes empty files over
-    return listed.join(found, "stored", "left").withColumn("content", F.coalesce("content", empty))
+    """The manifest's files with their content; null where a file is gone. Each is read where its row of the manifest is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(home)
+        for batch in batches:
+            held, size, start = [], 0, 0
+            for n, stored in enumerate(batch.column("stored").to_pylist(), 1):
+                try:
+                    with fs.open_input_stream(f"{path}/{stored}") as file:
+                        held.append(file.read())
+                except FileNotFoundError:
+                    held.append(None)
+                size += len(held[-1] or b"")
+                if size >= READ_BYTES or n == len(batch):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(held)).columns, pa.array(held, pa.binary())], names=[*batch.schema.names, "content"])
+                    held, size, start = [], 0, n
+
+    return manifest(spark, home).mapInArrow(run, f"{MANIFEST}, content binary")
