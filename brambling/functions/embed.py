@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-DIMENSIONS, LONGEST, MEMO = 64, 2, 200_000
+DIMENSIONS, LONGEST = 64, 2
+#: Words of the texts that are counted together.
+GROUP_WORDS = 200_000
+# Words stand between blanks and line ends.
 _WORDS = re.compile(r"[^ \n]+")
 
 
@@ -34,33 +37,52 @@ def register(embedder: Embedder) -> Embedder:
     return embedder
 
 
-def grams(text: str, longest: int) -> list[str]:
-    """Words and runs of words, in lower case; words stand between blanks and line ends."""
-    words = _WORDS.findall(text.lower())
-    return [" ".join(words[k : k + n]) for n in range(1, longest + 1) for k in range(len(words) - n + 1)]
-
-
-def hashed_vector(text: str, dimensions: int = DIMENSIONS, longest: int = LONGEST, memo: dict | None = None) -> list[float]:
-    """The sum of a signed unit for each gram, its place and sign by the gram's digest, brought to length one; zeros for a text without words."""
-    memo = {} if memo is None else memo
-    total = np.zeros(dimensions)
-    for g in grams(text or "", longest):
-        if g not in memo:
-            if len(memo) >= MEMO:
-                memo.clear()
-            h = int(hashlib.md5(g.encode()).hexdigest()[:8], 16)
-            memo[g] = (h % dimensions, 1 if h // dimensions % 2 == 0 else -1)
-        at, sign = memo[g]
-        total[at] += sign
-    size = float((total * total).sum())
-    return (total / np.sqrt(size)).tolist() if size else total.tolist()
+def _counts(words: list[list[str]], dimensions: int, longest: int) -> np.ndarray:
+    """The sum of each text's signed units; a gram is digested once, however often it stands in these texts."""
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
+    sizes, flat = np.array([len(ws) for ws in words], np.int64), [w for ws in words for w in ws]
+    doc, ends = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes)
+    total, run, at = np.zeros(len(words) * dimensions), ids, np.arange(len(ids))
+    for n in range(1, longest + 1):
+        if n > 1:
+            stays = at + n <= ends[doc[at]]
+            at, run = at[stays], run[stays]
+            run = run * len(number) + ids[at + n - 1]
+        if not len(at):
+            break
+        _, first, run = np.unique(run, return_index=True, return_inverse=True)
+        found = (" ".join(flat[p : p + n]) for p in at[first].tolist()) if n > 1 else (flat[p] for p in at[first].tolist())
+        h = np.frombuffer(b"".join([md5(g.encode()).digest()[:4] for g in found]), ">u4").astype(np.int64)
+        place, sign = h % dimensions, 1.0 - 2 * (h // dimensions % 2)
+        total += np.bincount(doc[at] * dimensions + place[run], sign[run], len(total))
+    return total.reshape(len(words), dimensions)
+
+
+def hashed_vectors(texts: Iterable[str | None], dimensions: int = DIMENSIONS, longest: int = LONGEST) -> np.ndarray:
+    """The sum of a signed unit for each gram, its place and sign by the gram's digest, brought to length one; zeros for a text without words.
+
+    Grams are words and runs of words, in lower case.
+    """
+    parts, held, n = [np.zeros((0, dimensions))], [], 0
+    for text in texts:
+        held.append(_WORDS.findall(text.lower()) if text else [])
+        n += len(held[-1])
+        if n >= GROUP_WORDS:
+            parts.append(_counts(held, dimensions, longest))
+            held, n = [], 0
+    total = np.concatenate([*parts, _counts(held, dimensions, longest)])
+    size = np.sqrt((total * total).sum(1, keepdims=True))
+    return np.divide(total, size, out=total, where=size > 0)
+
+
+def hashed_vector(text: str | None, dimensions: int = DIMENSIONS, longest: int = LONGEST) -> list[float]:
+    return hashed_vectors([text], dimensions, longest)[0].tolist()
 
 
 def hashed(dimensions: int = DIMENSIONS, longest: int = LONGEST) -> Embedder:
-    memo: dict[str, tuple[int, int]] = {}
-
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hashed_vector(t, dimensions, longest, memo))
+        return pd.Series(list(hashed_vectors(texts, dimensions, longest)), dtype=object)
 
     return Embedder(f"hashed-{longest}-{dimensions}", dimensions, F.pandas_udf(embed, ArrayType(DoubleType())))
 

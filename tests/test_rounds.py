@@ -104,3 +104,51 @@ def test_queries_do_not_pass_the_driver(spark, monkeypatch):
     whole = DataFrame.collect
     monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("collected") if {"query_id", "v"} & set(self.columns) else whole(self))
     assert texts.top_k_many(vectors, vectors.selectExpr("vec_id AS query_id", "embedding"), 2).count() == 6000
+
+
+def test_a_text_is_lowered_once_for_all_keywords(spark):
+    from brambling.functions import text as tx
+
+    rows = spark.createDataFrame([(1, "PLAN a Wbs"), (2, None), (3, "Agent"), (4, "our research paper, the PLAN")], "k int, t string")
+    got = rows.select("k", tx.intent(F.col("t")).alias("a"), tx.keyword_hits(F.col("t"), ["Plan", "WBS", "no"]).alias("h"))
+    assert [(r.a, r.h) for r in got.orderBy("k").collect()] == [("pwa", ["Plan", "WBS"]), (None, []), (None, []), ("researcher", ["Plan"])]
+    plan = rows.select(tx.intent(F.col("t")).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(t") == 1
+
+
+def test_a_gram_is_digested_once_for_a_group_of_texts(monkeypatch):
+    from brambling.functions import embed
+
+    seen = []
+    monkeypatch.setattr(embed, "md5", lambda b, real=embed.md5: seen.append(b) or real(b))
+    got = embed.hashed_vectors(["a b a b", None, "B a", "", "a  b\na"], 8)
+    assert sorted(seen) == [b"a", b"a b", b"b", b"b a"] and got.shape == (5, 8) and not got[1].any()
+    assert [list(v) for v in got] == [embed.hashed_vector(t, 8) for t in ("a b a b", None, "B a", "", "a  b\na")]
+    monkeypatch.setattr(embed, "GROUP_WORDS", 2)
+    assert (embed.hashed_vectors(["a b a b", None, "B a", "", "a  b\na"], 8) == got).all()
+
+
+def test_words_of_an_index_are_not_shuffled(spark):
+    from brambling.plans import catalog
+
+    docs = spark.createDataFrame([(k, f"a b a {k} b") for k in range(50)] + [(99, None)], "doc_id long, text string")
+    got = catalog._index_roundtrip(docs)
+    assert {r.doc_id: r.text for r in got.collect()} == {k: f"a b a {k} b" for k in range(50)}
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_an_upload_names_its_parts_only(spark, tmp_path):
+    import os
+
+    from brambling.sources import uploads
+
+    home = str(tmp_path / "up")
+    uploads.upload(spark.range(400).selectExpr("'data' AS collection", "concat('f', id, '.md') AS name", "concat('text ', id) AS content").repartition(4), home)
+    (name,) = [f for f in os.listdir(f"{home}/manifests") if f.endswith(".json")]
+    assert len(open(f"{home}/manifests/{name}").readlines()) == 4 and uploads.manifest(spark, home).count() == 400
+    got = uploads.uploaded(spark, home)
+    assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()  # that reader lists every file in the driver
+    gone = got.first()["stored"]
+    os.remove(f"{home}/{gone}")
+    again = {r["stored"]: r["content"] for r in got.collect()}
+    assert len(again) == 400 and [k for k, v in again.items() if v is None] == [gone]
