@@ -198,3 +198,39 @@ def test_labels_of_held_out_rows_are_never_read(tables, network):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     net, base = tx.fit_documents(docs, labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
     assert base == network[1] and net.thresholds == network[0].thresholds and (net.embeddings == network[0].embeddings).all()
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Texts beyond 20,000 characters, more rows than any sample had, and each of equal texts; the same in any layout."""
+    said = lambda k: "vile scum" if k % 3 == 0 else "kind folk"
+    texts = {k: f"{'calm water ' * 1900}{said(k)} {k}" if k < 150 else "an equal text" for k in range(9_500)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 150 and k % 3 == 0)) for k in texts], "doc_id long, toxic int")
+    began, start = [], tx.start
+    monkeypatch.setattr(tx, "start", lambda seen, n: began.append((seen.sum(), n.tolist())) or start(seen, n))
+    monkeypatch.setattr(tx, "SHARD_CHARS", 1_000_000)
+    nets = [tx.fit_documents(docs.repartition(k), labels)[0] for k in (3, 5)]
+    learned = [k for k in texts if zlib.crc32(str(k).encode()) % 5 and zlib.crc32(texts[k].encode()) % 4 != tx.CALIBRATE]
+    toxic = sum(k < 150 and k % 3 == 0 for k in learned)
+    assert began[0] == began[1] and began[0][1] == [len(learned) - toxic, toxic]
+    assert (nets[0].embeddings == nets[1].embeddings).all() and (nets[0].out == nets[1].out).all() and nets[0].thresholds == nets[1].thresholds
+    score, _ = tx.Scorer(nets[0])(["calm water " * 3000 + "vile scum", "calm water " * 3000 + "kind folk", "an equal text"])
+    assert score[0] > 0.5 > max(score[1:])
+
+
+def test_largest_responses_and_their_first_places(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = rng.integers(0, 4, (sum(tx.WIDTHS) * tx.FILTERS, 9)).astype(np.float32)  # few values: many ties
+    sizes = np.array([0, 1, 2, 7, 0, 3, 20, 1])
+    words = rng.integers(0, 9, sizes.sum())
+    for block in (1, 5, 60_000):
+        monkeypatch.setattr(tx, "BLOCK_WORDS", block)
+        top, where = tx.largest(parts, words, sizes, places=True)
+        for d, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
+            at = 0
+            for w, width in enumerate(tx.WIDTHS):
+                for f in range(tx.FILTERS):
+                    r = [sum(parts[at + j * tx.FILTERS + f, words[p + j]] for j in range(width)) for p in range(end - size, end - width + 1)]
+                    k = w * tx.FILTERS + f
+                    assert top[k, d] == (max(r) if r else -np.inf) and (not r or where[k, d] == end - size + int(np.argmax(r)))
+                at += width * tx.FILTERS
