@@ -32,7 +32,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, tune, written
@@ -472,7 +472,9 @@ def fit_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         return None, base
     shards = int(-(-sum(r["chars"] for r in found) // SHARD_CHARS)) or 1
     rows = _marked(rows, "_tx_id", known.select(F.col("_tx_id").alias("id"))).filter("_nd_on").drop("_nd_on", "_tx_n")
-    rows = rows.repartition(shards, "_tx_id").join(known.repartition(shards, "_tx_id"), "_tx_id")  # texts are shuffled once: the join's partitions are the shards
+    # Texts and labels meet in the shards themselves: texts are shuffled once, into so many partitions whatever a join would choose.
+    both = rows.withColumn("_tx_y", F.lit(None).cast("int")).unionByName(known, allowMissingColumns=True).repartition(shards, "_tx_id")
+    rows = both.withColumn("_tx_y", F.max("_tx_y").over(Window.partitionBy("_tx_id"))).filter("_tx_t is not null and _tx_y is not null")
     rows = rows.withColumns({"_tx_shard": F.pmod(F.hash("_tx_id"), F.lit(shards)), "_tx_h": F.xxhash64("_tx_t")}).sortWithinPartitions("_tx_shard", "_tx_id", "_tx_h")
     return fit(written(rows.mapInArrow(_encode, _SHARD), "shards"), all_rows=len(found) < 4), base
 
