@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,12 +50,13 @@ def _pieces(text: str, size: int, separators: list[str]) -> list[str]:
     return [x for p in parts if p for x in (_pieces(p, size, rest) if len(p) > size else [p])]
 
 
-def chunk(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """doc_id, chunk_no, text of the chunks of every whole document."""
+def chunk(docs: DataFrame, size: int = 800, overlap: int = 100, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, chunk_no, text of the chunks of every whole document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(d, k, c) for d, t in zip(pdf["doc_id"], pdf["text"]) for k, c in enumerate(split_text(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "text"])
+            rows = [(*kept, k, c) for *kept, t in pdf.itertuples(index=False) for k, c in enumerate(split_text(t or "", size, overlap))]
+            yield pd.DataFrame(rows, columns=[*keep, "chunk_no", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, text string")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return docs.select(*keep, "text").mapInPandas(run, ", ".join([*kinds, "chunk_no int", "text string"]))

@@ -167,3 +167,22 @@ def test_documents_of_one_file_are_embedded_by_many_tasks(spark, tmp_path):
     spark.range(200).selectExpr("id AS doc_id", "'s' AS source", "concat('a ', id) AS text").coalesce(1).write.parquet(str(tmp_path / "d"))
     got = texts.chunks(spark.read.parquet(str(tmp_path / "d")), chunker=texts.by_lines)
     assert got.select(F.spark_partition_id()).distinct().count() > 1 and got.count() == 200
+
+
+def _against_sql(spark, name, folder, docs):
+    """A query's rows and those of its SQL over documents of a few rows."""
+    import duckdb
+
+    from brambling.plans import catalog, services  # noqa: F401  it adds its queries
+
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    got = catalog.QUERIES[name](spark, str(folder))
+    return sorted(map(str, map(tuple, got.collect()))), sorted(map(str, con.sql(f"select {', '.join(got.columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()))
+
+
+def test_collections_hold_every_document(spark, tmp_path):
+    odd = [(0, "a\n\nb c", "s"), (0, "a", None), (4, " \n", "s"), (4, "", "s"), (1, "\u00a0\u3000\nx\n\t", "s"), (2, "", "s"), (2, None, "s"), (-1, "y", "s"), (None, "z\nz", "s"), (None, "z", "t")]
+    got, want = _against_sql(spark, "rebuilt_collections", tmp_path, odd)
+    assert got == want and len(got) == 5  # no document of a third user, one user's are blank, others have an id below nought or none
