@@ -122,14 +122,22 @@ def _delete(home: str, job: str) -> bool:
     return all(fs.get_file_info(folder).type == FileType.NotFound for folder in folders)
 
 
-def sweep(home: str, older: float = 86_400) -> list[str]:
-    """Takes away the folders of jobs that no manifest names, begun more than ``older`` seconds ago; gives the jobs."""
+def unnamed(home: str) -> dict[str, float]:
+    """Jobs that have folders and that no manifest names, with the time of their newest folder."""
     from pyarrow.fs import FileSelector
 
     fs, path = file_system(home)
-    named = {x.base_name.removesuffix(".json") for x in fs.get_file_info(FileSelector(f"{path}/manifests", allow_not_found=True))}
-    jobs = [x for x in fs.get_file_info(FileSelector(f"{path}/batches", allow_not_found=True)) if x.base_name not in named]
-    return [x.base_name for x in jobs if x.mtime is not None and time.time() - x.mtime.timestamp() >= older and _delete(home, x.base_name)]
+    below = lambda folder: fs.get_file_info(FileSelector(f"{path}/{folder}", allow_not_found=True))
+    named, jobs = {x.base_name.removesuffix(".json") for x in below("manifests")}, {}
+    for x in [*below("batches"), *below("parts")]:
+        if x.base_name not in named and x.mtime is not None:
+            jobs[x.base_name] = max(jobs.get(x.base_name, 0.0), x.mtime.timestamp())
+    return jobs
+
+
+def sweep(home: str, older: float = 86_400) -> list[str]:
+    """Takes away the folders of jobs that no manifest names, changed last more than ``older`` seconds ago; gives the jobs."""
+    return [job for job, at in unnamed(home).items() if time.time() - at >= older and _delete(home, job)]
 
 
 class UploadSink(DataSource):

@@ -186,3 +186,20 @@ def test_collections_hold_every_document(spark, tmp_path):
     odd = [(0, "a\n\nb c", "s"), (0, "a", None), (4, " \n", "s"), (4, "", "s"), (1, "\u00a0\u3000\nx\n\t", "s"), (2, "", "s"), (2, None, "s"), (-1, "y", "s"), (None, "z\nz", "s"), (None, "z", "t")]
     got, want = _against_sql(spark, "rebuilt_collections", tmp_path, odd)
     assert got == want and len(got) == 5  # no document of a third user, one user's are blank, others have an id below nought or none
+
+
+def test_the_third_upload_fails_and_leaves_nothing(spark, monkeypatch):
+    import os
+
+    from brambling.plans import services
+    from brambling.sources import uploads
+
+    asked, real = [], uploads.upload
+    monkeypatch.setattr(uploads, "upload", lambda files, home, by="": asked.append((by, files.count(), home)) or real(files, home, by))
+    got = services.upload_round_trip(spark, "/root/testdata/sf0.001")
+    assert [(by, n) for by, n, _ in asked] == [("u0", 100), ("u1", 100), ("u2", 201)]
+    assert {(r.uploaded_by, r["count"]) for r in got.groupBy("uploaded_by").count().collect()} == {("u0", 100), ("u1", 100)}
+    home = asked[2][2].removeprefix("file://")
+    assert [len(os.listdir(f"{home}/{folder}")) for folder in ("batches", "parts", "manifests")] == [2, 2, 2]
+    with pytest.raises(RuntimeError, match="was uploaded"):
+        services._refused(spark.createDataFrame([("data", "f.md", "x")], "collection string, name string, content string"), asked[2][2], "u2")
