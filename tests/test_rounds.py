@@ -203,3 +203,43 @@ def test_the_third_upload_fails_and_leaves_nothing(spark, monkeypatch):
     assert [len(os.listdir(f"{home}/{folder}")) for folder in ("batches", "parts", "manifests")] == [2, 2, 2]
     with pytest.raises(RuntimeError, match="was uploaded"):
         services._refused(spark.createDataFrame([("data", "f.md", "x")], "collection string, name string, content string"), asked[2][2], "u2")
+
+
+def test_grams_are_digested_by_arrays(monkeypatch):
+    import random
+
+    from brambling.functions import embed
+
+    rng, parts = random.Random(3), ["a", "B", "é", "Σ", "漢字", "😀", "\t", "y" * 54, "z" * 55, "q" * 56, "w\r", " ", "  ", "\n", " \n"]
+    odd = [None, "", " ", "\n\n", "one " * 9, *["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)]]
+    alone = [embed.hashed_vector(t, 16) for t in odd]
+    monkeypatch.setattr(embed, "MANY_WORDS", 0)
+    seen = []
+    monkeypatch.setattr(embed, "md5", lambda b, real=embed.md5: seen.append(b) or real(b))
+    assert embed.hashed_vectors(odd, 16).tolist() == alone
+    assert seen and all(len(b) > 55 for b in seen)  # the others are digested many at a time
+
+
+def test_equal_lines_are_embedded_and_searched_once(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from brambling.operators import texts
+
+    docs = spark.range(300).selectExpr("id AS doc_id", "'s' AS source", "concat('line ', id % 30, '\nother ', id % 3) AS text")
+    built = texts.chunks(docs, chunker=texts.by_lines)
+    assert built.select("text", F.spark_partition_id()).distinct().count() == 33  # a line is in one task
+    rows = built.select((F.col("doc_id") * 10 + F.col("chunk_no")).alias("_id"), F.col("embedding").alias("_v"))
+    held = texts._blocks(rows, "ids", "v", 5).collect()
+    ids = np.concatenate([np.frombuffer(r["ids"], np.int64).reshape(-1, 6) for r in held])
+    assert len(ids) == 33 and sorted(ids[:, 0]) == [5] * 33 and sum(len(r["v"]) for r in held) == 33 * 64 * 8
+    assert {tuple(r[1:]) for r in ids} == {tuple((30 * j + k) * 10 for j in range(5)) for k in range(30)} | {tuple((3 * j + k) * 10 + 1 for j in range(5)) for k in range(3)}
+    rng = random.Random(4)
+    of = {k: [rng.choice((0.0, 1e-3, 1.0)) * scale for _ in range(3)] for scale in (1.0, 1e25, 1e-25) for k in range(int(scale > 1) * 100 + int(scale < 1) * 200, int(scale > 1) * 100 + int(scale < 1) * 200 + 100)}
+    vectors = spark.createDataFrame(list(of.items()), "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(texts, "TILE_NUMBERS", 64)
+    monkeypatch.setattr(texts, "PAIRS", 50)
+    got = texts.top_k_many(vectors, vectors.selectExpr("vec_id AS query_id", "embedding"), 4).orderBy("query_id", "rank").collect()
+    want = {q: sorted((sum((a - b) ** 2 for a, b in zip(v, of[q])), k) for k, v in of.items())[:4] for q in of}
+    assert {q: [(r.d2, r.vec_id) for r in got if r.query_id == q] for q in of} == want
